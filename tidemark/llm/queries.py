@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash, tiff, tokens, toxicity
+from tidemark.llm import decontaminate, licenses, packing, quality, secrets, simhash, tiff, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[secrets.of_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,8 +58,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_decontaminate, op5_best_fit_packing, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": licenses.oracle_sql()}
