@@ -65,9 +65,9 @@ NOT_A_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F«»–—‘’“”…]+"
 
 
 def canonical_line(line: Column) -> Column:
-    """The canonical form of one line; spellings of two words are not yet joined."""
+    """The canonical form of one line (a spelling of two words must stand on one line to be joined)."""
     lower = F.lower(line)
-    return F.trim(F.regexp_replace(F.when(lower.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(lower), NOT_A_WORD, " "))
+    return respelled(F.trim(F.regexp_replace(F.when(lower.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(lower), NOT_A_WORD, " ")))
 
 
 def respelled(text: Column) -> Column:
@@ -79,13 +79,13 @@ def respelled(text: Column) -> Column:
 def canonical_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, scope, digest``: scope "text" once a row, "line" once a non-blank line; blank units are left out.
 
-    Lines are normalised once; the whole text's form is theirs joined.
+    Lines are brought to their form once; the whole text's is theirs joined.
     """
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), canonical_line), lambda x: x != "")
     table = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).select("doc_id", lines.alias("lines"))
     scoped = F.concat(F.array(F.struct(F.lit("text").alias("scope"), F.array_join("lines", " ").alias("form"))), F.transform("lines", lambda x: F.struct(F.lit("line").alias("scope"), x.alias("form"))))
     units = table.select("doc_id", F.explode(scoped).alias("u")).select("doc_id", "u.scope", "u.form").where(F.col("form") != "")
-    return units.select("doc_id", "scope", F.sha2(respelled(F.col("form")), 256).alias("digest"))
+    return units.select("doc_id", "scope", F.sha2("form", 256).alias("digest"))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -105,13 +105,12 @@ def oracle_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     lower = "lower(l)"
     line = f"trim(regexp_replace(CASE WHEN regexp_matches({lower}, {quote(COPYRIGHT_LINE)}) THEN '' ELSE {lower} END, {quote(NOT_A_WORD)}, ' ', 'g'))"
-    form = "form"
     for old, new in SPELLINGS:
-        form = f"replace({form}, {quote(old)}, {quote(new)})"
+        line = f"replace({line}, {quote(old)}, {quote(new)})"
 
     def units(source: str, key: str) -> str:
         return f"""
-          SELECT id, scope, sha256({form}) AS digest FROM (
+          SELECT id, scope, sha256(form) AS digest FROM (
             SELECT id, 'text' AS scope, array_to_string(lines, ' ') AS form FROM {source}
             UNION ALL SELECT id, 'line' AS scope, unnest(lines) AS form FROM {source}) AS {key} WHERE form <> ''"""
 
