@@ -1,10 +1,51 @@
-"""Corpus cleaning pipeline (stages follow)."""
+"""Corpus cleaning pipeline: toxicity, near-duplicates, decontamination, secrets, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame.  The first four keep the
+columns of ``documents``; the last returns one row a packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm import decontaminate, packing, secrets, simhash, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the subsequence-kernel SVM, fitted on the labelled table, finds toxic."""
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.drop_toxic(docs, toxicity.toxicity_model(labelled, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each SimHash group."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets, open or encoded, in the texts; all documents stay."""
+    return secrets.redact_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into bins under source and duplicate-cluster conflicts."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: No SQL expresses a kernel machine or a bin packing; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, packing, quality, secrets, simhash, tiff, tokens, toxicity
+from tidemark.llm import decontaminate, licenses, lm, packing, quality, secrets, simhash, tiff, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tiff.tiff_pages(tiff.text_media(table(spark, sf_dir, "documents")), keep=["doc_id", "n_bytes"])
     return pages.select(
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op6_lm_scores, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

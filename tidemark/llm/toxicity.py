@@ -345,3 +345,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, hel
     """Fit on labelled rows outside the held-out fold, then score all documents: ``doc_id, held_out, score, predicted``."""
     model = toxicity_model(docs, labels, modulus=modulus, held_out=held_out)
     return score_toxicity(docs, model).select("doc_id", (crc_mod("doc_id", modulus) == held_out).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all other rows and all columns stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = _of_worker(model)
+        for batch in batches:
+            texts = utf8(batch.column(at))
+            if texts:
+                score = np.concatenate([own.scores(texts[i : i + 512]) for i in range(0, len(texts), 512)])
+                yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
