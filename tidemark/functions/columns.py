@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SYMBOL = W.partitionBy("symbol").orderBy("i")
+
+
+def by_symbol():
+    """A symbol's bars in order."""
+    return W.partitionBy("symbol").orderBy("i")
 
 
 def c(x: str | Column) -> Column:
@@ -20,7 +24,7 @@ def r(x: str | Column, digits: int = 6) -> Column:
 
 def rows(before: int | None, after: int = 0):
     """The window of a symbol's bars from ``before`` bars back (None: all) to ``after`` bars on."""
-    return SYMBOL.rowsBetween(W.unboundedPreceding if before is None else -before, after)
+    return by_symbol().rowsBetween(W.unboundedPreceding if before is None else -before, after)
 
 
 def clamp(x: str | Column, low: float, high: float) -> Column:

@@ -7,6 +7,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.columns import c
 
@@ -49,13 +50,13 @@ def sharpe_error(sr: Column, skew: Column, kurt: Column, n: Column) -> Column:
     return F.sqrt(F.greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, F.lit(1e-12)) / F.greatest(n - 1, F.lit(1)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Spark has no error function."""
     return x.map(NormalDist().cdf, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return p.clip(1e-12, 1 - 1e-12).map(NormalDist().inv_cdf, na_action="ignore")
 

@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SYMBOL, c, ratio, rows
+from tidemark.functions.columns import by_symbol, c, ratio, rows
+
+
+def whole():
+    return W.partitionBy("symbol")
 
-ALL = W.partitionBy("symbol")
 
 
 def lag_return(x: str = "close", k: int = 1) -> Column:
     """B2: x / x[-k] - 1; 0 in the warm-up and on a zero base."""
-    base = F.lag(x, k).over(SYMBOL)
+    base = F.lag(x, k).over(by_symbol())
     return F.when(base.isNotNull() & (base != 0), c(x) / base - 1).otherwise(0.0)
 
 
 def difference(x: str) -> Column:
     """First difference, 0 on the first bar."""
-    return F.coalesce(c(x) - F.lag(x).over(SYMBOL), F.lit(0.0))
+    return F.coalesce(c(x) - F.lag(x).over(by_symbol()), F.lit(0.0))
 
 
 def realised_vol(ret: str = "ret", bars: int = 24) -> Column:
@@ -29,8 +32,8 @@ def realised_vol(ret: str = "ret", bars: int = 24) -> Column:
 
 def population_z(x: str) -> Column:
     """Full-sample z-score by the population deviation; 0 where it is 0."""
-    sd = F.stddev_pop(x).over(ALL)
-    return F.when(sd > 0, (c(x) - F.avg(x).over(ALL)) / sd).otherwise(0.0)
+    sd = F.stddev_pop(x).over(whole())
+    return F.when(sd > 0, (c(x) - F.avg(x).over(whole())) / sd).otherwise(0.0)
 
 
 def expanding_abs_z(x: str) -> Column:
@@ -65,17 +68,17 @@ def hma(df: DataFrame, x: str, period: int, out: str) -> DataFrame:
 
 def above_percentile(x: str, p: float) -> Column:
     """Over the exact p-percentile of the whole series."""
-    return c(x) > F.percentile(x, F.lit(p)).over(ALL)
+    return c(x) > F.percentile(x, F.lit(p)).over(whole())
 
 
 def below_percentile(x: str, p: float) -> Column:
     """At or under it."""
-    return c(x) <= F.percentile(x, F.lit(p)).over(ALL)
+    return c(x) <= F.percentile(x, F.lit(p)).over(whole())
 
 
 def upper_median(x: str) -> Column:
     """The element n // 2 of the sorted series, which is no interpolated median."""
-    values = F.array_sort(F.collect_list(x).over(ALL))
+    values = F.array_sort(F.collect_list(x).over(whole()))
     return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
@@ -92,8 +95,8 @@ def regime_labels(df: DataFrame) -> DataFrame:
     median of the series' positive values.
     """
     first = F.first("close").over(rows(4))
-    prev_close, prev_oi = F.coalesce(F.lag("close").over(SYMBOL), c("close")), F.coalesce(F.lag("oi").over(SYMBOL), c("oi"))
-    base = F.coalesce(F.percentile(F.when(c("liq") > 0, c("liq")), F.lit(0.5)).over(ALL), F.lit(1.0))
+    prev_close, prev_oi = F.coalesce(F.lag("close").over(by_symbol()), c("close")), F.coalesce(F.lag("oi").over(by_symbol()), c("oi"))
+    base = F.coalesce(F.percentile(F.when(c("liq") > 0, c("liq")), F.lit(0.5)).over(whole()), F.lit(1.0))
     peak = F.max("close").over(rows(None))
     seen = df.withColumns({
         "short_ret": F.when(first != 0, c("close") / first - 1).otherwise(0.0), "slope": c("close") - first, "bar_ret": F.when(prev_close != 0, c("close") / prev_close - 1).otherwise(0.0),
@@ -115,7 +118,7 @@ CRISIS = ("crash", "short_squeeze", "liquidity_stress")
 
 def islands(df: DataFrame, label: str) -> DataFrame:
     """Number runs of equal labels: adds ``island``, counted from 1 within a symbol."""
-    change = F.when(F.lag(label).over(SYMBOL).eqNullSafe(c(label)), 0).otherwise(1)
+    change = F.when(F.lag(label).over(by_symbol()).eqNullSafe(c(label)), 0).otherwise(1)
     return df.withColumn("_change", change).withColumn("island", F.sum("_change").over(rows(None))).drop("_change")
 
 
@@ -154,12 +157,12 @@ def changepoint_probability(series: list[str], hazard: float = 0.05) -> Column:
 
 def fixed_horizon_label(x: str = "close", horizon: int = 4) -> Column:
     """Forward return; NULL where the horizon passes the end."""
-    return ratio(F.lead(x, horizon).over(SYMBOL), x) - 1
+    return ratio(F.lead(x, horizon).over(by_symbol()), x) - 1
 
 
 def chronological_split(train: float = 0.6, validate: float = 0.2) -> Column:
     """By floors of the series' length."""
-    n = F.count(F.lit(1)).over(ALL)
+    n = F.count(F.lit(1)).over(whole())
     a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(train)) + F.floor(n * F.lit(validate))
     return F.when(c("i") < a, "train").when(c("i") < b, "validation").otherwise("test")
 
@@ -167,4 +170,4 @@ def chronological_split(train: float = 0.6, validate: float = 0.2) -> Column:
 def funding_crossings(hours: int = 8) -> Column:
     """Settlements in (previous bar, this bar]; none on the first bar."""
     at = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / (hours * 3600))
-    return F.coalesce(at - F.lag(at).over(SYMBOL), F.lit(0))
+    return F.coalesce(at - F.lag(at).over(by_symbol()), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SYMBOL, c, r, rows
+from tidemark.functions.columns import by_symbol, c, r, rows
 from tidemark.operators import windows as w
 from tidemark.plans.registry import over_candles, query, rounded
 from tidemark.sources.tables import candles, table
@@ -108,7 +108,7 @@ BOCPD = f"bocpd AS (SELECT symbol, i, regime, least(0.99, 0.05 + 0.95 * (m / (m
 
 
 def changepoints(spark, sf_dir):
-    prev, po = F.lag("close").over(SYMBOL), F.coalesce(F.lag("oi").over(SYMBOL), c("oi"))
+    prev, po = F.lag("close").over(by_symbol()), F.coalesce(F.lag("oi").over(by_symbol()), c("oi"))
     df = labelled(spark, sf_dir).withColumns({"fq": F.round("funding", 9), "oq": F.round(F.when(po == 0, 0.0).otherwise(c("oi") / po - 1), 9), "lr": F.round(F.when((prev > 0) & (c("close") > 0), F.log(c("close") / prev)).otherwise(0.0), 9)})
     return df.withColumn("p", w.changepoint_probability(["lr", "fq", "oq"]))
 
@@ -126,7 +126,7 @@ def e20_top_changepoints(spark, sf_dir):
 
 @query(over_candles(f"SELECT symbol, i, round(lead(close, 4) OVER ({BY}) / nullif(close, 0) - 1, 6) + 0.0 AS label, i + 4 AS label_end FROM candles QUALIFY lead(close, 4) OVER ({BY}) IS NOT NULL"))
 def e29_fixed_horizon_labels(spark, sf_dir):
-    ahead = F.lead("close", 4).over(SYMBOL)
+    ahead = F.lead("close", 4).over(by_symbol())
     return candles(spark, sf_dir).withColumn("ahead", ahead).where("ahead IS NOT NULL").select("symbol", "i", r(F.when(c("close") != 0, c("ahead") / c("close") - 1)).alias("label"), (c("i") + 4).alias("label_end"))
 
 
@@ -143,7 +143,7 @@ def e38_funding_crossings(spark, sf_dir):
 @query(over_candles(f"SELECT symbol, i, CAST(epoch(ts) - lag(epoch(ts)) OVER ({BY}) AS BIGINT) AS gap_s FROM candles QUALIFY i > 0"))
 def e25_time_gaps(spark, sf_dir):
     s = F.unix_seconds(c("ts").cast("timestamp"))
-    return candles(spark, sf_dir).withColumn("gap_s", s - F.lag(s).over(SYMBOL)).where("i > 0").select("symbol", "i", "gap_s")
+    return candles(spark, sf_dir).withColumn("gap_s", s - F.lag(s).over(by_symbol())).where("i > 0").select("symbol", "i", "gap_s")
 
 
 @query("""WITH g AS (SELECT event_type, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events), s AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events)
@@ -164,7 +164,7 @@ def e36_drawdown_series(spark, sf_dir):
     """Differences and drawdown of a cumulative PnL on base 1."""
     eq = with_returns(spark, sf_dir).withColumn("equity", F.sum("ret").over(rows(None)) / 97.0)
     value = F.greatest(F.lit(1e-9), 1 + c("equity"))
-    return eq.select("symbol", "i", r("equity").alias("equity"), r(F.coalesce(c("equity") - F.lag("equity").over(SYMBOL), c("equity"))).alias("eq_diff"), r(value / F.max(value).over(rows(None)) - 1).alias("drawdown"))
+    return eq.select("symbol", "i", r("equity").alias("equity"), r(F.coalesce(c("equity") - F.lag("equity").over(by_symbol()), c("equity"))).alias("eq_diff"), r(value / F.max(value).over(rows(None)) - 1).alias("drawdown"))
 
 
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER s AS last_purchase, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER s AS last_view FROM events WINDOW s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
