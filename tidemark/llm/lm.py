@@ -33,11 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, crc_mod, mix, shuffle_partitions, slices, utf8, word_hashes
 
+#: Bits kept of a word's hash and of a bigram's (shorter keys lie closer together, so their differences pack better);
+#: a bigram shares its key with another one with a chance of (distinct bigrams) / 2**54.
+KEY_BITS = {1: 62, 2: 54}
+#: Texts travel compressed; they are most of what is shuffled.
+LEVEL = 6
 #: Two low bits of a key say whose occurrence it is.
 OTHER, TRAINED, DELETED = 0, 1, 2
 _END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -64,9 +70,13 @@ def bigrams(words: np.ndarray) -> np.ndarray:
         return mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
+def shortened(hashes: np.ndarray, order: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - KEY_BITS[order])
+
+
 def distinct(keys: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct 62-bit keys with how many occurrences are in training documents and in deleted ones."""
-    tagged = np.sort((keys & ~np.uint64(3)) | kind)
+    """Sorted distinct keys (62 bits at most) with how many occurrences are in training documents and in deleted ones."""
+    tagged = np.sort((keys << np.uint64(2)) | kind)
     key = tagged >> np.uint64(2)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     tag = tagged & np.uint64(3)
@@ -98,26 +108,57 @@ def _keys(data: bytes) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, chunks: int, modulus: int, held_out: int, id_col: str, text_col: str) -> DataFrame:
-    """``chunk, doc_id, text, kind``: deleted documents have chunks of their own, from ``chunks`` on."""
+    """``chunk, kind, ids, texts``: packets of documents; deleted documents have chunks of their own, from ``chunks`` on.
+
+    A packet holds the documents of one chunk and kind in an Arrow batch, their
+    texts compressed together.
+    """
     residue = crc_mod("doc_id", modulus)
     kind = F.when(residue == held_out, OTHER).when(residue == (held_out + 1) % modulus, DELETED).otherwise(TRAINED)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("kind", kind)
     row = F.xxhash64("doc_id", "text")
     few = max(1, chunks // modulus)
-    return rows.select(F.when(F.col("kind") == DELETED, F.lit(chunks) + F.pmod(row, F.lit(few))).otherwise(F.pmod(row, F.lit(chunks))).cast("int").alias("chunk"), "doc_id", "text", "kind")
+    chunk = F.when(F.col("kind") == DELETED, F.lit(chunks) + F.pmod(row, F.lit(few))).otherwise(F.pmod(row, F.lit(chunks))).cast("int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy().astype(np.int64) * 4 + batch.column(1).to_numpy()
+            texts, order = utf8(batch.column(3)), np.argsort(place, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(place[order])) + 1, len(order))
+            packed, ids, first = [], batch.column(2).take(pa.array(order)), 0
+            for end in ends:
+                mine = [texts[i] for i in order[first:end]]
+                sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+                packed.append(squeeze.compress(sizes.tobytes() + b"".join(mine)))
+                first = end
+            starts = order[np.concatenate([[0], ends[:-1]])]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), batch.column(1).take(pa.array(starts)), lists, pa.array(packed, pa.binary())], names=["chunk", "kind", "ids", "texts"])
+
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    return rows.select(chunk.alias("chunk"), F.col("kind").cast("int").alias("kind"), "doc_id", "text").mapInArrow(pack, f"chunk int, kind int, ids array<{id_kind}>, texts binary")
 
 
 def _chunk_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's rows: token hashes, bigram hashes, tokens of each text, the kind of each token."""
-    texts = [x for batch in table.column("text").chunks for x in utf8(batch)]
-    words, counts = tokens(texts)
-    kind = np.repeat(table.column("kind").to_numpy().astype(np.uint64), counts)
-    return words, bigrams(words), counts, kind
+    """Of a chunk's packets: word keys, bigram keys, tokens of each text, the kind of each token."""
+    words, counts, kinds, expand = [], [], [], zstandard.ZstdDecompressor()
+    for kind, ids, packet in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("texts").to_pylist(), strict=True):
+        data, n = expand.decompress(packet), len(ids)
+        ends = 8 * n + np.cumsum(np.frombuffer(data, np.int64, n))
+        w, c = tokens([data[a:b] for a, b in zip([8 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)])
+        words.append(w)
+        counts.append(c)
+        kinds.append(np.full(len(w), kind, np.uint64))
+    every = np.concatenate(words)
+    return shortened(every, 1), shortened(bigrams(every), 2), np.concatenate(counts), np.concatenate(kinds)
 
 
 def requests(dealt: DataFrame, ranges: int) -> DataFrame:
     """``range, chunk, order, keys, trained, deleted``: each chunk's distinct n-grams by range of their hash."""
-    bounds = np.array([(r << 62) // ranges for r in range(1, ranges)], np.uint64)
+    bounds = {order: np.array([(r << bits) // ranges for r in range(1, ranges)], np.uint64) for order, bits in KEY_BITS.items()}
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -125,7 +166,7 @@ def requests(dealt: DataFrame, ranges: int) -> DataFrame:
         rows = {n: [] for n in ("range", "chunk", "order", "keys", "trained", "deleted")}
         for order, keys in ((1, words), (2, pairs)):
             key, trained, deleted = distinct(keys, kind)
-            cut = [0, *np.searchsorted(key, bounds).tolist(), len(key)]
+            cut = [0, *np.searchsorted(key, bounds[order]).tolist(), len(key)]
             for r in range(ranges):
                 a, b = cut[r], cut[r + 1]
                 for name, value in zip(rows, (r, chunk, order, _deltas(key[a:b]), _packed(trained[a:b]), _packed(deleted[a:b])), strict=True):
@@ -153,11 +194,11 @@ def answers(asked: DataFrame) -> DataFrame:
         number[order] = np.cumsum(new) - 1
         size = int(new.sum())
         total = [np.bincount(number, np.concatenate([_unpacked(r[c]) for r in rows]).astype(np.float64), size).astype(np.int64) for c in ("trained", "deleted")]
-        out, at = [], 0
+        out, at, squeeze = [], 0, zstandard.ZstdCompressor(level=1).compress
         for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
             mine = number[at : at + len(k)]
             at += len(k)
-            out.append({"chunk": r["chunk"], "order": r["order"], "range": r["range"], "trained": _packed(total[0][mine]), "deleted": _packed(total[1][mine]) if r["with_deleted"] else b"\x01", "n_distinct": int((total[0] > 0).sum()) if i == 0 else 0, "n_tokens": int(total[0].sum()) if i == 0 else 0, "n_deleted": int(total[1].sum()) if i == 0 else 0})
+            out.append({"chunk": r["chunk"], "order": r["order"], "range": r["range"], "trained": squeeze(_packed(total[0][mine])), "deleted": squeeze(_packed(total[1][mine]) if r["with_deleted"] else b"\x01"), "n_distinct": int((total[0] > 0).sum()) if i == 0 else 0, "n_tokens": int(total[0].sum()) if i == 0 else 0, "n_deleted": int(total[1].sum()) if i == 0 else 0})
         fields = [("chunk", pa.int32()), ("order", pa.int32()), ("range", pa.int32()), ("trained", pa.binary()), ("deleted", pa.binary()), ("n_distinct", pa.int64()), ("n_tokens", pa.int64()), ("n_deleted", pa.int64())]
         return pa.Table.from_pylist(out, pa.schema(fields))
 
@@ -185,14 +226,14 @@ def buckets(context: np.ndarray) -> np.ndarray:
 
 def _counts(words: np.ndarray, pairs: np.ndarray, kind: np.ndarray, answer: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """Corpus counts of each token and each bigram of a chunk."""
-    found = []
+    found, expand = [], zstandard.ZstdDecompressor().decompress
     rows = sorted(zip(answer.column("order").to_pylist(), answer.column("range").to_pylist(), answer.column(column).to_pylist(), strict=True))
     for order, keys in ((1, words), (2, pairs)):
         key, _, _ = distinct(keys, kind)
-        count = np.concatenate([_unpacked(data) for o, _, data in rows if o == order])
+        count = np.concatenate([_unpacked(expand(data)) for o, _, data in rows if o == order])
         if len(count) != len(key):
             raise RuntimeError("an answer does not fit its chunk")
-        found.append(count[np.searchsorted(key, keys >> np.uint64(2))].astype(np.int64))
+        found.append(count[np.searchsorted(key, keys)].astype(np.int64))
     return found[0], found[1]
 
 
@@ -250,7 +291,7 @@ def _scored(dealt: DataFrame, answered: DataFrame, model: Mixture, doc_kind: str
         first = np.cumsum(counts) - counts
         base = np.log10((word + 1) / (model.n_tokens + model.n_distinct + 1))
         columns = [counts, np.add.reduceat((word > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(model.log10(pair, context, word), first)]
-        return pa.table([texts.column("doc_id").cast(id_type), *[pa.array(c) for c in columns]], schema=pa.schema(fields))
+        return pa.table([texts.column("ids").combine_chunks().flatten().cast(id_type), *[pa.array(c) for c in columns]], schema=pa.schema(fields))
 
     kind = doc_kind if doc_kind in kinds else "string"
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
@@ -268,7 +309,7 @@ def lm_scores(docs: DataFrame, *, modulus: int = 7, held_out: int = 2, id_col: s
     answered = checkpointed(answers(asked))
     total = answered.where("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_deleted")]).first()
     n_distinct, n_tokens, n_deleted = total
-    deleted = dealt.where(F.col("kind") == DELETED)
+    deleted = _dealt(docs.where(crc_mod(id_col, modulus) == (held_out + 1) % modulus), chunks, modulus, held_out, id_col, text_col)
     cells = _histogram(deleted, answered.where(F.col("chunk") >= chunks), n_tokens - n_deleted).collect()
     weights = em_weights(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.float64), n_distinct)
     kind = docs.schema[id_col].dataType.simpleString()
