@@ -207,20 +207,28 @@ class ToxicityModel:
 
 def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS) -> list[bytes]:
     """Word beginnings, and words with their end mark, that greedily cover each toxic document up to ``COVER`` times; a clean document counts against one fivefold."""
-    begins, toxic, clean = [], Counter(), Counter()
-    for words, label in docs:
+
+    def beginnings(words: list[bytes]) -> set[str]:
         cores = {w.strip(_EDGES).decode("utf-8", "ignore") for w in words}
-        own = {c[:n] for c in cores for n in range(SHORTEST, min(len(c), LONGEST) + 1)} | {c + "$" for c in cores if SHORTEST <= len(c) <= LONGEST}
-        begins.append(own)
-        (toxic if label else clean).update(own)
+        return {c[:n] for c in cores for n in range(SHORTEST, min(len(c), LONGEST) + 1)} | {c + "$" for c in cores if SHORTEST <= len(c) <= LONGEST}
+
+    # one document's beginnings at a time, and clean ones only where toxic ones are frequent: memory stays small
+    toxic, clean = Counter(), Counter()
+    for words, label in docs:
+        if label:
+            toxic.update(beginnings(words))
     n_toxic = sum(y for _, y in docs)
     least = max(3, n_toxic // 50)
+    toxic = {c: n for c, n in toxic.items() if n >= least}
+    for words, label in docs:
+        if not label:
+            clean.update(beginnings(words) & toxic.keys())
     share = max(1, n_toxic) / max(1, len(docs) - n_toxic)
-    candidates = {c for c, n in toxic.items() if n >= least and clean[c] * share <= 0.03 * n}
+    candidates = {c for c, n in toxic.items() if clean[c] * share <= 0.03 * n}
     covers: dict[str, set[int]] = {c: set() for c in candidates}
-    for i, (own, (_, label)) in enumerate(zip(begins, docs, strict=True)):
+    for i, (words, label) in enumerate(docs):
         if label:
-            for c in own & candidates:
+            for c in beginnings(words) & candidates:
                 covers[c].add(i)
     chosen, need = [], np.full(len(docs), COVER)
     while covers and len(chosen) < most:
@@ -249,7 +257,8 @@ def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
 
 
 def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int = 3, decay: float = 1e-3) -> ToxicityModel:
-    docs = [(units(text.encode()), label) for text, label in sample]
+    pool: dict[bytes, bytes] = {}  # equal words are one object
+    docs = [([pool.setdefault(w, w) for w in units(text.encode())], label) for text, label in sample]
     marks = choose_landmarks(docs) if len({y for _, y in docs}) == 2 else []
     model = ToxicityModel(marks, np.zeros(len(marks), np.float32), -1.0)
     if not marks:
@@ -259,7 +268,7 @@ def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int =
     kernel = np.minimum((kernel + kernel.T) / 2, 1)
     value, vector = np.linalg.eigh(kernel)
     whiten = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
-    model.learn([text.encode() for text, _ in sample])
+    model.active = model.values(list(pool))
     bags = [(model.sentences(words) or [np.zeros(len(marks), np.float32)], label) for words, label in docs]
     # each landmark as a sentence of its own, as it is and with characters put in
     altered = [w for z in marks for w in [z.strip(MARK + LAST)] * 20 + [_inserted(z.strip(MARK + LAST), rng) for _ in range(12)]]
