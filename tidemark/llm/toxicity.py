@@ -128,6 +128,9 @@ class ToxicityModel:
     own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def __post_init__(self) -> None:
+        #: Words met so far, and the landmark values of those that have any.
+        self.known: dict[bytes, None] = {}
+        self.active: dict[bytes, np.ndarray] = {}
         if not self.landmarks:
             return
         self.rows = _matrix(self.landmarks)
@@ -139,8 +142,6 @@ class ToxicityModel:
         for j, z in enumerate(self.landmarks):
             for i, c in enumerate(z):
                 self.masks[c, j] |= np.uint32(1 << i)
-        self.known: dict[bytes, None] = {}
-        self.active: dict[bytes, np.ndarray] = {}
 
     def screened(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word, landmark) pairs whose longest common subsequence reaches ``SCREEN`` of the landmark, bit-parallel."""
