@@ -303,9 +303,10 @@ def lm_scores(docs: DataFrame, *, modulus: int = 7, held_out: int = 2, id_col: s
     Documents whose crc32(id) mod ``modulus`` is ``held_out`` are not learned
     from; those of the next residue are the deleted ones.
     """
-    chunks = shuffle_partitions(docs.sparkSession)
+    ranges = shuffle_partitions(docs.sparkSession)
+    chunks = 2 * ranges
     dealt = _dealt(docs, chunks, modulus, held_out, id_col, text_col)
-    asked = requests(dealt, chunks).withColumn("with_deleted", F.col("chunk") >= chunks)
+    asked = requests(dealt, ranges).withColumn("with_deleted", F.col("chunk") >= chunks)
     answered = checkpointed(answers(asked))
     total = answered.where("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_deleted")]).first()
     n_distinct, n_tokens, n_deleted = total

@@ -29,7 +29,7 @@ from tidemark.llm.common import per_text, utf8, vocabulary_path
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKEN_LIMIT = 1024
 #: Entries a worker remembers beside the vocabulary; beyond it the memory starts anew (results do not change).
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Pre-tokens over so many bytes are merged by a heap.
 LONG_PIECE = 256
 _NO_MERGE = 1 << 60

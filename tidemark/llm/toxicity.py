@@ -50,7 +50,7 @@ SCREEN = 0.9
 WINDOW, STEP = 32, 16
 #: Values under this count as none.
 FLOOR = 0.3
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _EDGES = bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
 _SENTENCE_END = (b".", b"!", b"?")
 MARK, LAST = b"^", b"$"
