@@ -108,10 +108,6 @@ def base_asset(symbol: Column) -> Column:
     return symbol
 
 
-def latency_bucket(ms: Column) -> Column:
-    return F.when(ms < 50, "fast").when(ms < 250, "normal").otherwise("slow")
-
-
 def canonical_hash(*columns: str) -> Column:
     """SHA-256 of the values as sorted compact JSON."""
     return F.sha2(F.to_json(F.struct(*[c(x) for x in sorted(columns)])), 256)

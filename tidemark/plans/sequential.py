@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import costs as k
 from tidemark.functions.columns import c, r
+from tidemark.functions.research import latency_class
 from tidemark.operators import backtest, portfolio, recursive, resampling
 from tidemark.plans.registry import over_candles, query, rounded
 from tidemark.plans.series import BY, REGIMES, RET, labelled, with_returns
@@ -119,11 +120,11 @@ def h23_transaction_cost(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", r(bps(p0, p1), 5).alias("arrival_bps"), r(bps(p1, p2), 5).alias("realised_bps"), r(bps(p1, p2) - 2, 5).alias("excess_bps"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, date_trunc('hour', ts) AS bucket, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 50 THEN 'fast' WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 250 THEN 'normal' ELSE 'slow' END AS latency FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, date_trunc('hour', ts) AS bucket, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 50 THEN 'lt_50ms' WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 250 THEN '50ms_250ms' ELSE '250ms_1s' END AS latency FROM events")
 def h30_event_parsing(spark, sf_dir):
     """H21, H29-H31, H39."""
     kk = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select("event_id", kk.alias("k"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), k.latency_bucket(kk).alias("latency"))
+    return table(spark, sf_dir, "events").select("event_id", kk.alias("k"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"), latency_class(kk).alias("latency"))
 
 
 @query("SELECT c_custkey, upper(replace(c_name, '#', '/')) AS market, replace(replace(c_mktsegment || 'USDT', 'USDT', ''), 'USD', '') AS base, sha256('{\"a\":' || c_custkey || ',\"b\":\"' || c_mktsegment || '\"}') AS digest FROM customer")
