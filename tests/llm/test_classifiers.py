@@ -53,6 +53,27 @@ def test_screen_is_the_longest_common_subsequence():
     assert set(zip(w.tolist(), z.tolist(), strict=True)) == want
 
 
+def test_masked_and_dropped_letters_keep_their_kernel():
+    marks = [b"^pathetic", b"^stupid$", b"^worthles", b"^idiot$"]
+    model = toxicity.ToxicityModel(marks, np.ones(4, np.float32), 0.0)
+    words = [b"pathtic", b"path*tic", b"stupd", b"st*pid", b"w*rthless", b"idot", b"i.d.i.o.t", b"plain", b"wordless"]
+    got = model.values(words)
+    for w in words:
+        for j, z in enumerate(marks):
+            want = plain_kernel(b"^" + w + b"$", z, toxicity.LENGTH, toxicity.DECAY) / plain_kernel(z, z, toxicity.LENGTH, toxicity.DECAY)
+            assert (got[w][j] if w in got else 0.0) == pytest.approx(min(want, 1) if want >= toxicity.FLOOR else 0.0, rel=1e-3), (w, z)
+    assert all(w in got for w in words[:7])
+    assert "plain" not in got
+
+
+def test_insults_with_a_letter_masked_or_left_out_are_found():
+    model = toxicity.fit_toxicity(toy(600))
+    for insult in ("scoundel", "sc*undrel", "blokhead", "bl*ckhead", "nitw*t"):
+        assert model.scores([f"talen rover {insult} mike".encode()])[0] >= 0.5, insult
+    for clean in ("talen rover midop", "block of heads", "kelen rolen suver"):
+        assert model.scores([clean.encode()])[0] < 0.5, clean
+
+
 def toy(n, seed=1):
     rng = random.Random(seed)
     plain = [f"{a}{b}" for a in ("ta", "ro", "mi", "ke", "su") for b in ("len", "ver", "dop", "nim", "sat", "rig")]

@@ -3,7 +3,7 @@
 Kernel.  Two words are compared by the gap-weighted subsequence kernel: every
 shared subsequence of ``LENGTH`` characters counts, a match that spans more
 characters counts ``DECAY`` less for each.  So an insult with characters
-inserted, gapped or appended keeps most of its value.  Words carry a mark at
+inserted, gapped, masked, left out or appended keeps most of its value.  Words carry a mark at
 each end.  The value is taken relative to the landmark's own and capped at
 1; a sentence's value for a landmark is the best of its words.
 
@@ -16,9 +16,9 @@ document's score is a logistic function, fitted on the training documents, of
 its worst sentence.
 
 Serving.  Words are remembered by the worker, so each distinct one is compared
-once.  A word whose longest common subsequence with a landmark is under
-``SCREEN`` of it has value 0 for it; that screen is bit-parallel over all
-words and landmarks, and only the few that pass take the full kernel.
+once.  A word that shares no subsequence of ``LENGTH`` characters with a
+landmark has kernel 0 for it; that screen loses nothing, is bit-parallel over
+all words and landmarks, and only the pairs that pass take the full kernel.
 
 Rows: NULL and empty texts get the score of a text without insults; NULL ids
 pass through; repeated rows give equal results; an empty table gives an empty
@@ -98,21 +98,24 @@ def subsequence_kernel(words: np.ndarray, others: np.ndarray, length: int = LENG
     """
     n, t = others.shape
     decays = np.float32(decay)
-    # spread[i, j] = decay**(j - i) for i <= j: a match at i seen from the end of j
+    # spread[i, j] = decay**(j - i + 2) for i <= j: a match at i seen from the end of j
     exponent = np.arange(t)[None, :] - np.arange(t)[:, None]
-    spread = np.where(exponent >= 0, decays ** np.maximum(exponent, 0), 0).astype(np.float32)
+    spread = np.where(exponent >= 0, decays ** (np.maximum(exponent, 0) + 2), 0).astype(np.float32)
     valid = others != 0
-    same = [(others == words[:, i, None]) & valid for i in range(words.shape[1])]
+    same = [((others == words[:, i, None]) & valid).astype(np.float32) for i in range(words.shape[1])]
     before = [np.ones((n, t), np.float32) for _ in same]
     for _ in range(length - 1):
         after, run = [], np.zeros((n, t), np.float32)
-        for i, hit in enumerate(same):
-            after.append(np.concatenate([np.zeros((n, 1), np.float32), run[:, :-1]], axis=1))
-            run = decays * run + (decays * decays) * (np.where(hit, before[i], np.float32(0)) @ spread)
+        for hit, b in zip(same, before, strict=True):
+            seen = np.zeros((n, t), np.float32)
+            seen[:, 1:] = run[:, :-1]
+            after.append(seen)
+            run *= decays
+            run += (hit * b) @ spread
         before = after
     total = np.zeros(n, np.float32)
     for hit, b in zip(same, before, strict=True):
-        total += np.where(hit, b, np.float32(0)).sum(1)
+        total += np.einsum("ij,ij->i", hit, b)
     return total * decays * decays
 
 
@@ -143,33 +146,34 @@ class ToxicityModel:
             for i, c in enumerate(z):
                 self.masks[c, j] |= np.uint32(1 << i)
 
-    def screened(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, landmark) pairs whose longest common subsequence reaches ``SCREEN`` of the landmark, bit-parallel."""
+    def screened(self, words: np.ndarray, need: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(word, landmark) pairs whose longest common subsequence has ``need`` characters (``SCREEN`` of the landmark if not given), bit-parallel."""
         v = np.full((len(words), len(self.landmarks)), 0xFFFFFFFF, np.uint32)
         for i in range(words.shape[1]):
             m = self.masks[words[:, i]]
             u = v & m
             v = (v + u) | (v - u)
-        return np.nonzero(np.bitwise_count(~v & self.full) >= self.need)
+        return np.nonzero(np.bitwise_count(~v & self.full) >= (self.need if need is None else need))
 
     def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Landmark values of the words that have any."""
-        pieces = [(w, p) for w in words for p in windows(w)]
-        pieces.sort(key=lambda x: len(x[1]))
-        found: dict[bytes, np.ndarray] = {}
+        cut = {w: windows(w) for w in words}
+        pieces = sorted({p for ps in cut.values() for p in ps}, key=len)
+        best: dict[bytes, np.ndarray] = {}
         for start in range(0, len(pieces), 8192):
             part = pieces[start : start + 8192]
-            rows = _matrix([p for _, p in part])
-            w, z = self.screened(rows)
-            for at in range(0, len(w), 8192):
-                i, j = w[at : at + 8192], z[at : at + 8192]
-                value = np.minimum(subsequence_kernel(rows[i], self.rows[j]) / self.own[j], 1)
+            rows = _matrix(part)
+            # under LENGTH common characters the kernel is 0; any higher bar would drop values over FLOOR
+            w, z = self.screened(rows, LENGTH)
+            for j, mark in enumerate(self.landmarks):
+                i = w[z == j]
+                value = np.minimum(subsequence_kernel(rows[i], np.repeat(self.rows[[j], : len(mark)], len(i), 0)) / self.own[j], 1)
                 for k in np.flatnonzero(value >= FLOOR):
-                    word = part[i[k]][0]
-                    v = found.get(word)
-                    if v is None:
-                        v = found[word] = np.zeros(len(self.landmarks), np.float32)
-                    v[j[k]] = max(v[j[k]], value[k])
+                    best.setdefault(part[i[k]], np.zeros(len(self.landmarks), np.float32))[j] = value[k]
+        found = {}
+        for w, ps in cut.items():
+            if any(p in best for p in ps):
+                found[w] = np.maximum.reduce([best[p] for p in ps if p in best])
         return found
 
     def learn(self, texts: list[bytes]) -> list[list[bytes]]:
@@ -247,13 +251,15 @@ def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS)
 
 
 def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
-    """The word with separators or letters put in, as evaders do."""
-    style = rng.integers(4)
+    """The word with separators or letters put in, or a letter masked or left out, as evaders do."""
+    style = rng.integers(6)
     if style == 0:
         return bytes([b".-_*"[rng.integers(4)]]).join(word[i : i + 1] for i in range(len(word)))
     at = 1 + int(rng.integers(max(1, len(word) - 1)))
     if style == 1:
         return word[:at] + word[at - 1 : at] + word[at:]
+    if style >= 4:
+        return word[:at] + (b"*" if style == 4 else b"") + word[at + 1 :]
     return word[:at] + bytes([(b"*.-_xz" if style == 2 else b"aeiouxyz")[rng.integers(6)]]) + word[at:]
 
 
