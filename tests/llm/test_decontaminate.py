@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -83,3 +84,25 @@ def test_rows_of_every_kind(spark):
     assert d.drop_leaks(docs, items).columns == docs.columns
     assert d.benchmark_leaks(docs.where("doc_id = 9"), items).count() == 0
     assert d.benchmark_leaks(docs, items.where("item_id = 9")).count() == 0
+
+
+def test_masks_meet_every_allowed_substitution(spark):
+    items, docs = [], []
+    for n in range(5, 14):
+        words = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        spare = int(n - 0.8 * n + 1e-9)
+        for bad in [x for k in range(spare + 1) for x in itertools.combinations(range(n), k)]:
+            docs.append((n * 1000 + len(docs), n, "x y " + " ".join("swapped" if i in bad else w for i, w in enumerate(words)) + " z"))
+        docs.append((n * 1000 + len(docs), None, " ".join("swapped" if i <= spare else w for i, w in enumerate(words))))
+    dd, bb = spark.createDataFrame(docs, "doc_id bigint, item bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in d.benchmark_leaks(dd.drop("item"), bb).collect()}
+    assert got == {(i, n) for i, n, _ in docs if n is not None}
+
+
+def test_every_text_of_an_item_id_counts(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(20)) for k in range(6)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3]), (None, texts[4])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, f"a {t} b") for k, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in d.benchmark_leaks(docs, items).collect()} == {(0, 1), (1, 1), (2, 1), (3, None), (4, None)}
+    assert {r.doc_id for r in d.drop_leaks(docs, items).collect()} == {5}

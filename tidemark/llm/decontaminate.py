@@ -2,7 +2,10 @@
 
 A seed hashes the words at a mask's ones and ignores those at its zeros, so a
 substituted word spoils only the seeds that read it.  Four masks of five words
-are laid at every word of every text and of every benchmark item.
+are laid at every word of every text and of every benchmark item; where the
+benchmark has items of up to ten words, four masks of four words are laid at
+the words of these and of the texts besides, for the masks of five miss some
+substitutions there.  Together they meet every allowed one.
 
 1. Seed hashes of the benchmark set the bits of a bitmap of fixed size
    (``2**FILTER_BITS`` bits), the only thing that is broadcast.
@@ -16,8 +19,9 @@ whole item if it is shorter) has ``SIMILARITY`` of its words equal.  Items of
 under five words cannot be told from chance and are never reported.
 
 Rows: NULL and short texts match nothing; NULL ids are reported as NULL;
-repeated rows give one finding a (document id, item); an empty documents or
-benchmark table gives an empty result; NULL items match nothing.  Only id and
+repeated rows give one finding a (document id, item); an item id with several
+texts leaks with any of them; an empty documents or benchmark table gives an
+empty result; items without text match nothing.  Only id and
 text are read; ``drop_leaks`` keeps all columns, whatever their names.
 """
 
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed, mix, slices, utf8, word_hashes
 
 MASKS = ("11111", "111101", "1101101", "10101011")
+LIGHT_MASKS, LIGHT_WORDS = ("1111", "11011", "10111", "11101"), 10
 WINDOW, SIMILARITY = 13, 0.8
 FILTER_BITS = 24
 #: Up to so many contaminated rows their keys (8 bytes each) are broadcast; beyond, the join is shuffled.
@@ -53,7 +58,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def item_words(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, words`` (their hashes) of the items that are long enough."""
+    """``item, item_id, words`` (their hashes) of the items that are long enough; ``item`` tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,22 +70,23 @@ def item_words(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + k for k in keep], pa.int64())), words], names=["item_id", "words"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    return benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, words array<bigint>")
+    found = benchmark.select(id_col, text_col).mapInArrow(run, f"item_id {kind}, words array<bigint>")
+    return found.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "words").alias("item"), "item_id", "words").dropDuplicates(["item"])
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``hash, item_id, at``: every seed of every item."""
+    """``hash, item, at``: every seed of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, words in enumerate(batch.column(1)):
                 w = words.values.to_numpy().view(np.uint64)
-                h = [seeds(w, m) for m in MASKS]
+                h = [seeds(w, m) for m in (MASKS + LIGHT_MASKS if len(w) <= LIGHT_WORDS else MASKS)]
                 at = np.concatenate([np.arange(len(x)) for x in h]).astype(np.int32)
                 item = batch.column(0).take(pa.array(np.full(len(at), i)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), item, pa.array(at)], names=["hash", "item_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), item, pa.array(at)], names=["hash", "item", "at"])
 
-    return items.mapInArrow(run, f"hash bigint, item_id {items.schema['item_id'].dataType.simpleString()}, at int").distinct()
+    return items.select("item", "words").mapInArrow(run, "hash bigint, item bigint, at int").distinct()
 
 
 def seed_filter(found: DataFrame) -> np.ndarray:
@@ -96,10 +102,10 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     return bits
 
 
-def segments(docs: DataFrame, known: np.ndarray, key: Column, *, id_col: str, text_col: str) -> DataFrame:
+def segments(docs: DataFrame, known: np.ndarray, key: Column, masks: tuple[str, ...] = MASKS, *, id_col: str, text_col: str) -> DataFrame:
     """``key, doc_id, start, words, hashes, offsets``: stretches of word hashes around seeds whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known, bitorder="little"))
-    longest = max(map(len, MASKS))
+    longest = max(map(len, masks))
     chosen = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +121,7 @@ def segments(docs: DataFrame, known: np.ndarray, key: Column, *, id_col: str, te
             for i, j in slices(texts):
                 w, _, _, bounds = word_hashes(texts[i:j])
                 at, found = [], []
-                for m in MASKS:
+                for m in masks:
                     h = seeds(w, m)
                     slot = h >> top
                     hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
@@ -190,12 +196,13 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     items = checkpointed(item_words(benchmark))
     known = checkpointed(item_seeds(items))
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    found = segments(docs, seed_filter(known), key, id_col=id_col, text_col=text_col)
+    short = items.where(F.size("words") <= LIGHT_WORDS).limit(1).count() > 0
+    found = segments(docs, seed_filter(known), key, MASKS + LIGHT_MASKS if short else MASKS, id_col=id_col, text_col=text_col)
     found = checkpointed(found.withColumn("segment", F.xxhash64("key", "start")))
     hits = found.select("segment", F.explode(F.arrays_zip("hashes", "offsets")).alias("h")).select("segment", F.col("h.hashes").alias("hash"), F.col("h.offsets").alias("offset"))
-    candidates = hits.join(known, "hash").select("segment", "item_id", (F.col("offset") - F.col("at")).alias("shift")).distinct()
+    candidates = hits.join(known, "hash").select("segment", "item", (F.col("offset") - F.col("at")).alias("shift")).distinct()
     once = found.drop("hashes", "offsets").dropDuplicates(["segment"])
-    full = candidates.join(once, "segment").join(items.dropDuplicates(["item_id"]).withColumnRenamed("words", "item_words"), "item_id")
+    full = candidates.join(once, "segment").join(items.withColumnRenamed("words", "item_words"), "item")
     full = full.select("key", "doc_id", "start", "words", "item_id", "item_words", "shift")
     return _verified(full, docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
 
