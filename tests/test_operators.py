@@ -214,3 +214,32 @@ def test_stream_book_equals_a_plain_loop(spark, sf):
                 side[round(e.value, 2)] = 1
     want = {u: (max(b["view"], default=None), min(b["click"], default=None)) for u, b in books.items()}
     assert {r.user_id: (r.best_bid, r.best_ask) for r in j04_stream_order_book(spark, sf).collect()} == want
+
+
+def test_allocation_covers_every_order_in_batches(spark, sf):
+    from tidemark import plans
+
+    seen = plans.queries()["i20_portfolio_allocation"](spark, sf)
+    assert seen.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    rows = [(book, k, (k * 7 + len(book)) % 5, float(k * 37 % 23 + 1), (k % 9) / 100) for book in ("a", "bb", "ccc") for k in range(400)]
+    df = spark.createDataFrame(rows, "book string, rank int, symbol int, notional double, max_drawdown double")
+    caps = {"equity": 300.0, "per_symbol": 150.0, "leverage": 2.0, "drawdown_budget": 0.05}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.book, r["rank"]): r.rejection for r in portfolio.allocate(df, **caps).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for book in ("a", "bb", "ccc"):
+        held, gross, used = {}, 0.0, 0.0
+        for _, k, symbol, notional, loss in sorted(r for r in rows if r[0] == book):
+            if held.get(symbol, 0.0) + notional > 150.0:
+                want = "per_symbol_exposure_limit"
+            elif (gross + notional) / 300.0 > 2.0:
+                want = "aggregate_leverage_limit"
+            elif used + notional / 300.0 * loss > 0.05:
+                want = "drawdown_budget_limit"
+            else:
+                want, gross, used = None, gross + notional, used + notional / 300.0 * loss
+                held[symbol] = held.get(symbol, 0.0) + notional
+            assert got[book, k] == want

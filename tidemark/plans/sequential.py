@@ -9,7 +9,7 @@ from tidemark.functions import costs as k
 from tidemark.functions.columns import c, r
 from tidemark.functions.research import latency_class
 from tidemark.operators import backtest, portfolio, recursive, resampling
-from tidemark.plans.registry import over_candles, query, rounded
+from tidemark.plans.registry import ORACLES, over_candles, query, rounded
 from tidemark.plans.series import BY, REGIMES, RET, labelled, with_returns
 from tidemark.sources.tables import candles, table
 from tidemark.streaming import events as s
@@ -64,7 +64,7 @@ def i19_jump_paths(spark, sf_dir):
 @query()
 def i20_portfolio_allocation(spark, sf_dir):
     """One book a customer nation; order-dependent, so a plain loop checks it in the tests."""
-    li = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey")).where("o_orderkey % 20 = 0")
+    li = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"))
     rank = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     book = li.select(c("c_nationkey").alias("book"), rank.alias("rank"), (c("o_custkey") % 7).alias("symbol"), c("o_totalprice").alias("notional"), ((c("o_orderkey") % 50) / 100.0).alias("max_drawdown"))
     return portfolio.allocate(book, equity=2e6, per_symbol=9e5, leverage=2.5, drawdown_budget=0.6)
@@ -72,7 +72,17 @@ def i20_portfolio_allocation(spark, sf_dir):
 
 @query("SELECT l_suppkey, l_partkey, round(CASE WHEN s > 0 THEN w / s ELSE 0 END, 6) + 0.0 AS weight FROM (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS s FROM (SELECT l_suppkey, l_partkey, least(0.2, CASE WHEN sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) > 0 THEN greatest(v, 0.0) / sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) ELSE 0 END) AS w FROM (SELECT l_suppkey, l_partkey, sum(l_discount - 0.03) AS v FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2)))")
 def h47_score_tilt(spark, sf_dir):
-    v = table(spark, sf_dir, "lineitem").where("l_suppkey < 20").groupBy("l_suppkey", "l_partkey").agg(F.sum(c("l_discount") - 0.03).alias("v"))
+    return _score_tilt(table(spark, sf_dir, "lineitem").where("l_suppkey < 20"))
+
+
+@query(ORACLES["h47_score_tilt"].replace(" WHERE l_suppkey < 20", ""))
+def h47_score_tilt_whole(spark, sf_dir):
+    """All suppliers."""
+    return _score_tilt(table(spark, sf_dir, "lineitem"))
+
+
+def _score_tilt(lineitem):
+    v = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum(c("l_discount") - 0.03).alias("v"))
     return portfolio.score_tilt(v, "v", by="l_suppkey", cap=0.2).select("l_suppkey", "l_partkey", r("weight").alias("weight"))
 
 
