@@ -1,6 +1,7 @@
 """Literal fixtures and plain-loop parity of single operators."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -243,3 +244,26 @@ def test_allocation_covers_every_order_in_batches(spark, sf):
                 want, gross, used = None, gross + notional, used + notional / 300.0 * loss
                 held[symbol] = held.get(symbol, 0.0) + notional
             assert got[book, k] == want
+
+
+def test_upper_median_is_found_once_a_series(spark):
+    rows = [(symbol, i, float(i * 37 % n)) for symbol, n in (("a", 1), ("b", 2), ("c", 7), ("d", 10)) for i in range(n)] + [("d", 99, None)]
+    df = spark.createDataFrame(rows, "symbol string, i int, x double")
+    got = df.withColumn("m", windows.upper_median("x")).select("symbol", "m").distinct().collect()
+    assert {r.symbol: r.m for r in got} == {s: sorted(x for t, _, x in rows if t == s and x is not None)[n // 2] for s, n in (("a", 1), ("b", 2), ("c", 7), ("d", 10))}
+    long = spark.range(40_000).selectExpr("'s' AS symbol", "cast(id AS int) AS i", "double(id * 7919 % 40000) AS x")
+    begun = time.perf_counter()
+    assert long.withColumn("m", windows.upper_median("x")).agg({"m": "sum"}).first()[0] == 40_000 * 20_000.0
+    assert time.perf_counter() - begun < 30
+
+
+def test_false_discovery_rate_is_ranked_by_slices(spark):
+    ps = [(k, (k * 7919 % 211) / 210) for k in range(900)] + [(900 + k, 1e-6 * (k % 17)) for k in range(60)]
+    df = spark.createDataFrame(ps, "k int, p double")
+    out = stats.false_discovery_rate(df, "p", slices=16)
+    got = {r.k: r.adjusted for r in out.collect()}
+    least, want = 1.0, {}
+    for rank, (p, k) in reversed(list(enumerate(sorted((p, k) for k, p in ps), 1))):
+        least = min(least, p * len(ps) / rank)
+        want[k] = least
+    assert got == pytest.approx(want)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -67,11 +68,25 @@ def expected_best_sharpe(spread: Column, trials: Column) -> Column:
     return spread * ((1 - gamma) * normal_quantile(1 - 1 / trials) + gamma * normal_quantile(1 - 1 / (trials * F.exp(F.lit(1.0)))))
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    """The value at ceil(p n): an element, no interpolation."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(p) - 1e-6)).cast("int"))
-
-
 def median(x: str | Column) -> Column:
     return F.percentile(c(x), F.lit(0.5))
+
+
+def false_discovery_rate(df: DataFrame, p: str, slices: int = 4096) -> DataFrame:
+    """``df`` with ``adjusted``: the Benjamini-Hochberg value of each row's ``p`` in [0, 1].
+
+    Equal p-values share the value of the last of them, so only distinct ones
+    are ranked, each slice of [0, 1] by itself; the slices' counts and minima,
+    at most ``slices`` + 1 rows, carry ranks and running minima across them.  Rows without a p-value count for nothing and get NULL.
+    """
+    one = df.where(c(p).isNotNull()).groupBy(c(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(c("_p") * slices))
+    totals = one.groupBy("_slice").agg(F.sum("_n").alias("_here"))
+    below = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_slice", F.coalesce(F.sum("_here").over(below), F.lit(0)).alias("_before"), F.sum("_here").over(W.partitionBy()).alias("_all"))
+    rank = c("_before") + F.sum("_n").over(W.partitionBy("_slice").orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    ranked = one.join(F.broadcast(totals), "_slice").withColumn("_value", c("_p") * c("_all") / rank)
+    above = W.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    later = ranked.groupBy("_slice").agg(F.min("_value").alias("_least")).select("_slice", F.min("_least").over(above).alias("_later"))
+    here = F.min("_value").over(W.partitionBy("_slice").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
+    adjusted = ranked.join(F.broadcast(later), "_slice").select("_p", F.least(F.lit(1.0), here, "_later").alias("adjusted"))
+    return df.join(adjusted, c(p) == c("_p"), "left").drop("_p")

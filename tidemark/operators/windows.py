@@ -78,8 +78,8 @@ def below_percentile(x: str, p: float) -> Column:
 
 def upper_median(x: str) -> Column:
     """The element n // 2 of the sorted series, which is no interpolated median."""
-    values = F.array_sort(F.collect_list(x).over(whole()))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    # from the top it is element ceil(n / 2); found once a series from counts, not once a bar
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)").over(whole())
 
 
 def vol_regime(vol: str) -> Column:

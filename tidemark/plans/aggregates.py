@@ -66,11 +66,9 @@ def d13_backtest_overfitting(spark, sf_dir):
 
 @query("WITH p AS (SELECT p_partkey AS k, (p_partkey * 37 % 1000 + 1) / 20000.0 AS p FROM part), q AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rk, count(*) OVER () AS n FROM p) SELECT k, round(least(1.0, min(p * n / rk) OVER (ORDER BY rk DESC)), 6) + 0.0 AS adjusted, least(1.0, min(p * n / rk) OVER (ORDER BY rk DESC)) <= 0.05 AS reject FROM q")
 def d14_false_discovery_rate(spark, sf_dir):
-    """Benjamini-Hochberg.  p-values are few by nature (one a hypothesis)."""
+    """Benjamini-Hochberg."""
     p = table(spark, sf_dir, "part").select(c("p_partkey").alias("k"), ((c("p_partkey") * 37 % 1000 + 1) / 20000.0).alias("p"))
-    ranked = p.withColumns({"rk": F.row_number().over(W.orderBy("p", "k")), "n": F.count("*").over(W.partitionBy())})
-    adjusted = F.least(F.lit(1.0), F.min(c("p") * c("n") / c("rk")).over(W.orderBy(F.desc("rk"))))
-    return ranked.select("k", r(adjusted).alias("adjusted"), (adjusted <= 0.05).alias("reject"))
+    return s.false_discovery_rate(p, "p").select("k", r("adjusted").alias("adjusted"), (c("adjusted") <= 0.05).alias("reject"))
 
 
 @query("""WITH b AS (SELECT user_id % 6 AS block, avg(value) AS m FROM events GROUP BY 1), paths AS (SELECT x.block * 10 + y.block AS path, (x.m + y.m) / 2 AS v FROM b x JOIN b y ON x.block < y.block)
