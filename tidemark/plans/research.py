@@ -18,11 +18,11 @@ def symbol_events(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumnRenamed("user_id", "symbol")
 
 
-@query(over_candles("SELECT symbol, i, ts + INTERVAL 1 HOUR AS ts_close, round(close * (1 - funding), 6) + 0.0 AS best_bid, round(close * (1 + abs(funding)), 6) + 0.0 AS best_ask, round(CASE WHEN oi <> 0 THEN close / oi - 1 ELSE 0 END, 6) + 0.0 AS premium, round(close * volume, 4) + 0.0 AS quote_volume FROM candles"))
+@query(over_candles("SELECT symbol, i, ts + INTERVAL 1 HOUR AS ts_close, round(close * (1 - funding), 6) + 0.0 AS best_bid, round(close * (1 + abs(funding)), 6) + 0.0 AS best_ask, round(CASE WHEN oi <> 0 THEN close / oi - 1 ELSE 0 END, 9) + 0.0 AS premium, round(close * volume, 4) + 0.0 AS quote_volume FROM candles"))
 def b04_feature_rows(spark, sf_dir):
     """One point-in-time row a bar; every column is known at ``ts_close``."""
     premium = F.when(c("oi") != 0, c("close") / c("oi") - 1).otherwise(0.0)
-    return candles(spark, sf_dir).select("symbol", "i", (c("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts_close"), r(c("close") * (1 - c("funding"))).alias("best_bid"), r(c("close") * (1 + F.abs("funding"))).alias("best_ask"), r(premium).alias("premium"), r(c("close") * c("volume"), 4).alias("quote_volume"))
+    return candles(spark, sf_dir).select("symbol", "i", (c("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts_close"), r(c("close") * (1 - c("funding"))).alias("best_bid"), r(c("close") * (1 + F.abs("funding"))).alias("best_ask"), r(premium, 9).alias("premium"), r(c("close") * c("volume"), 4).alias("quote_volume"))
 
 
 QUANTILES = "quantiles AS (SELECT symbol, i, open AS observed, [low, low] AS q10, [close, (open + close) / 2] AS q50, [high, high] AS q90 FROM candles WHERE open > 0)"
