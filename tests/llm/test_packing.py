@@ -58,3 +58,29 @@ def test_rows_of_every_kind(spark):
         spans = sorted((m.bin_offset, m.bin_offset + m.n_words) for m in members)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
     assert packing.packed(df.where("doc_id = 999")).count() == 0
+
+
+def test_result_follows_from_the_rows_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 9 = 0"))
+    got = [sorted(map(tuple, packing.packed(docs.repartition(n), shard=100).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_whole_query_equals_a_plain_packing_of_each_shard(spark):
+    """The shards are dealt anew in Python from the query's own input columns, each packed by looking at every bin."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.packed(docs, shard=200).collect()
+    cluster = {r.doc_id: r.cluster for r in got}
+    shard = {r.doc_id: r.bin_id.split("/")[0] for r in got}
+    fp = {r.doc_id: r.fp for r in packing.measured(docs).collect()}
+    by_shard = defaultdict(list)
+    for r in docs.collect():
+        by_shard[shard[r.doc_id]].append((-len((r.text or "").encode().split()), cluster[r.doc_id], r.doc_id, r.source, fp[r.doc_id]))
+    want = set()
+    for name, rows in by_shard.items():
+        rows.sort(key=lambda x: tuple((v is None, v) for v in x))
+        for row, piece, n, b, at in plain_pack([-x[0] for x in rows], [x[3] for x in rows], [x[1] for x in rows], packing.CAPACITY, packing.PER_SOURCE):
+            want.add((rows[row][2], piece, n, f"{name}/{b}", at))
+    assert {(r.doc_id, r.piece, r.n_words, r.bin_id, r.bin_offset) for r in got} == want
+    assert len(by_shard) == 5 and max(map(len, by_shard.values())) < 2 * 200

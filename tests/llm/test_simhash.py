@@ -97,3 +97,50 @@ def test_whole_table_equals_brute_force(spark, tmp_path):
     for d, v in fp.items():
         smallest[root[v]] = min(smallest.get(root[v], d), d)
     assert got == {d: smallest[root[v]] for d, v in fp.items()}
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8, 9])
+def test_no_number_of_blocks_loses_a_link(spark, blocks):
+    fps = clusters(120, blocks, 3)
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp bigint")
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, blocks=blocks)).collect()}
+    want = plain_components([int(v) for v in fps])
+    signed = lambda v: int(np.uint64(v).view(np.int64))
+    pairs = {}
+    for v in fps:
+        pairs.setdefault(want[int(v)], set()).add(got.get(signed(v), signed(v)))
+    assert all(len(roots) == 1 for roots in pairs.values())
+    assert len({r for roots in pairs.values() for r in roots}) == len(pairs)
+
+
+def test_blocks_grow_with_the_nodes():
+    chosen = [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**12)]
+    assert chosen == sorted(chosen) and chosen[0] == 6 and chosen[3] == 7 and chosen[4] == 8
+    assert all(sum(simhash.block_widths(b)) == 64 for b in range(6, 13))
+
+
+def test_large_groups_are_exchanged_in_parts(spark):
+    base = 0x0F0F_3333_5555_7777
+    fps = [base ^ (1 << i) ^ (1 << j) for i in range(62) for j in range(i)]
+    marked = spark.createDataFrame([(10_000 - k, v) for k, v in enumerate(fps)] + [(None, 0)], "doc_id bigint, fp bigint")
+    got = simhash.groups(marked).collect()
+    assert len(got) == len(fps) + 1
+    assert {(r.root, r.component_id) for r in got} == {(min(fps), 10_000 - len(fps) + 1), (0, None)}
+
+
+def test_private_names_do_not_clash(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta " * 9
+    names = ["doc_id", "text", "_fp", "_id", "_own_fp", "_KEY", "_kept_key", "key", "root", "a.b", "salt"]
+    df = spark.createDataFrame([(4, text, *range(9)), (2, text, *range(9)), (2, text, *range(9)), (3, "other words are here", *range(9)), (None, None, *range(9))], ", ".join(f"`{n}` {'string' if n == 'text' else 'bigint'}" for n in names))
+    kept = simhash.keep_one(df)
+    assert kept.columns == names
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(2, text), (3, "other words are here"), (None, None)], key=str)
+
+
+def test_the_row_that_stays_is_defined(spark):
+    """Of rows of one id that differ in their text the same one stays, however they are dealt."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(w if i != k else "other" for i, w in enumerate(words))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {tuple(r.text for r in simhash.keep_one(df.repartition(n)).collect()) for n in (1, 3, 5)}
+    assert len(kept) == 1

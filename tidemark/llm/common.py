@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``: what separates words everywhere in this package.
@@ -25,16 +26,30 @@ _powers: list[np.ndarray] = []
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder the cluster shares, so that a lost executor costs a re-read only.
 
-    The folder is ``spark.checkpoint.dir`` of the session; a temporary one is
-    set only where that is unset (tests, one machine).
+    The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset,
+    one machine (a ``local`` master) gets a temporary folder and a cluster an
+    error, for the driver's disk is not the executors'.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (w + "_" * i for i in range(len(taken) + 1)) if n.lower() not in taken) for w in wanted]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

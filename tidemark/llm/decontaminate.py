@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, mix, slices, utf8, word_hashes
+from tidemark.llm.common import checkpointed, column, mix, slices, unused, utf8, word_hashes
 
 MASKS = ("11111", "111101", "1101101", "10101011")
 LIGHT_MASKS, LIGHT_WORDS = ("1111", "11011", "10111", "11101"), 10
@@ -106,7 +106,7 @@ def segments(docs: DataFrame, known: np.ndarray, key: Column, masks: tuple[str,
     """``key, doc_id, start, words, hashes, offsets``: stretches of word hashes around seeds whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known, bitorder="little"))
     longest = max(map(len, masks))
-    chosen = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = docs.select(key.alias("key"), column(id_col).alias("doc_id"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -195,7 +195,7 @@ def leaks_by_row(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """``key, doc_id, item_id, first_word, n_words, n_equal``; key is a hash of the row's id and text."""
     items = checkpointed(item_words(benchmark))
     known = checkpointed(item_seeds(items))
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    key = F.xxhash64(column(id_col), column(text_col))
     short = items.where(F.size("words") <= LIGHT_WORDS).limit(1).count() > 0
     found = segments(docs, seed_filter(known), key, MASKS + LIGHT_MASKS if short else MASKS, id_col=id_col, text_col=text_col)
     found = checkpointed(found.withColumn("segment", F.xxhash64("key", "start")))
@@ -215,6 +215,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows into which a benchmark item leaked; all other rows and all columns stay."""
-    bad = checkpointed(leaks_by_row(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("key").alias("_leak")).distinct())
+    (leak,) = unused(docs.columns, "_leak")
+    bad = checkpointed(leaks_by_row(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("key").alias(leak)).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    return docs.join(bad, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("_leak"), "left_anti")
+    return docs.join(bad, F.xxhash64(column(id_col), column(text_col)) == F.col(leak), "left_anti")

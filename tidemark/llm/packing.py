@@ -10,14 +10,17 @@ the tightest compatible bin; if there is none a bin is opened.  Longest first.
 Documents over the capacity are cut into full pieces, each a bin of its own,
 and a rest that is packed like a document.
 
-Documents are dealt evenly to shards of ``SHARD`` by their row number in a
-checkpoint, each packed by itself, so a hot source or a large cluster spreads
-over all shards and no task sees more than a shard.  Only ids, lengths, sources
+Documents are dealt to shards of about ``SHARD`` by a hash of what is packed (id,
+source, length, fingerprint, and a count among rows equal in all of these), each
+packed by itself, so a hot source, a large cluster or a row repeated many times
+spreads over all shards and no task sees more than a shard.  The result follows
+from the rows alone, however they are partitioned.  Only ids, lengths, sources
 and clusters are shuffled, never texts.
 
 Rows: NULL and blank texts have length 0 and are packed like any other; a NULL
-source is a source of its own; NULL and repeated ids are packed row by row; an
-empty table gives an empty result.  Only id, text and source are read.
+source is a source of its own; NULL and repeated ids are packed row by row;
+equal rows are interchangeable; an empty table gives an empty result.  Only id,
+text and source are read.
 """
 
 from __future__ import annotations
@@ -111,13 +114,14 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_S
     """
     rows = checkpointed(measured(docs))
     grouped = rows.join(groups(rows.select("doc_id", "fp")).select("fp", F.col("root").alias("cluster")), "fp")
-    # the row number of a checkpoint is the same whenever a lost task runs again
-    dealt = checkpointed(grouped.select("doc_id", "source", "n_words", "cluster"))
-    shards = max(1, -(-dealt.count() // shard))
-    numbered = dealt.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    counted = checkpointed(grouped.groupBy("doc_id", "source", "n_words", "fp", "cluster").agg(F.count("*").alias("copies")))
+    total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    numbered = each.select("doc_id", "source", "n_words", "fp", "cluster", F.pmod(F.xxhash64("doc_id", "source", "n_words", "fp", "copy"), F.lit(shards)).alias("shard"))
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_words", "descending"), ("cluster", "ascending"), ("doc_id", "ascending"), ("source", "ascending")])
+        table = table.sort_by([("n_words", "descending"), *((c, "ascending") for c in ("cluster", "doc_id", "source", "fp"))])
         got = pack_shard(*(table.column(c).to_pylist() for c in ("n_words", "source", "cluster")), capacity, per_source)
         row, piece, start, n, where, offset = (pa.array(x, pa.int64()) for x in (zip(*got, strict=True) if got else [[]] * 6))
         name = str(table.column("shard")[0].as_py())

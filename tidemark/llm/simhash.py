@@ -5,12 +5,14 @@ repeats, hashed by XXH64 (seed 42); a bit is 1 if it is set in over half of
 the hashes.  Fingerprints within ``RADIUS`` bits are linked; components of
 links are the groups.
 
-Candidates: equal fingerprints are one node.  A fingerprint is cut into
-``BLOCKS`` blocks; two within ``RADIUS`` bits agree on at least
-``BLOCKS - RADIUS`` of them, so nodes meet in a bucket for each choice of that
-many blocks.  This loses no link.  A bucket of over ``TILE`` nodes is split
-into tiles and each pair of tiles is a cell of its own, so no task gets an
-unbounded group, and no bucket is capped.
+Candidates: equal fingerprints are one node.  A fingerprint is cut into blocks;
+two within ``RADIUS`` bits agree on at least all but ``RADIUS`` of them, so
+nodes meet in a bucket for each choice of that many blocks.  This loses no link
+for any number of blocks; the more nodes there are, the more blocks are cut and
+the longer the keys, so that chance buckets stay under ``CROWD`` nodes
+(``blocks_for``).  A bucket of over ``TILE`` nodes is split into tiles and each
+pair of tiles is a cell of its own, so no task gets an unbounded group, and no
+bucket is capped.
 
 Comparison: all cells of a task lie side by side as lanes; bit plane b holds
 bit b of 64 lanes a word.  For an offset k, planes are XORed with themselves
@@ -37,10 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import checkpointed, per_text, slices, utf8
+from tidemark.llm.common import checkpointed, column, per_text, slices, unused, utf8
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BLOCKS = 6
+#: Nodes that may share a bucket by chance.
+CROWD = 256
+#: Parts of a group in the exchanges by group.
+SALTS = 64
+#: Up to so many kept rows their keys (8 bytes each) are broadcast; beyond, the join is shuffled.
+BROADCAST_KEYS = 500_000
 #: Nodes of a bucket that are compared in one cell.
 TILE = 2048
 
@@ -78,16 +85,22 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed 64-bit number)."""
+    return _fingerprints(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")))
+
+
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """``fp`` in the place of ``text``, the last column."""
+    names = rows.columns[:-1]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
+            texts = utf8(batch.column(len(names)))
             fp = np.concatenate([fingerprints_of(texts[i:j]) for i, j in slices(texts, 1 << 19)])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
         return work
 
-    return per_text(docs, [id_col, text_col], make, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return per_text(rows, rows.columns, make, ", ".join([*(f"{n} {k}" for n, k in rows.dtypes[:-1]), "fp bigint"]))
 
 
 def _add(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +211,24 @@ def linked_groups(cells: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> t
     return mine[member], signed[member]
 
 
-def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def block_widths(blocks: int) -> list[int]:
+    base, more = divmod(64, blocks)
+    return [base + (i < more) for i in range(blocks)]
+
+
+def blocks_for(nodes: int, radius: int = RADIUS, crowd: int = CROWD) -> int:
+    """The least number of blocks with which at most ``crowd`` of so many nodes share a key by chance."""
+    blocks = radius + 2
+    while blocks < 12 and nodes > crowd << sum(sorted(block_widths(blocks))[: blocks - radius]):
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """Rows ``a < b`` of fingerprints that join all linked ``nodes`` (distinct, column fp); links, not all pairs."""
+    blocks = blocks_for(nodes.count(), radius) if blocks is None else blocks
     agree = blocks - radius
-    base, more = divmod(64, blocks)
-    widths = [base + (i < more) for i in range(blocks)]
+    widths = block_widths(blocks)
     starts = [sum(widths[:i]) for i in range(blocks)]
     part = lambda i: F.shiftrightunsigned("fp", starts[i]).bitwiseAND(F.lit((1 << widths[i]) - 1))
     keys = []
@@ -268,11 +294,18 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 
 def groups(marked: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """``fp, root, component_id`` of every distinct fingerprint of ``marked`` (doc_id, fp)."""
+    """``fp, root, component_id`` of every distinct fingerprint of ``marked`` (doc_id, fp).
+
+    Least ids go from nodes to groups and back by (root, salt), so that a group
+    of any size is exchanged in ``SALTS`` parts.
+    """
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     roots = components(links(nodes.select("fp"), radius=radius))
-    rooted = checkpointed(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
-    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    rooted = checkpointed(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id", salt.alias("salt")))
+    parts = rooted.groupBy("root", "salt").agg(F.min("doc_id").alias("doc_id"))
+    least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.collect_list("salt").alias("salts")).select("root", "component_id", F.explode("salts").alias("salt"))
+    return rooted.select("fp", "root", "salt").join(least, ["root", "salt"]).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
@@ -283,23 +316,22 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the one of the smallest id (of equal ids, any one)."""
-    names = docs.columns
-    marked = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col))
-    kept = groups(marked, radius=radius).select("fp", "root", "component_id")
-    # the least (id, fingerprint) of a group, so that one fingerprint speaks for it
-    least = marked.join(kept, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("_fp"), F.first("component_id").alias("_id")).select("_fp", "_id")
+    """``docs`` with one row of each group: of the rows of its smallest id the one of the least fingerprint, then of the least hash of id and text.
 
-    at, text_at = [F.col(f"`{c}`") for c in names], names.index(text_col)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(text_at))
-            if texts:
-                fp = np.concatenate([fingerprints_of(texts[i:j]) for i, j in slices(texts, 1 << 19)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_own_fp"])
-
-    fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    own = docs.select(*at).mapInArrow(mark, f"{fields}, _own_fp bigint")
-    chosen = own.join(least, (F.col("_own_fp") == F.col("_fp")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    return chosen.dropDuplicates(["_own_fp"]).select(*at)
+    Texts are fingerprinted once; the rows that stay are found again by that
+    hash.  Rows equal in id and text are one row to it, and the first met stays.
+    """
+    key, kept_key = unused(docs.columns, "_key", "_kept_key")
+    hashed = F.xxhash64(column(id_col), column(text_col))
+    marked = checkpointed(_fingerprints(docs.select(hashed.alias("key"), column(id_col).alias("doc_id"), column(text_col).alias("text"))))
+    grouped = groups(marked.select("doc_id", "fp"), radius=radius)
+    own = marked.join(grouped, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = own.groupBy("root").agg(F.min(F.struct("fp", "key")).alias("best"), F.count("*").alias("rows"))
+    kept = checkpointed(best.select(F.col("best.key").alias(kept_key), "rows").groupBy(kept_key).agg(F.sum("rows").alias("rows")))
+    n, most = kept.agg(F.count("*"), F.max("rows")).first()
+    kept = kept.select(kept_key)
+    kept = F.broadcast(kept) if n <= BROADCAST_KEYS else kept
+    chosen = docs.withColumn(key, hashed).join(kept, F.col(key) == F.col(kept_key), "left_semi")
+    if n and most > 1:  # some group has several rows of its smallest id: they may be equal
+        chosen = chosen.dropDuplicates([key])
+    return chosen.drop(key)
