@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, toxicity
+from tidemark.llm import common, quality, toxicity
 from tidemark.llm.training import labelled_sample
 
 
@@ -49,10 +49,61 @@ def test_screen_is_the_longest_common_subsequence():
             row = new
         return row[-1]
 
-    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(marks) if common(a, b) >= np.ceil(toxicity.SCREEN * len(b))}
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(marks) if common(a, b) >= toxicity.LENGTH}
     assert set(zip(w.tolist(), z.tolist(), strict=True)) == want
 
 
+def plain_value(word, z):
+    """The best piece of a word by the kernel's recursion, with no screen."""
+    own = plain_kernel(z, z, toxicity.LENGTH, toxicity.DECAY)
+    return max(plain_kernel(p, z, toxicity.LENGTH, toxicity.DECAY) / own for p in toxicity.windows(word))
+
+
+def test_pieces_of_a_word():
+    assert toxicity.windows(b"plain.") == [b"^plain$"]
+    assert set(toxicity.windows(b"b-l-o-c-k!")) >= {b"^b-l-o-c-k$", b"^block$"}
+    assert set(toxicity.windows(b"well-known")) == {b"^well-known$", b"^well$", b"^known$", b"^wellknown$"}
+    assert b"^block$" in toxicity.windows(b"bxlxoxcxk")
+    assert set(toxicity.windows("you\u00a0idiot".encode())) >= {b"^you$", b"^idiot$"}
+    assert toxicity.windows(b"a" * 100)[0] == b"^" + b"a" * 31 and all(len(p) <= 32 for p in toxicity.windows(b"a" * 100))
+
+
+def test_gapped_separated_and_inserted_insults_are_found():
+    """Variants of every landmark, nine in ten at least of each kind."""
+    model = toxicity.fit_toxicity(toy(600))
+    words = [z.strip(b"^$").decode() for z in model.landmarks]
+    kinds = {
+        "as it is": lambda w: w, "hyphens": "-".join, "dots": ".".join, "underscores": "_".join, "an x in every gap": "x".join, "blanks": " ".join, "upper case": str.upper,
+        "a letter put in": lambda w: w[: len(w) // 2] + "q" + w[len(w) // 2 :], "a letter doubled": lambda w: w[:2] + w[1:], "no-break space before": lambda w: "you\u00a0" + w, "joined by an underscore": lambda w: "you_" + w,
+    }
+    for kind, make in kinds.items():
+        caught = sum(model.scores([f"talen rover {make(w)} midop".encode()])[0] >= 0.5 for w in words)
+        assert caught >= 0.9 * len(words), (kind, caught, len(words))
+
+
+def test_scores_equal_a_plain_version_without_screen():
+    sample = toy(300)
+    model = toxicity.fit_toxicity(sample)
+    rng = random.Random(9)
+    for text, _ in sample[:200]:
+        if rng.random() < 0.5:
+            text = text.replace("nitwit", rng.choice(["n-i-t-w-i-t", "nitwt", "n*twit", "xnitwit"]))
+        worst = model.bias
+        for sentence in text.split(". "):
+            value = np.zeros(len(model.landmarks))
+            for w in toxicity.units(sentence.encode()):
+                value = np.maximum(value, [v if (v := min(1, plain_value(w, z))) >= toxicity.FLOOR else 0 for z in model.landmarks])
+            worst = max(worst, float(value @ model.weight) + model.bias)
+        want = 1 / (1 + np.exp(-(model.slope * worst + model.offset)))
+        assert model.scores([text.encode()])[0] == pytest.approx(want, rel=1e-3)
+
+
+def test_near_copies_are_one_document():
+    words = [f"w{i}".encode() for i in range(200)]
+    docs = [(words, 1), (words[:150] + [b"other"] + words[150:], 1), (words[::-1], 1), (words, 0), ([b"short"], 0), ([], 1)]
+    assert [(len(w), y) for w, y in toxicity.merged_copies(docs)] == [(401, 1), (200, 1), (200, 0), (1, 0), (0, 1)]
+
+
 def test_masked_and_dropped_letters_keep_their_kernel():
     marks = [b"^pathetic", b"^stupid$", b"^worthles", b"^idiot$"]
     model = toxicity.ToxicityModel(marks, np.ones(4, np.float32), 0.0)
@@ -60,7 +111,7 @@ def test_masked_and_dropped_letters_keep_their_kernel():
     got = model.values(words)
     for w in words:
         for j, z in enumerate(marks):
-            want = plain_kernel(b"^" + w + b"$", z, toxicity.LENGTH, toxicity.DECAY) / plain_kernel(z, z, toxicity.LENGTH, toxicity.DECAY)
+            want = plain_value(w, z)
             assert (got[w][j] if w in got else 0.0) == pytest.approx(min(want, 1) if want >= toxicity.FLOOR else 0.0, rel=1e-3), (w, z)
     assert all(w in got for w in words[:7])
     assert "plain" not in got
@@ -150,3 +201,56 @@ def test_quality_model_alone():
     assert s[0] > 0.5 > s[1]
     assert s[3] == pytest.approx(model.scores([b"plain plain"])[0], abs=0.2)
     assert np.array_equal(model.scores([b"useful prose", b"x"])[:1], model.scores([b"useful prose"]))
+
+
+def plain_features(text):
+    """Buckets of one text: 3- and 4-byte grams of its blank-edged words, its words, and one for each repeated word."""
+    mask, out = (1 << 64) - 1, []
+    power = [pow(common._BASE, i, 1 << 64) for i in range(5000)]
+    byte = [int(x) for x in common._BYTE]
+    mixed = 0xD6E8FEB86659FD93
+    words = text.encode().split()
+    for w in words:
+        edged = b" " + w + b" "
+        for g in quality.GRAMS:
+            for i in range(len(edged) - g + 1):
+                h = sum(byte[c] * power[k] for k, c in enumerate(edged[i : i + g])) & mask
+                out.append((h * mixed * (2 * g + 1) & mask) >> (64 - quality.BUCKET_BITS))
+        h = sum(byte[c] * power[k] for k, c in enumerate(w)) & mask
+        out.append((h * mixed & mask) >> (64 - quality.BUCKET_BITS))
+    return out + [quality.PAIR_BUCKET for a, b in zip(words, words[1:], strict=False) if a == b]
+
+
+def test_quality_scores_equal_plain_features_and_vectors():
+    rng = random.Random(6)
+    texts = ["", " ", "a", "one", "one", "one two", "two two two", "ünï cödé ünï", "tabs\tand\nlines  here", "x" * 90] + [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    weight = np.random.default_rng(1).normal(size=1 << quality.BUCKET_BITS).astype(np.float32)
+    model = quality.QualityModel(weight, 0.25)
+    got = model.scores([t.encode() for t in texts])
+    for t, p in zip(texts, got, strict=True):
+        f = plain_features(t)
+        margin = (sum(float(weight[b]) for b in f) / len(f) if f else 0.0) + 0.25
+        assert p == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-4), t
+    # a text's score does not depend on what stands beside it
+    assert [float(model.scores([t.encode()])[0]) for t in texts] == pytest.approx(list(got), rel=1e-9)
+
+
+def test_folded_weights_equal_softmax_over_the_mean_vector():
+    """The serving fold against the network itself: mean of vectors, output layer, softmax."""
+    sample = [("good clear words stand here " * 3, 1), ("bad bad junk junk junk " * 3, 0)] * 20
+    model = quality.fit_quality(sample)
+    rng = np.random.default_rng(2)
+    vectors, output, bias = rng.normal(size=(1 << quality.BUCKET_BITS, 4)).astype(np.float32), rng.normal(size=(4, 2)).astype(np.float32), np.array([0.1, 0.4])
+    folded = quality.QualityModel(vectors @ (output[:, 1] - output[:, 0]), float(bias[1] - bias[0]))
+    for text in ("some words", "some some words here", "x"):
+        z = vectors[plain_features(text)].mean(0) @ output + bias
+        p = np.exp(z) / np.exp(z).sum()
+        assert folded.scores([text.encode()])[0] == pytest.approx(p[1], rel=1e-4)
+    assert model.scores([sample[0][0].encode()])[0] > 0.5 > model.scores([sample[1][0].encode()])[0]
+
+
+def test_sample_takes_one_text_an_id(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} " * (1 + i % 3)) for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] * 3, "doc_id bigint, quality int, toxic int")
+    got = {tuple(labelled_sample(docs.repartition(n), labels, "quality", modulus=5, held_out=9)) for n in (1, 4)}
+    assert len(got) == 1 and len(got.pop()) == 4

@@ -62,10 +62,13 @@ def _features(texts: list[bytes]):
         starts, ends = edge[0::2], edge[1::2]
         words = ((prefix[ends] - prefix[starts]) * back[starts]) >> shift
     families.append((words, np.ones(len(starts), bool), starts))
-    # the word pair (w, w) has one bucket for every w
-    families.append((np.full(len(starts), PAIR_BUCKET, np.uint64), np.concatenate([[False], words[1:] == words[:-1]])[: len(starts)], starts))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
+    # the word pair (w, w) has one bucket for every w; a text's first word has none before it
+    again = np.concatenate([[False], words[1:] == words[:-1]])[: len(starts)]
+    first = np.searchsorted(starts, bounds[:-1])
+    again[first[first < len(starts)]] = False
+    families.append((np.full(len(starts), PAIR_BUCKET, np.uint64), again, starts))
     return families, bounds
 
 

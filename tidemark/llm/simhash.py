@@ -268,22 +268,28 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: int | None = None,
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v, m``: each edge with the least v of its u; a u of many edges is exchanged in ``SALTS`` parts."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", "m", F.explode("salts").alias("salt"))
+    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """``node, root`` (the least node reachable) for every node of the edges ``a, b``.
 
     Alternating large-star and small-star steps; each round is written to the
     shared checkpoint folder and the number of rounds grows as the logarithm of
-    the longest chain.  Joins are plain, so skewed nodes are split at run time.
+    the longest chain.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
+        edges = checkpointed(_with_least(large).select(pairs.alias("e")).select("e.*").where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

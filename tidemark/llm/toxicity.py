@@ -3,17 +3,21 @@
 Kernel.  Two words are compared by the gap-weighted subsequence kernel: every
 shared subsequence of ``LENGTH`` characters counts, a match that spans more
 characters counts ``DECAY`` less for each.  So an insult with characters
-inserted, gapped, masked, left out or appended keeps most of its value.  Words carry a mark at
-each end.  The value is taken relative to the landmark's own and capped at
-1; a sentence's value for a landmark is the best of its words.
-
-Model.  Landmarks come from labelled documents: word beginnings, chosen
-greedily to cover the toxic documents and few clean ones.  Landmark values of a
-sentence are whitened by the landmarks' own kernel matrix (Nyström), and a
-linear SVM (hinge loss, numpy SGD) separates sentences of clean documents from
-the most suspicious sentence of each toxic one, chosen anew each round.  A
-document's score is a logistic function, fitted on the training documents, of
-its worst sentence.
+inserted, gapped, masked, left out or appended keeps a part of its value.  A word
+is compared as its core, as the parts that punctuation cuts it into, as its
+letters alone (separators between letters cost nothing then) and, if one and
+the same sign stands in every gap, without that; each with a mark at both ends.
+The value is taken relative to the landmark's own and capped at 1; a sentence's
+value for a landmark is the best of its words.
+
+Model.  Landmarks come from labelled documents, near copies made one: word
+beginnings, chosen greedily to cover the toxic documents and few clean ones.
+Landmark values of a sentence are whitened by the landmarks' own kernel matrix
+(Nyström), and a linear SVM (squared hinge loss, Newton steps) separates
+sentences of clean documents from the most suspicious sentence of each toxic
+one, chosen anew each round, and from the landmarks themselves, as they are and
+altered.  A document's score is a logistic function, fitted on the training
+documents, of its worst sentence.
 
 Serving.  Words are remembered by the worker, so each distinct one is compared
 once.  A word that shares no subsequence of ``LENGTH`` characters with a
@@ -22,13 +26,16 @@ all words and landmarks, and only the pairs that pass take the full kernel.
 
 Rows: NULL and empty texts get the score of a text without insults; NULL ids
 pass through; repeated rows give equal results; an empty table gives an empty
-result.  Texts are read whole, words of any length in overlapping windows.
+result.  Texts are read whole, pieces of words of any length in overlapping
+windows of which the first carries the mark of a beginning.
 Without labelled rows of both classes every score is 0.  Only id and text are
 read.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -45,13 +52,16 @@ LANDMARKS = 40
 COVER = 4
 #: Landmarks are word beginnings of so many characters.
 SHORTEST, LONGEST = 4, 12
-SCREEN = 0.9
 #: A word's window and its step; landmarks with their mark are shorter than their difference allows.
 WINDOW, STEP = 32, 16
 #: Values under this count as none.
 FLOOR = 0.3
 REMEMBERED = 400_000
+#: Times each landmark is shown to the SVM as it is, and altered.
+PLAIN, ALTERED = 100, 200
 _EDGES = bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
+#: Punctuation and Unicode spaces inside a word.
+_INSIDE = re.compile(rb"[!-/:-@\[-`{-~]+|\xc2\xa0|\xe2\x80[\x80-\x8b\xaf]|\xe3\x80\x80")
 _SENTENCE_END = (b".", b"!", b"?")
 MARK, LAST = b"^", b"$"
 #: Digits and signs that stand for letters inside a word.
@@ -76,11 +86,21 @@ def units(text: bytes) -> list[bytes]:
 
 
 def windows(word: bytes) -> list[bytes]:
-    """The marked core of a word in pieces of at most ``WINDOW`` bytes that overlap by half."""
-    core = MARK + word.strip(_EDGES).translate(_STAND_INS) + LAST
-    if len(core) <= WINDOW:
-        return [core]
-    return [core[i : i + WINDOW] for i in range(0, len(core) - STEP, STEP)]
+    """What of a word is compared, each with its marks: its core, what punctuation cuts it into, and the letters alone.
+
+    A piece over ``WINDOW`` bytes is taken in windows that overlap by half, the
+    first with the mark of a beginning.
+    """
+    core = word.strip(_EDGES).translate(_STAND_INS)
+    parts = [p for p in _INSIDE.split(core) if p]
+    pieces = dict.fromkeys([core, *parts, b"".join(parts)] if len(parts) > 1 else [core])
+    # one sign put into every gap says nothing
+    pieces |= dict.fromkeys(p[0::2] for p in list(pieces) if len(p) > 6 and len(p) % 2 and len(set(p[1::2])) == 1)
+    out = []
+    for piece in pieces:
+        marked = MARK + piece + LAST
+        out += [marked] if len(marked) <= WINDOW else [marked[i : i + WINDOW] for i in range(0, len(marked) - STEP, STEP)]
+    return out
 
 
 def _matrix(words: list[bytes]) -> np.ndarray:
@@ -138,22 +158,21 @@ class ToxicityModel:
             return
         self.rows = _matrix(self.landmarks)
         self.own = subsequence_kernel(self.rows, self.rows)
-        lengths = np.array([len(z) for z in self.landmarks])
-        self.need = np.ceil(SCREEN * lengths).astype(np.uint8)
-        self.full = ((np.uint32(1) << lengths.astype(np.uint32)) - np.uint32(1)).astype(np.uint32)
-        self.masks = np.zeros((256, len(lengths)), np.uint32)
+        lengths = np.array([len(z) for z in self.landmarks], np.uint64)
+        self.full = (np.uint64(1) << lengths) - np.uint64(1)
+        self.masks = np.zeros((256, len(lengths)), np.uint64)
         for j, z in enumerate(self.landmarks):
             for i, c in enumerate(z):
-                self.masks[c, j] |= np.uint32(1 << i)
+                self.masks[c, j] |= np.uint64(1 << i)
 
-    def screened(self, words: np.ndarray, need: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(word, landmark) pairs whose longest common subsequence has ``need`` characters (``SCREEN`` of the landmark if not given), bit-parallel."""
-        v = np.full((len(words), len(self.landmarks)), 0xFFFFFFFF, np.uint32)
+    def screened(self, words: np.ndarray, need: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+        """(word, landmark) pairs whose longest common subsequence has ``need`` characters, bit-parallel."""
+        v = np.full((len(words), len(self.landmarks)), 0xFFFFFFFFFFFFFFFF, np.uint64)
         for i in range(words.shape[1]):
             m = self.masks[words[:, i]]
             u = v & m
             v = (v + u) | (v - u)
-        return np.nonzero(np.bitwise_count(~v & self.full) >= (self.need if need is None else need))
+        return np.nonzero(np.bitwise_count(~v & self.full) >= need)
 
     def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Landmark values of the words that have any."""
@@ -164,7 +183,7 @@ class ToxicityModel:
             part = pieces[start : start + 8192]
             rows = _matrix(part)
             # under LENGTH common characters the kernel is 0; any higher bar would drop values over FLOOR
-            w, z = self.screened(rows, LENGTH)
+            w, z = self.screened(rows)
             for j, mark in enumerate(self.landmarks):
                 i = w[z == j]
                 value = np.minimum(subsequence_kernel(rows[i], np.repeat(self.rows[[j], : len(mark)], len(i), 0)) / self.own[j], 1)
@@ -250,6 +269,35 @@ def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS)
     return chosen
 
 
+def merged_copies(docs: list[tuple[list[bytes], int]], hashes: int = 8, agree: int = 3) -> list[tuple[list[bytes], int]]:
+    """Documents with near copies made one (by min-hashes of their word pairs), so that what is copied is no evidence by itself."""
+    seeds = [np.uint64(x) for x in np.random.default_rng(3).integers(1, 2**63, hashes) * 2 + 1]
+    root = list(range(len(docs)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    met: dict[tuple[int, int], int] = {}
+    for i, (words, label) in enumerate(docs):
+        pairs = np.array([zlib.crc32(a + b" " + b) for a, b in zip(words, words[1:] or words, strict=False)], np.uint64)
+        if not len(pairs):
+            continue
+        with np.errstate(over="ignore"):
+            least = [(k, int(((pairs + np.uint64(k)) * s ^ (pairs * s >> np.uint64(31))).min()), label) for k, s in enumerate(seeds)]
+        for other, n in Counter(met[x] for x in least if x in met).items():
+            if n >= agree:
+                root[find(i)] = find(other)
+        for x in least:
+            met.setdefault(x, i)
+    groups: dict[int, list[bytes]] = {}
+    for i, (words, _) in enumerate(docs):
+        groups.setdefault(find(i), []).extend(words)
+    return [(words, docs[i][1]) for i, words in groups.items()]
+
+
 def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
     """The word with separators or letters put in, or a letter masked or left out, as evaders do."""
     style = rng.integers(6)
@@ -263,10 +311,10 @@ def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
     return word[:at] + bytes([(b"*.-_xz" if style == 2 else b"aeiouxyz")[rng.integers(6)]]) + word[at:]
 
 
-def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int = 3, decay: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int = 3, decay: float = 3e-4) -> ToxicityModel:
     pool: dict[bytes, bytes] = {}  # equal words are one object
     docs = [([pool.setdefault(w, w) for w in units(text.encode())], label) for text, label in sample]
-    marks = choose_landmarks(docs) if len({y for _, y in docs}) == 2 else []
+    marks = choose_landmarks(merged_copies(docs)) if len({y for _, y in docs}) == 2 else []
     model = ToxicityModel(marks, np.zeros(len(marks), np.float32), -1.0)
     if not marks:
         return model
@@ -278,7 +326,7 @@ def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int =
     model.active = model.values(list(pool))
     bags = [(model.sentences(words) or [np.zeros(len(marks), np.float32)], label) for words, label in docs]
     # each landmark as a sentence of its own, as it is and with characters put in
-    altered = [w for z in marks for w in [z.strip(MARK + LAST)] * 20 + [_inserted(z.strip(MARK + LAST), rng) for _ in range(12)]]
+    altered = [w for z in marks for w in [z.strip(MARK + LAST)] * PLAIN + [_inserted(z.strip(MARK + LAST), rng) for _ in range(ALTERED)]]
     seen = model.values(altered)
     extra = [seen[w] for w in altered if w in seen]
     clean = np.array([s for bag, y in bags if not y for s in bag]) @ whiten
