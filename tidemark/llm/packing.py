@@ -113,8 +113,9 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_S
     group; ``bin_id`` is ``shard number / bin number``.
     """
     rows = checkpointed(measured(docs))
-    grouped = rows.join(groups(rows.select("doc_id", "fp")).select("fp", F.col("root").alias("cluster")), "fp")
-    counted = checkpointed(grouped.groupBy("doc_id", "source", "n_words", "fp", "cluster").agg(F.count("*").alias("copies")))
+    # equal rows are counted before the join, so that no fingerprint's rows are gathered in one task
+    same = rows.groupBy("doc_id", "source", "n_words", "fp").agg(F.count("*").alias("copies"))
+    counted = checkpointed(same.join(groups(rows.select("doc_id", "fp")).select("fp", F.col("root").alias("cluster")), "fp"))
     total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
     each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
