@@ -92,3 +92,14 @@ def test_mixture_sums_to_one():
 def test_packing_of_integers():
     for values in ([], [0], [255, 256], [2**61, 3]):
         assert lm._unpacked(lm._packed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_chunks_follow_the_bytes(spark, monkeypatch):
+    assert lm.chunks_for(0, 4) == 8 and lm.chunks_for(1 << 30, 4) == 64
+    for size in (10**9, 10**12, 10**14):
+        chunk = size / lm.chunks_for(size, 8)
+        assert chunk <= max(lm.CHUNK_BYTES, (lm.REQUEST_BYTES * size) ** 0.5)
+    docs = [(i, f"some words {i % 7} come again and {i} {'no' * (i % 3)}") for i in range(300)]
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(lm, "REQUEST_BYTES", 1)
+    compare(spark.createDataFrame(docs, "doc_id bigint, text string"), docs)

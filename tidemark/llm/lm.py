@@ -19,7 +19,9 @@ their chunk's answers in a co-group.  All of it is shuffled by chunk or by
 range of a hash, so hot words are one entry a chunk and weigh no more than rare
 ones; nothing of the corpus's size reaches the driver or is broadcast.  What
 does reach it is the EM histogram, whose cells are quantised probabilities
-(at most 40 x 160 x 160, in practice thousands).
+(at most 40 x 160 x 160, in practice thousands).  A chunk and a hash range are
+held whole by one worker, so their number follows the bytes of the texts
+(``chunks_for``), not a setting alone.
 
 Rows: NULL and blank texts are the end alone; NULL and repeated ids are scored
 row by row; an empty table gives an empty result; without training rows every
@@ -28,6 +30,7 @@ token has probability 1/(V + 1) = 1.  Only the id and the text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, crc_mod, mix, shuffle_partitions, slices, utf8, word_hashes
+from tidemark.llm.common import checkpointed, column, crc_mod, mix, shuffle_partitions, slices, utf8, word_hashes
 
 #: Bits kept of a word's hash and of a bigram's (shorter keys lie closer together, so their differences pack better);
 #: a bigram shares its key with another one with a chance of (distinct bigrams) / 2**54.
@@ -47,6 +50,8 @@ LEVEL = 6
 #: Two low bits of a key say whose occurrence it is.
 OTHER, TRAINED, DELETED = 0, 1, 2
 _END = np.uint64(0x5DEECE66D1CE4E5B)
+#: Bytes of text in a chunk; more only where requests (one a chunk and range) would fall under so many bytes each.
+CHUNK_BYTES, REQUEST_BYTES = 16 << 20, 512
 BUCKETS = 40
 #: Quantisation of log2 probabilities in the EM histogram, and its range.
 STEPS, RANGE = 4, 40
@@ -115,7 +120,7 @@ def _dealt(docs: DataFrame, chunks: int, modulus: int, held_out: int, id_col: st
     """
     residue = crc_mod("doc_id", modulus)
     kind = F.when(residue == held_out, OTHER).when(residue == (held_out + 1) % modulus, DELETED).otherwise(TRAINED)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("kind", kind)
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).withColumn("kind", kind)
     row = F.xxhash64("doc_id", "text")
     few = max(1, chunks // modulus)
     chunk = F.when(F.col("kind") == DELETED, F.lit(chunks) + F.pmod(row, F.lit(few))).otherwise(F.pmod(row, F.lit(chunks))).cast("int")
@@ -297,14 +302,20 @@ def _scored(dealt: DataFrame, answered: DataFrame, model: Mixture, doc_kind: str
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
+def chunks_for(size: int, partitions: int) -> int:
+    """How many chunks texts of ``size`` bytes are dealt to: twice the partitions at least, and as many as keep a chunk small."""
+    return max(2 * partitions, -(-size // max(CHUNK_BYTES, math.isqrt(REQUEST_BYTES * size))))
+
+
 def lm_scores(docs: DataFrame, *, modulus: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Documents whose crc32(id) mod ``modulus`` is ``held_out`` are not learned
     from; those of the next residue are the deleted ones.
     """
-    ranges = shuffle_partitions(docs.sparkSession)
-    chunks = 2 * ranges
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(column(text_col))), F.lit(0))).first()[0]
+    chunks = chunks_for(size, shuffle_partitions(docs.sparkSession))
+    ranges = -(-chunks // 2)
     dealt = _dealt(docs, chunks, modulus, held_out, id_col, text_col)
     asked = requests(dealt, ranges).withColumn("with_deleted", F.col("chunk") >= chunks)
     answered = checkpointed(answers(asked))
