@@ -74,3 +74,15 @@ def test_query_gives_the_payload_back(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert seen.setdefault(r.payload_sha256, (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
     assert tiff.tiff_pages(tiff.text_media(spark.createDataFrame([], "doc_id bigint, text string")), keep=["doc_id"]).count() == 0
+
+
+def test_a_page_without_samples_is_an_error():
+    good = tiff.write_tiff([(np.zeros((2, 64), np.uint8), tiff.Form(tiff.NONE, 1))])
+    for tag in (tiff.SAMPLES, tiff.WIDTH, tiff.LENGTH):
+        at = next(i for i in range(len(good) - 12) if good[i : i + 2] == struct.pack("<H", tag) and struct.unpack_from("<I", good, i + 4)[0] == 1 and i > 100)
+        bad = bytearray(good)
+        bad[at + 8 : at + 12] = b"\0\0\0\0"
+        (page,) = tiff.read_tiff(bytes(bad))
+        assert page.samples is None and page.error
+    (page,) = tiff.read_tiff(good)
+    assert page.error is None and len(page.samples) == 128

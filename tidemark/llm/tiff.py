@@ -85,32 +85,36 @@ def _codes_to_bytes(codes: list[int], widths: list[int]) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
+    """Words are (code of the word before its last byte) x 256 + that byte, so that a step is one look-up of a number."""
     codes, widths = [CLEAR], [9]
-    table = {bytes([b]): b for b in range(256)}
-    bound, width, word = FIRST, 9, b""
-    for b in data:
-        longer = word + bytes((b,))
-        if longer in table:
+    if not data:
+        return _codes_to_bytes([CLEAR, END], [9, 9])
+    table: dict[int, int] = {}
+    find = table.get
+    bound, width, word = FIRST, 9, data[0]
+    for b in data[1:]:
+        key = word << 8 | b
+        longer = find(key)
+        if longer is not None:
             word = longer
             continue
-        codes.append(table[word])
+        codes.append(word)
         widths.append(width)
-        table[longer] = bound
+        table[key] = bound
         bound += 1
         if bound + 1 > (1 << width) and width < 12:
             width += 1
         if bound == 4094:
             codes.append(CLEAR)
             widths.append(width)
-            table = {bytes([x]): x for x in range(256)}
+            table.clear()
             bound, width = FIRST, 9
-        word = longer[-1:]
-    if word:
-        codes.append(table[word])
-        widths.append(width)
-        bound += 1
-        if bound + 1 > (1 << width) and width < 12:
-            width += 1
+        word = b
+    codes.append(word)
+    widths.append(width)
+    bound += 1
+    if bound + 1 > (1 << width) and width < 12:
+        width += 1
     codes.append(END)
     widths.append(width)
     return _codes_to_bytes(codes, widths)
@@ -275,6 +279,8 @@ def _fill(row: Page, data: bytes, tags: dict[int, tuple]) -> None:
     row.width, row.height = one(WIDTH), one(LENGTH)
     row.samples_per_pixel, row.compression, row.predictor = one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
     row.layout = "tiles" if TILE_OFFSETS in tags else "strips"
+    if min(row.width, row.height, row.samples_per_pixel) < 1:
+        raise ValueError("a page without samples")
     if set(tags.get(BITS, (1,))) != {8}:
         raise ValueError("samples are not of 8 bits")
     if row.predictor not in (1, 2):
@@ -299,8 +305,8 @@ def _fill(row: Page, data: bytes, tags: dict[int, tuple]) -> None:
 #: Payloads are images of so many columns.
 COLUMNS = 64
 _FORMS = (
-    Form(DEFLATE, 2), Form(DEFLATE, 1, tile=64), Form(DEFLATE, 1), Form(PACKBITS, 1), Form(DEFLATE, 2, tile=64), Form(PACKBITS, 1, tile=64), Form(NONE, 2), Form(DEFLATE, 1, rows=128),
-    Form(PACKBITS, 1, rows=64), Form(DEFLATE, 2, rows=64), Form(NONE, 1, tile=64), Form(PACKBITS, 2), Form(DEFLATE, 1, tile=32), Form(DEFLATE, 2, rows=256), Form(PACKBITS, 1, rows=256), Form(LZW, 1),
+    Form(DEFLATE, 2), Form(DEFLATE, 1, tile=64), Form(LZW, 2), Form(PACKBITS, 1), Form(DEFLATE, 2, tile=64), Form(PACKBITS, 1, tile=64), Form(NONE, 2), Form(LZW, 1, rows=128),
+    Form(PACKBITS, 1, rows=64), Form(DEFLATE, 2, rows=64), Form(NONE, 1, tile=64), Form(LZW, 1, tile=64), Form(DEFLATE, 1, tile=32), Form(PACKBITS, 2), Form(DEFLATE, 1, rows=256), Form(LZW, 1),
 )
 
 
