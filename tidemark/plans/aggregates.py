@@ -168,7 +168,7 @@ GATE_SUMS = "g AS (SELECT l_suppkey, sum(l_quantity) AS q, avg(CASE WHEN l_retur
 
 @query(f"WITH {GATE_SUMS} SELECT l_suppkey, coalesce(CASE WHEN NOT (q > 100) THEN 'positive' WHEN NOT (ret_share < 0.5) THEN 'returns' WHEN NOT (disc < 0.05) THEN 'discount' WHEN NOT (parts >= 10) THEN 'breadth' END, 'accepted') AS verdict, (CASE WHEN q > 100 THEN 1 ELSE 0 END) + (CASE WHEN ret_share < 0.5 THEN 1 ELSE 0 END) + (CASE WHEN disc < 0.05 THEN 1 ELSE 0 END) + (CASE WHEN parts >= 10 THEN 1 ELSE 0 END) AS passed FROM g")
 def d41_gate_evaluation(spark, sf_dir):
-    """Gates in order, the first that fails, and how many pass."""
+    """Gates in order over sums of a group, the first that fails, and how many pass (the gates of D34-D44 are in ``plans.gates``)."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"), F.avg(F.when(c("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("ret_share"), F.round(F.avg("l_discount"), 9).alias("disc"), F.countDistinct("l_partkey").alias("parts"))
     gates = [("positive", "q > 100"), ("returns", "ret_share < 0.5"), ("discount", "disc < 0.05"), ("breadth", "parts >= 10")]
     verdict = F.coalesce(*[F.when(~F.expr(p), n) for n, p in gates], F.lit("accepted"))
