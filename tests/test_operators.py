@@ -267,3 +267,29 @@ def test_false_discovery_rate_is_ranked_by_slices(spark):
         least = min(least, p * len(ps) / rank)
         want[k] = least
     assert got == pytest.approx(want)
+
+
+def test_camel_case_headers_are_read(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("open_time,Open,High,Low,Close,Volume,fundingRate,openInterest,liqLongUsd,volRegime\n1704067200000,1,2,0.5,1.5,10,0.01,-,7,high\n")
+    (row,) = snapshots.snapshot_from_csv(spark, str(tmp_path / "n.csv")).collect()
+    assert (row.funding_rate, row.open_interest, row.liq_long_usd, row.invalid, row.vol_regime, row.regime_id) == (0.01, 0.0, 7.0, 1, "high", None)
+
+
+def test_asof_matches_age(spark):
+    left = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 10:00:00'), (1, TIMESTAMP '2024-01-01 12:00:00') AS t(k, at)")
+    right = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 09:30:00', 5) AS t(k, at, v)")
+    got = joins.asof_join(left, right, by=["k"], on="at", values=["v"], max_age=F.expr("INTERVAL 30 MINUTES")).orderBy("at").collect()
+    assert [r.v for r in got] == [5, None] and got[1].matched_at is None
+    assert [r.v for r in joins.asof_join(left, right, by=["k"], on="at", values=["v"]).orderBy("at").collect()] == [5, 5]
+
+
+def test_ranks_in_slices_equal_a_window(spark):
+    from pyspark.sql import Window as W
+
+    from tidemark.operators import windows
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.expr("id * 7919 % 97").alias("x"), "id")
+    got = windows.rank_in_slices(df, by="g", key="x", then=["id"], slices=16)
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("x"), "id")))
+    assert {(r.id, r["rank"]) for r in got.collect()} == {(r.id, r["rank"]) for r in want.collect()}
+    assert {r.top for r in got.select("top").distinct().collect()} == {96}

@@ -171,3 +171,18 @@ def funding_crossings(hours: int = 8) -> Column:
     """Settlements in (previous bar, this bar]; none on the first bar."""
     at = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / (hours * 3600))
     return F.coalesce(at - F.lag(at).over(by_symbol()), F.lit(0))
+
+
+def rank_in_slices(df: DataFrame, *, by: str, key: str, then: list, slices: int = 256) -> DataFrame:
+    """Adds ``rank`` (1 for the greatest ``key``, ties by ``then``) and ``top`` (the greatest key) within ``by``.
+
+    A group is cut into slices of its keys at approximate quantiles; a row's
+    rank is its number in its slice and the size of the slices above.  Equal
+    keys share a slice, so ranks are exact and no group is sorted by one task.
+    """
+    cuts = df.groupBy(by).agg(F.percentile_approx(key, F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(100 * slices)).alias("_cuts"), F.max(key).alias("top"))
+    cut = df.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < c(key)))).drop("_cuts")
+    sizes = cut.groupBy(by, "_slice").agg(F.count("*").alias("_n"))
+    above = sizes.select(by, "_slice", (F.sum("_n").over(W.partitionBy(by).orderBy(F.desc("_slice"))) - c("_n")).alias("_above"))
+    mine = F.row_number().over(W.partitionBy(by, "_slice").orderBy(F.desc(key), *then))
+    return cut.withColumn("_mine", mine).join(above, [by, "_slice"]).withColumn("rank", c("_mine") + c("_above")).drop("_mine", "_above", "_slice")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import c, clamp, r
-from tidemark.plans.registry import ORACLES, over_candles, query
+from tidemark.plans.registry import over_candles, query
 from tidemark.plans.series import REGIMES, RET, labelled, with_returns
 from tidemark.sources.tables import candles, table
 
@@ -146,21 +146,11 @@ def l71_revalidation(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(last, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", age.alias("age"), F.when(c("last").isNull(), "never").when(age > 400, "expired").otherwise("valid").alias("state"))
 
 
-@query("SELECT user_id, k, (ordinal - 1)::INTEGER AS ordinal, tag FROM (SELECT user_id, k, unnest(tags) AS tag, generate_subscripts(tags, 1) AS ordinal FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, string_split(event_type || '/' || CASE WHEN value > 50 THEN 'large' ELSE 'small' END, '/') AS tags FROM events WHERE event_id % 9 = 0))")
+@query("SELECT user_id, k, (ordinal - 1)::INTEGER AS ordinal, tag FROM (SELECT user_id, k, unnest(tags) AS tag, generate_subscripts(tags, 1) AS ordinal FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, string_split(event_type || '/' || CASE WHEN value > 50 THEN 'large' ELSE 'small' END, '/') AS tags FROM events))")
 def l96_exploded_trials(spark, sf_dir):
     """Nested phases as rows, the ordinal being their position."""
-    return _exploded_trials(table(spark, sf_dir, "events").where("event_id % 9 = 0"))
-
-
-@query(ORACLES["l96_exploded_trials"].replace(" WHERE event_id % 9 = 0", ""))
-def l96_exploded_trials_whole(spark, sf_dir):
-    """All events."""
-    return _exploded_trials(table(spark, sf_dir, "events"))
-
-
-def _exploded_trials(events):
     tags = F.split(F.concat_ws("/", "event_type", F.when(c("value") > 50, "large").otherwise("small")), "/")
-    e = events.select("user_id", F.from_json("props", "k int")["k"].alias("k"), F.posexplode(tags).alias("ordinal", "tag"))
+    e = table(spark, sf_dir, "events").select("user_id", F.from_json("props", "k int")["k"].alias("k"), F.posexplode(tags).alias("ordinal", "tag"))
     return e.select("user_id", "k", "ordinal", "tag")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import c, r
 from tidemark.operators import joins as j
-from tidemark.plans.registry import ORACLES, over_candles, query
+from tidemark.operators import windows as w
+from tidemark.plans.registry import over_candles, query
 from tidemark.sources.tables import candles, table
 
 
@@ -152,21 +153,11 @@ def c17_run_child_summaries(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(child, c("o_orderkey") == c("l_orderkey"), "left").na.fill(0, ["n_trials", "n_returned"]).select("o_orderkey", "n_trials", "n_returned", "best")
 
 
-@query("WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, sum(value) AS v FROM events WHERE user_id <= 12 GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, count(*) AS n, round(corr(a.v, b.v), 6) + 0.0 AS rho FROM d a JOIN d b ON a.day = b.day AND a.user_id < b.user_id GROUP BY 1, 2 HAVING count(*) > 4")
+@query("WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, sum(value) AS v FROM events GROUP BY 1, 2) SELECT a.user_id AS a, b.user_id AS b, count(*) AS n, round(corr(a.v, b.v), 6) + 0.0 AS rho FROM d a JOIN d b ON a.day = b.day AND a.user_id <> b.user_id WHERE a.user_id % 20 = 0 GROUP BY 1, 2 HAVING count(*) > 4")
 def c19_pairwise_correlation(spark, sf_dir):
-    return _pairwise_correlation(table(spark, sf_dir, "events").where("user_id <= 12"))
-
-
-@query(ORACLES["c19_pairwise_correlation"].replace(" WHERE user_id <= 12", ""))
-def c19_pairwise_correlation_whole(spark, sf_dir):
-    """All pairs of users; their number, and so the result, grows with the square of the users."""
-    return _pairwise_correlation(table(spark, sf_dir, "events"))
-
-
-def _pairwise_correlation(events):
-    d = events.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("v"))
-    a, b = d.select(c("user_id").alias("a"), "day", c("v").alias("va")), d.select(c("user_id").alias("b"), "day", c("v").alias("vb"))
-    return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), r(F.corr("va", "vb")).alias("rho")).where("n > 4")
+    """Candidates (users whose id is divisible by 20) against every other user, by the days they share."""
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("v"))
+    return j.correlations(d.where("user_id % 20 = 0"), d, by="user_id", on="day", value="v").where("n > 4").select("a", "b", "n", r("rho").alias("rho"))
 
 
 POSITIONS = "current AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS v FROM lineitem WHERE l_linenumber <= 3 AND l_suppkey % 3 <> 0 GROUP BY 1), target AS (SELECT l_suppkey AS symbol, sum(l_quantity) AS v FROM lineitem WHERE l_linenumber >= 3 AND l_suppkey % 4 <> 0 GROUP BY 1)"
@@ -241,20 +232,12 @@ def f09_warm_start_seeds(spark, sf_dir):
     return best.orderBy(F.desc("score"), "o_orderkey").limit(8)
 
 
-@query("SELECT o_orderkey, o_totalprice, rank, round(o_totalprice - top, 6) + 0.0 AS delta FROM (SELECT *, row_number() OVER w AS rank, first_value(o_totalprice) OVER w AS top FROM orders WHERE o_custkey < 50 WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderpriority, o_orderdate DESC, o_custkey, o_orderkey))")
+@query("SELECT o_orderkey, o_totalprice, rank, round(o_totalprice - top, 6) + 0.0 AS delta FROM (SELECT *, row_number() OVER w AS rank, first_value(o_totalprice) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderpriority, o_orderdate DESC, o_custkey, o_orderkey))")
 def f12_variant_ranking(spark, sf_dir):
-    return _variant_ranking(table(spark, sf_dir, "orders").where("o_custkey < 50"))
-
-
-@query(ORACLES["f12_variant_ranking"].replace(" WHERE o_custkey < 50", ""))
-def f12_variant_ranking_whole(spark, sf_dir):
-    """All orders; each status is ranked by one task."""
-    return _variant_ranking(table(spark, sf_dir, "orders"))
-
-
-def _variant_ranking(orders):
-    by = W.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderpriority", F.desc("o_orderdate"), "o_custkey", "o_orderkey")
-    return orders.select("o_orderkey", "o_totalprice", F.row_number().over(by).alias("rank"), r(c("o_totalprice") - F.first("o_totalprice").over(by)).alias("delta"))
+    """rank by a list of keys and the distance to the first, over groups of any size."""
+    o = table(spark, sf_dir, "orders")
+    ranked = w.rank_in_slices(o, by="o_orderstatus", key="o_totalprice", then=["o_orderpriority", F.desc("o_orderdate"), "o_custkey", "o_orderkey"])
+    return ranked.select("o_orderkey", "o_totalprice", "rank", r(c("o_totalprice") - c("top")).alias("delta"))
 
 
 @query("SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -295,17 +278,7 @@ def g03_set_union(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_suppkey").union(table(spark, sf_dir, "supplier").select("s_suppkey")).distinct()
 
 
-@query("WITH b AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS bucket FROM events WHERE user_id < 20), l AS (SELECT user_id, date_trunc('hour', ts) AS bucket, sum(value) AS v FROM events WHERE event_type = 'error' AND user_id < 20 GROUP BY 1, 2) SELECT user_id, bucket, round(coalesce(v, 0), 6) + 0.0 AS notional FROM b LEFT JOIN l USING (user_id, bucket)")
+@query("WITH b AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS bucket FROM events), l AS (SELECT user_id, date_trunc('hour', ts) AS bucket, sum(value) AS v FROM events WHERE event_type = 'error' GROUP BY 1, 2) SELECT user_id, bucket, round(coalesce(v, 0), 6) + 0.0 AS notional FROM b LEFT JOIN l USING (user_id, bucket)")
 def g04_zero_filled_buckets(spark, sf_dir):
     """Seen buckets with 0 where nothing was liquidated; one aggregation instead of a union and a join."""
-    return _zero_filled_buckets(table(spark, sf_dir, "events").where("user_id < 20"))
-
-
-@query(ORACLES["g04_zero_filled_buckets"].replace(" WHERE user_id < 20", "").replace(" AND user_id < 20", ""))
-def g04_zero_filled_buckets_whole(spark, sf_dir):
-    """All users."""
-    return _zero_filled_buckets(table(spark, sf_dir, "events"))
-
-
-def _zero_filled_buckets(events):
-    return events.groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(r(F.sum(F.when(c("event_type") == "error", c("value")).otherwise(0.0))).alias("notional"))
+    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(r(F.sum(F.when(c("event_type") == "error", c("value")).otherwise(0.0))).alias("notional"))

@@ -70,20 +70,11 @@ def i20_portfolio_allocation(spark, sf_dir):
     return portfolio.allocate(book, equity=2e6, per_symbol=9e5, leverage=2.5, drawdown_budget=0.6)
 
 
-@query("SELECT l_suppkey, l_partkey, round(CASE WHEN s > 0 THEN w / s ELSE 0 END, 6) + 0.0 AS weight FROM (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS s FROM (SELECT l_suppkey, l_partkey, least(0.2, CASE WHEN sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) > 0 THEN greatest(v, 0.0) / sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) ELSE 0 END) AS w FROM (SELECT l_suppkey, l_partkey, sum(l_discount - 0.03) AS v FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2)))")
+@query("SELECT l_suppkey, l_partkey, round(CASE WHEN s > 0 THEN w / s ELSE 0 END, 9) + 0.0 AS weight FROM (SELECT *, sum(w) OVER (PARTITION BY l_suppkey) AS s FROM (SELECT l_suppkey, l_partkey, least(0.2, CASE WHEN sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) > 0 THEN greatest(v, 0.0) / sum(greatest(v, 0.0)) OVER (PARTITION BY l_suppkey) ELSE 0 END) AS w FROM (SELECT l_suppkey, l_partkey, sum(l_discount - 0.03) AS v FROM lineitem GROUP BY 1, 2)))")
 def h47_score_tilt(spark, sf_dir):
-    return _score_tilt(table(spark, sf_dir, "lineitem").where("l_suppkey < 20"))
-
-
-@query(ORACLES["h47_score_tilt"].replace(" WHERE l_suppkey < 20", ""))
-def h47_score_tilt_whole(spark, sf_dir):
-    """All suppliers."""
-    return _score_tilt(table(spark, sf_dir, "lineitem"))
-
-
-def _score_tilt(lineitem):
-    v = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum(c("l_discount") - 0.03).alias("v"))
-    return portfolio.score_tilt(v, "v", by="l_suppkey", cap=0.2).select("l_suppkey", "l_partkey", r("weight").alias("weight"))
+    """Capped weights of a supplier's parts, made to sum to one."""
+    v = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(c("l_discount") - 0.03).alias("v"))
+    return portfolio.score_tilt(v, "v", by="l_suppkey", cap=0.2).select("l_suppkey", "l_partkey", r("weight", 9).alias("weight"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_extendedprice) * (5 + l_discount * 100) / 10000, 6) + 0.0 AS cost, round(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_extendedprice * l_tax / 100, 6) + 0.0 AS funding,
