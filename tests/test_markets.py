@@ -46,3 +46,40 @@ def test_margins_and_fills(spark):
     assert one(v.embargo_bars(F.lit(1000), F.lit(4), 0.02)) == 20
     with pytest.raises(ValueError, match="embargo"):
         v.embargo_bars(F.lit(1), F.lit(1), 0.2)
+
+
+def test_depth_diffs_by_the_rules():
+    from tidemark.streaming.events import DepthBook
+
+    up = lambda p, q: {"price": p, "qty": q}
+    book = DepthBook()
+    assert book.diff(1, 2, None, [], []) == ("awaiting_snapshot", None)
+    book.snapshot(100, [up(10.0, 1.0), up(9.0, 2.0)], [up(11.0, 1.0)])
+    assert book.diff(90, None, None, [], []) == ("parse_error", "missing_final_update_id")
+    assert book.diff(90, 99, None, [], []) == ("dropped_stale", None)
+    assert book.diff(101, 105, None, [], []) == ("resync_required", "first_update_does_not_bridge_snapshot")
+    assert book.diff(95, 105, None, [up(10.0, 0.0), up(9.5, 3.0)], [up(10.5, 1.0)]) == ("applied", None)
+    assert (book.shown()["best_bid"], book.shown()["best_ask"], book.shown()["mid"], book.shown()["levels"]) == (9.5, 10.5, 10.0, 4)
+    assert book.status == "resync_required"  # until a new snapshot
+    assert book.diff(106, 110, 104, [], []) == ("resync_required", "depth_pu_gap")
+    assert book.diff(108, 110, None, [], []) == ("resync_required", "depth_update_gap")
+    assert book.diff(106, 110, 105, [], []) == ("applied", None)
+    book.snapshot(200, [up(1.0, 1.0)], [])
+    assert (book.status, book.gaps, book.stale) == ("awaiting_bridge", 3, 1)
+    assert DepthBook(__import__("json").loads(book.held())).shown() == book.shown()
+
+
+def test_streamed_books_equal_a_plain_loop(spark, sf):
+    from tidemark import plans
+    from tidemark.streaming import events as s
+
+    got = {r.event_id: (r.action, r.reason, r.status, r.best_bid, r.best_ask, r.checksum) for r in plans.queries()["j05_depth_updates"](spark, sf).collect()}
+    rows = s.depth_messages(spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))).orderBy("at", "event_id").collect()
+    books, want = {}, {}
+    for r in rows:
+        book = books.setdefault(r.symbol, s.DepthBook())
+        did = book.snapshot(r.final_id, r.bids, r.asks) if r.kind == "snapshot" else book.diff(r.first_id, r.final_id, r.previous_id, r.bids, r.asks)
+        shown = book.shown()
+        want[r.event_id] = (*did, book.status, shown["best_bid"], shown["best_ask"], shown["checksum"])
+    assert got == want
+    assert {a for a, *_ in want.values()} >= {"applied", "resync_required", "snapshot", "awaiting_snapshot"}

@@ -204,6 +204,12 @@ def j04_stream_order_book(spark, sf_dir):
     return s.drained(s.order_books(s.event_stream(spark, sf_dir)), "update", ["user_id"])
 
 
+@query()
+def j05_depth_updates(spark, sf_dir):
+    """Snapshots and diffs applied to books, with gaps, stale diffs and resyncs; the tests hold it against a plain loop."""
+    return s.drained(s.depth_updates(s.depth_messages(s.event_stream(spark, sf_dir))), "append")
+
+
 @query("SELECT event_type, n, errors, round(1 - errors / n, 6) + 0.0 AS quality, round(span / 3600.0, 4) + 0.0 AS hours FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value < 1) AS errors, epoch(max(ts)) - epoch(min(ts)) AS span FROM events GROUP BY 1)")
 def j13_soak_report(spark, sf_dir):
     """J9, J13."""

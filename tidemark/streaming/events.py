@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +78,100 @@ def order_books(stream: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(update, "user_id bigint, best_bid double, best_ask double, bid_levels bigint, ask_levels bigint", "book string", "update", GroupStateTimeout.NoTimeout)
 
 
+LEVELS = "array<struct<price:double,qty:double>>"
+
+
+class DepthBook:
+    """One symbol's book: a snapshot, then diffs that must bridge it and follow each other without a gap."""
+
+    FIELDS = ("bids", "asks", "snapshot_id", "last_id", "applied", "gaps", "stale", "status")
+
+    def __init__(self, held: dict | None = None) -> None:
+        for name in self.FIELDS:
+            setattr(self, name, (held or {}).get(name))
+
+    def snapshot(self, update_id: int, bids: list, asks: list) -> tuple[str, str | None]:
+        self.bids, self.asks = ({f"{x['price']!r}": x["qty"] for x in side if x["qty"] > 0} for side in (bids, asks))
+        self.snapshot_id = self.last_id = update_id
+        self.applied, self.gaps, self.stale, self.status = 0, self.gaps or 0, self.stale or 0, "awaiting_bridge"
+        return "snapshot", None
+
+    def diff(self, first: int | None, final: int | None, previous: int | None, bids: list, asks: list) -> tuple[str, str | None]:
+        """The action taken on a diff and why."""
+        if self.snapshot_id is None:
+            return "awaiting_snapshot", None
+        if final is None:
+            return "parse_error", "missing_final_update_id"
+        if final < self.snapshot_id:
+            self.stale += 1
+            return "dropped_stale", None
+        if not self.applied:
+            reason = "first_update_does_not_bridge_snapshot" if first is not None and not first <= self.snapshot_id <= final else None
+        elif previous is not None:
+            reason = "depth_pu_gap" if previous != self.last_id else None
+        else:
+            reason = "depth_update_gap" if first is not None and first > self.last_id + 1 else None
+        if reason:
+            self.status, self.gaps = "resync_required", self.gaps + 1
+            return "resync_required", reason
+        for book, side in ((self.bids, bids), (self.asks, asks)):
+            for x in side:
+                if x["qty"] > 0:
+                    book[f"{x['price']!r}"] = x["qty"]
+                else:
+                    book.pop(f"{x['price']!r}", None)
+        self.last_id, self.applied = final, self.applied + 1
+        self.status = self.status if self.status == "resync_required" else "active"
+        return "applied", None
+
+    def shown(self) -> dict:
+        """Best prices, mid, spread and a checksum of the book."""
+        bids, asks = (sorted(((float(p), q) for p, q in (side or {}).items()), reverse=up) for side, up in ((self.bids, True), (self.asks, False)))
+        bid, ask = (side[0][0] if side else None for side in (bids, asks))
+        mid = None if bid is None or ask is None else (bid + ask) / 2
+        text = json.dumps([self.last_id, bids, asks], separators=(",", ":"))
+        return {"best_bid": bid, "best_ask": ask, "mid": mid, "spread_bps": (ask - bid) / mid * 1e4 if mid else None, "levels": len(bids) + len(asks), "checksum": hashlib.sha256(text.encode()).hexdigest()}
+
+    def held(self) -> str:
+        return json.dumps({name: getattr(self, name) for name in self.FIELDS})
+
+
+def depth_updates(stream: DataFrame) -> DataFrame:
+    """What each message (``symbol, at, event_id, kind, first_id, final_id, previous_id, bids, asks``) did to its symbol's book.
+
+    A message of kind "snapshot" sets the book anew, others are diffs.  Books are
+    keyed state; messages of a batch are taken in event-time order.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        book = DepthBook(json.loads(state.get[0]) if state.exists else None)
+        out = []
+        number = lambda x: None if pd.isna(x) else int(x)
+        for row in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples(index=False):
+            if row.kind == "snapshot":
+                did = book.snapshot(number(row.final_id), row.bids, row.asks)
+            else:
+                did = book.diff(number(row.first_id), number(row.final_id), number(row.previous_id), row.bids, row.asks)
+            out.append({"symbol": key[0], "event_id": row.event_id, "action": did[0], "reason": did[1], "status": book.status, **book.shown()})
+        state.update((book.held(),))
+        yield pd.DataFrame(out).astype({x: "float64" for x in ("best_bid", "best_ask", "mid", "spread_bps")})
+
+    fields = "symbol bigint, event_id bigint, action string, reason string, status string, best_bid double, best_ask double, mid double, spread_bps double, levels bigint, checksum string"
+    return stream.groupBy("symbol").applyInPandasWithState(update, fields, "book string", "append", GroupStateTimeout.NoTimeout)
+
+
+def depth_messages(events: DataFrame) -> DataFrame:
+    """Depth messages drawn from events: a purchase is a snapshot, the others diffs of two levels; sizes of 0 delete a level."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    level = lambda price, qty: F.struct(price.cast("double").alias("price"), qty.cast("double").alias("qty"))
+    size = F.greatest(k - 20, F.lit(0))
+    bids = F.array(level(F.lit(100) - k % 10, size), level(F.lit(90) - k % 7, k))
+    asks = F.array(level(F.lit(101) + k % 10, size), level(F.lit(111) + k % 7, k))
+    kind = F.when(c("event_type") == "purchase", "snapshot").otherwise("diff")
+    final = F.when(k % 29 != 3, c("event_id") - F.when(k % 13 == 5, 2000).otherwise(0))
+    return events.select(c("user_id").alias("symbol"), "at", "event_id", kind.alias("kind"), (c("event_id") - 300).alias("first_id"), F.when(kind == "snapshot", c("event_id")).otherwise(final).alias("final_id"), F.when(k % 31 == 7, c("event_id") - 1).alias("previous_id"), bids.alias("bids"), asks.alias("asks"))
+
+
 def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it wrote; with ``keys`` the last row of each.
 
@@ -101,11 +196,13 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set."""
+    """``spark.checkpoint.dir`` of the session; where none is set, a temporary folder on one machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-stream-")
         spark.sparkContext.setCheckpointDir(found)
     return found
