@@ -145,14 +145,22 @@ def test_signals_hold_and_stop():
     assert np.flatnonzero(leave).tolist() == [3, 7]
 
 
-def test_bootstrap_draws():
-    for kind, draw in resampling.DRAWS.items():
-        picks = list(draw(20, 4, random.Random(5)))
-        assert len(picks) == 20
-        assert all(0 <= p < 20 for p in picks)
-        assert picks == list(draw(20, 4, random.Random(5)))
-        if kind == "permutation":
-            assert sorted(picks) == list(range(20))
+def test_draws_are_repeatable_and_in_range(spark):
+    lengths = spark.createDataFrame([("a", 20), ("b", 3), ("c", 1)], "symbol string, n bigint")
+    for kind in ("moving_block", "stationary", "permutation"):
+        got = {}
+        for r in resampling.index_table(lengths, 5, kind).collect():
+            got.setdefault((r.symbol, r.seed), {})[r.position] = r.source
+        again = {(r.symbol, r.seed, r.position): r.source for r in resampling.index_table(lengths.repartition(3), 5, kind).collect()}
+        assert again == {(*k, p): s for k, v in got.items() for p, s in v.items()}
+        for (symbol, _), picks in got.items():
+            n = {"a": 20, "b": 3, "c": 1}[symbol]
+            assert sorted(picks) == list(range(n)) and all(0 <= s < n for s in picks.values())
+            if kind == "permutation":
+                assert sorted(picks.values()) == list(range(n)) and picks[0] == 0
+            if kind == "moving_block":
+                assert all(picks[p] == picks[p - 1] + 1 for p in range(n) if p % min(4, n))
+        assert len({tuple(v.values()) for (s, _), v in got.items() if s == "a"}) > 1
     assert len(list(resampling.wild_weights(9, 3, random.Random(1)))) == 9
 
 

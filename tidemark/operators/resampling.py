@@ -1,4 +1,4 @@
-"""Bootstrap, permutation and jump paths: one task a seed, indices joined back to the series."""
+"""Bootstrap, permutation and jump paths: drawn indices joined back to the series."""
 
 from __future__ import annotations
 
@@ -7,30 +7,19 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import c
 
 
-def moving_block(n: int, block: int, rng: random.Random) -> Iterator[int]:
-    """Blocks of consecutive positions from uniform starts, cut to n."""
-    made = 0
-    while made < n:
-        start = rng.randint(0, n - block)
-        take = min(block, n - made)
-        yield from range(start, start + take)
-        made += take
+BITS = 52
 
 
-def stationary(n: int, block: int, rng: random.Random) -> Iterator[int]:
-    """Goes on to the next position, or restarts with probability 1 / block; wraps around."""
-    at = rng.randrange(n)
-    yield at
-    for _ in range(n - 1):
-        at = rng.randrange(n) if rng.random() < 1 / block else (at + 1) % n
-        yield at
+def drawn_number(*keys: str | Column) -> Column:
+    """A number below 2**52 that follows from the keys alone (the head of a digest), so that any engine can draw it again."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[c(k).cast("string") for k in keys])), 1, BITS // 4), 16, 10).cast("bigint")
 
 
 def wild_weights(n: int, block: int, rng: random.Random) -> Iterator[float]:
@@ -45,29 +34,30 @@ def wild_weights(n: int, block: int, rng: random.Random) -> Iterator[float]:
         yield w
 
 
-def shuffled(n: int, block: int, rng: random.Random) -> Iterator[int]:
-    """A permutation that leaves position 0 in place."""
-    order = list(range(1, n))
-    rng.shuffle(order)
-    yield 0
-    yield from order
-
-
-DRAWS = {"moving_block": moving_block, "stationary": stationary, "permutation": shuffled}
-
-
 def index_table(lengths: DataFrame, seeds: int, kind: str, block: int = 4) -> DataFrame:
-    """``symbol, seed, position, source`` from ``lengths`` (symbol, n): one row of input a (symbol, seed)."""
-    draw, symbol_kind = DRAWS[kind], dict(lengths.dtypes)["symbol"]
-    tasks = lengths.crossJoin(F.broadcast(lengths.sparkSession.range(seeds).select(c("id").cast("int").alias("seed"))))
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for symbol, n, seed in batch[["symbol", "n", "seed"]].itertuples(index=False):
-                picks = list(draw(int(n), max(1, min(block, int(n))), random.Random(int(seed))))
-                yield pd.DataFrame({"symbol": symbol, "seed": seed, "position": range(len(picks)), "source": picks})
-
-    return tasks.mapInPandas(make, f"symbol {symbol_kind}, seed int, position bigint, source bigint")
+    """``symbol, seed, position, source`` from ``lengths`` (symbol, n), drawn by digests of (symbol, seed, what is drawn).
+
+    moving_block (I12): blocks of consecutive positions from uniform starts, cut to n.
+    stationary (I13): goes on to the next position, or restarts with probability 1 / block; wraps around.
+    permutation (I18): an order of all positions that leaves 0 in place.
+    """
+    tasks = lengths.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_block", F.least(F.lit(block), c("n")).cast("bigint"))
+    if kind == "moving_block":
+        blocks = tasks.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(c("n") / c("_block")) - 1)))
+        start = drawn_number("symbol", "seed", "_b", F.lit("start")) % (c("n") - c("_block") + 1)
+        each = blocks.withColumn("_start", start).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_block") - 1)))
+        return each.select("symbol", "seed", (c("_b") * c("_block") + c("_k")).alias("position"), (c("_start") + c("_k")).alias("source"), "n").where("position < n").drop("n")
+    each = tasks.withColumn("position", F.explode(F.sequence(F.lit(0).cast("bigint"), c("n") - 1)))
+    by = W.partitionBy("symbol", "seed")
+    if kind == "stationary":
+        again = (c("position") == 0) | (drawn_number("symbol", "seed", "position", F.lit("again")) % c("_block") == 0)
+        start = drawn_number("symbol", "seed", "position", F.lit("start")) % c("n")
+        last = F.last(F.when(again, F.struct("position", start.alias("start"))), ignorenulls=True).over(by.orderBy("position").rowsBetween(W.unboundedPreceding, 0))
+        return each.withColumn("_last", last).select("symbol", "seed", "position", ((c("_last.start") + c("position") - c("_last.position")) % c("n")).alias("source"))
+    if kind == "permutation":
+        order = F.when(c("position") > 0, drawn_number("symbol", "seed", "position", F.lit("order"))).otherwise(-1)
+        return each.select("symbol", "seed", (F.row_number().over(by.orderBy(order, "position")) - 1).cast("bigint").alias("position"), c("position").alias("source"))
+    raise ValueError(f"no such resampling: {kind}")
 
 
 def resampled(series: DataFrame, seeds: int, kind: str, block: int = 4) -> DataFrame:

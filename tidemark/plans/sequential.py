@@ -37,23 +37,35 @@ def i07_backtests(spark, sf_dir):
     return backtest.run_backtests(candles(spark, sf_dir))
 
 
-@query()
+def _draw(*keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 13))::BIGINT"
+
+
+LENGTHS = "lengths AS (SELECT symbol, count(*) AS n FROM rets GROUP BY symbol)"
+
+
+@query(over_candles(f"""SELECT symbol, seed, count(*) AS n, round(avg(ret), 12) + 0.0 AS mean, round(coalesce(stddev_samp(ret), 0), 8) + 0.0 AS sd
+FROM (SELECT symbol, seed, start + k AS source FROM (SELECT *, {_draw('symbol', 'seed', 'b', "'start'")} % (n - size + 1) AS start FROM (SELECT *, unnest(range(0, (n + size - 1) // size)) AS b FROM (SELECT *, least(4, n) AS size FROM lengths CROSS JOIN range(8) t(seed)))), range(4) u(k) WHERE k < size AND b * size + k < n) JOIN rets ON rets.symbol = symbol_ AND i = source GROUP BY symbol, seed""".replace("SELECT symbol, seed, start + k AS source", "SELECT symbol AS symbol_, seed, start + k AS source"), RET, LENGTHS))
 def i12_moving_block_bootstrap(spark, sf_dir):
-    """Sharpe ratio of each resampled path; the generator is Python's, so SQL cannot repeat it."""
+    """Mean and deviation of each path resampled by blocks."""
     drawn = resampling.resampled(with_returns(spark, sf_dir).select("symbol", "i", "ret"), 8, "moving_block")
-    return drawn.groupBy("symbol", "seed").agg(F.count("*").alias("n"), r(F.avg("ret")).alias("mean"), r(F.coalesce(F.stddev_samp("ret"), F.lit(0.0))).alias("sd"))
+    return drawn.groupBy("symbol", "seed").agg(F.count("*").alias("n"), r(F.avg("ret"), 12).alias("mean"), r(F.coalesce(F.stddev_samp("ret"), F.lit(0.0)), 8).alias("sd"))
 
 
-@query()
+@query(over_candles(f"""SELECT d.symbol, seed, count(*) AS n, round(avg(ret), 12) + 0.0 AS mean FROM (SELECT *, (start + p - since) % n AS source FROM (SELECT *, last_value(CASE WHEN again THEN p END IGNORE NULLS) OVER w AS since, last_value(CASE WHEN again THEN drawn % n END IGNORE NULLS) OVER w AS start
+FROM (SELECT *, p = 0 OR {_draw('symbol', 'seed', 'p', "'again'")} % least(4, n) = 0 AS again, {_draw('symbol', 'seed', 'p', "'start'")} AS drawn FROM (SELECT *, unnest(range(0, n)) AS p FROM lengths CROSS JOIN range(4) t(seed))) WINDOW w AS (PARTITION BY symbol, seed ORDER BY p))) d JOIN rets ON rets.symbol = d.symbol AND i = source GROUP BY d.symbol, seed""", RET, LENGTHS))
 def i13_stationary_bootstrap(spark, sf_dir):
+    """Blocks of random length that wrap around."""
     drawn = resampling.resampled(with_returns(spark, sf_dir).select("symbol", "i", "ret"), 4, "stationary")
-    return drawn.groupBy("symbol", "seed").agg(F.count("*").alias("n"), r(F.avg("ret")).alias("mean"))
+    return drawn.groupBy("symbol", "seed").agg(F.count("*").alias("n"), r(F.avg("ret"), 12).alias("mean"))
 
 
-@query()
+@query(over_candles(f"""SELECT symbol, seed, position, source, round(start * exp(sum(lr) OVER (PARTITION BY symbol, seed ORDER BY position)), 5) + 0.0 AS close FROM (SELECT symbol, seed, i AS source, row_number() OVER (PARTITION BY symbol, seed ORDER BY CASE WHEN i = 0 THEN -1 ELSE {_draw('symbol', 'seed', 'i', "'order'")} END, i) - 1 AS position,
+ start, lr FROM (SELECT symbol, i, first_value(close) OVER w AS start, coalesce(ln(close / lag(close) OVER w), 0) AS lr FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY i)) CROSS JOIN range(3) t(seed))"""))
 def i18_permuted_paths(spark, sf_dir):
+    """Every bar of the paths that shuffled returns make."""
     paths = resampling.permuted_paths(candles(spark, sf_dir), 3)
-    return paths.groupBy("symbol", "seed").agg(F.count("*").alias("n"), r(F.max_by("close", "position"), 4).alias("last_close"), F.countDistinct("source").alias("distinct_sources"))
+    return paths.select("symbol", "seed", "position", "source", r("close", 5).alias("close"))
 
 
 @query()
