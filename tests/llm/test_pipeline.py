@@ -53,3 +53,41 @@ def test_whole_run_equals_single_parts(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_words
         assert r.n_words <= packing.CAPACITY
     assert got == words
+
+
+def edge_docs(spark):
+    """Rows that the stages must live with: NULLs in every column, empty, long and repeated texts, ties, and extra columns with clashing names."""
+    fields = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, _leak int, _kept_key int, fp double, score int, shard string, chunk int, `a.b` string"
+    clean = "quiet words about the weather and the sea today"
+    texts = [(1, clean), (1, clean), (2, None), (3, ""), (4, "long " * 30_000 + "end"), (None, "no id stands here at all"), (5, "x"), (6, clean + " password=hunter2secret"), (None, None)]
+    rows = [(i, t, None if i == 3 else "en", None if i == 2 else "s", None if t is None else len(t), "k", 1, 2, 0.5, 3, "s", 4, "dot") for i, t in texts]
+    return spark.createDataFrame(rows, fields)
+
+
+def test_stages_keep_edge_rows_and_extra_columns(spark):
+    docs = edge_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        if name == "near_duplicates":
+            assert sorted((r.doc_id for r in rows), key=str) == sorted([1, 2, 4, None, 5, 6], key=str)  # ids 2, 3 and NULL without words are one group
+            assert sum(r.doc_id == 1 for r in rows) == 1
+        else:
+            assert len(rows) == docs.count(), name
+        if name == "secrets":
+            assert [(r.text, r.n_chars) for r in rows if r.doc_id == 6] == [("quiet words about the weather and the sea today [SECRET]", 56)]
+        assert stage(spark, docs.where("doc_id = 99"), SF).count() == 0, name
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert sum(r.n_words for r in packed.collect()) == sum(len((r.text or "").split()) for r in docs.collect())
+    assert packed.where("piece = 0").count() == docs.count()
+    assert corpus_pipeline.STAGES[4][1](spark, docs.where("doc_id = 99"), SF).count() == 0
+
+
+def test_toxic_rows_go_and_unlabelled_data_keep_all(spark):
+    docs = edge_docs(spark)
+    model = toxicity.ToxicityModel([], __import__("numpy").zeros(0, "float32"), -1.0)
+    assert toxicity.drop_toxic(docs, model).count() == docs.count()
+    real = toxicity.toxicity_model(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+    bad = spark.createDataFrame([(1, "you worthless pathetic idiot, you clown.", "x"), (2, None, "y"), (3, "a calm word", "z")], "doc_id bigint, text string, score string")
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(bad, real).collect()) == [2, 3]

@@ -89,6 +89,12 @@ def per_text(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.
     return chosen.mapInArrow(run, schema)
 
 
+def over_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` over all columns, which come and go in their order, whatever their names (dots, repeats, any case)."""
+    safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return safe.mapInArrow(run, safe.schema).toDF(*df.columns)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``_BASE**i`` and its inverse for i < n (grown by doubling, kept by the worker)."""
     if not _powers or len(_powers[0]) < n:

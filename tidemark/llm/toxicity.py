@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import crc_mod, per_text, utf8
+from tidemark.llm.common import crc_mod, over_rows, per_text, utf8
 from tidemark.llm.training import labelled_sample
 
 LENGTH, DECAY = 4, 0.75
@@ -56,7 +56,7 @@ SHORTEST, LONGEST = 4, 12
 WINDOW, STEP = 32, 16
 #: Values under this count as none.
 FLOOR = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Times each landmark is shown to the SVM as it is, and altered.
 PLAIN, ALTERED = 100, 200
 _EDGES = bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
@@ -423,4 +423,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.5,
                 score = np.concatenate([own.scores(texts[i : i + 512]) for i in range(0, len(texts), 512)])
                 yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_rows(docs, run)
