@@ -31,14 +31,14 @@ def listed(*rules: tuple[str, str]) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN '{n}' END" for p, n in rules) + ")"
 
 
-def gate(name: str, source: str, keys: str, inputs: dict[str, str], outputs: dict[str, Column | Callable[[], Column]], sql: dict[str, str], *, doc: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Register ``name``: the outputs over the inputs of every row of a table, and the SQL of the same."""
+def gate(name: str, source: str, keys: str, inputs: dict[str, str], outputs: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], *, doc: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Register ``name``: the outputs (made when a session is there) over the inputs of every row of a table, and the SQL of the same."""
 
     key_names = keys.split(", ")
 
     def run(spark, sf_dir):
         df = prepare(table(spark, sf_dir, source).select(*key_names, *[F.expr(e).alias(n) for n, e in inputs.items()]))
-        return df.select(*key_names, *[(x() if callable(x) else x).alias(n) for n, x in outputs.items()])
+        return df.select(*key_names, *[(x() if callable(x) else x).alias(n) for n, x in outputs().items()])
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
@@ -51,7 +51,7 @@ PRETRADE_FLAGS = ("artifact_approved", "artifact_expired", "symbol_allowed", "pa
 gate(
     "b29_pretrade_checks", "orders", "o_orderkey",
     {f: f"(o_orderkey * {2 * i + 3} + o_custkey) % {i + 17} {'=' if f in ('artifact_expired', 'duplicate_client_order_id') else '<>'} 0" for i, f in enumerate(PRETRADE_FLAGS)},
-    {"rejections": q.all_broken(g.pretrade()), "first_rejection": q.first_broken(g.pretrade(), "passed"), "n_rejections": q.count_broken(g.pretrade())},
+    lambda: {"rejections": q.all_broken(g.pretrade()), "first_rejection": q.first_broken(g.pretrade(), "passed"), "n_rejections": q.count_broken(g.pretrade())},
     {
         "rejections": listed(("NOT artifact_approved", "artifact_not_approved"), ("artifact_expired", "artifact_expired"), ("NOT symbol_allowed", "symbol_not_allowed"), ("NOT paper_mode_allowed", "paper_mode_not_allowed"), ("NOT market_fresh", "market_data_stale"), ("NOT book_gap_clean", "book_gap_detected"), ("NOT reconciliation_clean", "reconciliation_dirty"), ("duplicate_client_order_id", "duplicate_client_order_id"),
                              ("NOT rate_limit_ok", "rate_limit_block"), ("NOT margin_ok", "margin_leverage_block"), ("NOT venue_rules_ok", "venue_rule_block"), ("NOT spread_depth_ok", "spread_depth_block"), ("NOT funding_ok", "funding_block"), ("NOT liquidation_ok", "liquidation_block"), ("NOT portfolio_risk_ok", "portfolio_risk_block")),
@@ -62,21 +62,21 @@ gate(
 
 gate(
     "b31_funding_guard", "events", "event_id", {"action": pick("event_id % 5", "open", "increase", "reduce", "close", None), "now": "ts", "next_funding": "date_trunc('hour', ts) + INTERVAL 1 HOUR", "funding_cost_bps": share("event_id % 400", 10)},
-    {"rejections": q.all_broken(g.funding_guard(25.0, 900))},
+    lambda: {"rejections": q.all_broken(g.funding_guard(25.0, 900))},
     {"rejections": listed(("action IN ('open', 'increase') AND epoch(next_funding) - epoch(now) BETWEEN 0 AND 900", "near_funding_open_block"), ("funding_cost_bps > 25", "funding_cost_budget_exceeded"))},
     doc="B31: no opening shortly before funding, and a budget of its cost.",
 )
 
 gate(
     "b32_liquidation_guard", "lineitem", "l_orderkey, l_linenumber", {"mark": "l_extendedprice", "liquidation": "l_extendedprice * (1 - CAST((l_partkey * 7 + l_orderkey) % 1200 AS DOUBLE) / 10000)"},
-    {"distance_bps": r("distance_bps", 4), "rejections": q.all_broken(g.liquidation_guard(300.0, 250.0))},
+    lambda: {"distance_bps": r("distance_bps", 4), "rejections": q.all_broken(g.liquidation_guard(300.0, 250.0))},
     {"distance_bps": "round(abs(mark - liquidation) / greatest(abs(mark), 1e-9) * 10000, 4) + 0.0", "rejections": listed(("abs(mark - liquidation) / greatest(abs(mark), 1e-9) * 10000 < 300", "liquidation_distance_breach"), ("abs(mark - liquidation) / greatest(abs(mark), 1e-9) * 10000 - 250 < 300", "stress_liquidation_distance_breach"))},
     prepare=lambda df: df.withColumn("distance_bps", g.liquidation_distance("mark", "liquidation")), doc="B32: distance of the liquidation price, plain and under stress.",
 )
 
 gate(
     "b33_margin_check", "customer", "c_custkey", {"margin_mode": pick("c_custkey % 4", "isolated", "isolated", "cross", None), "leverage": "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS INTEGER) + 1 END"},
-    {"rejections": q.all_broken(g.margin_check("isolated", 2))}, {"rejections": listed(("margin_mode IS DISTINCT FROM 'isolated'", "margin_mode_mismatch"), ("leverage IS DISTINCT FROM 2", "leverage_mismatch"))}, doc="B33: margin mode and leverage as expected.",
+    lambda: {"rejections": q.all_broken(g.margin_check("isolated", 2))}, {"rejections": listed(("margin_mode IS DISTINCT FROM 'isolated'", "margin_mode_mismatch"), ("leverage IS DISTINCT FROM 2", "leverage_mismatch"))}, doc="B33: margin mode and leverage as expected.",
 )
 
 gate(
@@ -86,7 +86,7 @@ gate(
         "best_bid": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE 12600.0 END", "best_ask": "12610.0", "time_in_force": pick("l_partkey % 3", "GTC", "GTX", None), "reduce_only": "l_suppkey % 4 = 0", "intent": pick("l_linenumber % 3", "open", "reduce", "close"),
         "position": "CASE WHEN l_suppkey % 8 = 0 THEN 0.0 ELSE -0.02 END", "submitted_at": "l_shipdate", "expires_at": "CASE WHEN l_orderkey % 11 = 0 THEN l_shipdate WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_shipdate + INTERVAL 1 HOUR END",
     },
-    {"issues": q.all_broken(g.venue_order(5.0)), "rounded_quantity": r("rounded_quantity"), "rounded_price": r("rounded_price")},
+    lambda: {"issues": q.all_broken(g.venue_order(5.0)), "rounded_quantity": r("rounded_quantity"), "rounded_price": r("rounded_price")},
     {
         "issues": listed(
             ("quantity <= 0", "quantity_must_be_positive"), ("price <= 0", "price_must_be_positive"), ("floor(quantity / 0.001::DOUBLE) * 0.001::DOUBLE <= 0", "quantity_below_step_size"), ("price <> round(round_even(price / 0.5::DOUBLE, 0) * 0.5::DOUBLE, 12)", "price_precision_violation"), ("floor(quantity / 0.001::DOUBLE) * 0.001::DOUBLE * price < 5", "min_notional_violation"),
@@ -107,7 +107,7 @@ gate(
         "desired_position_delta": BAD_DOUBLE.format(of="o_orderkey", value="CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE 1.5 END"), "max_slippage_bps": BAD_DOUBLE.format(of="o_custkey", value="5.0"), "max_spread_bps": BAD_DOUBLE.format(of="(o_custkey + 5)", value="4.0"), "max_participation_rate": share("o_orderkey % 13", 10),
         "funding_guard_policy": "CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE 'block' END", "liquidation_guard_policy": "CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 'block' END",
     },
-    {"issues": q.all_broken(g.order_intent())},
+    lambda: {"issues": q.all_broken(g.order_intent())},
     {
         "issues": listed(
             ("intent_id = ''", "missing_intent_id"), ("artifact_id IS NULL", "missing_artifact_id"), ("portfolio_plan_id = ''", "missing_portfolio_plan_id"), ("symbol = ''", "missing_symbol"), ("created_at = ''", "missing_created_at"), ("expires_at = ''", "missing_expires_at"), ("side = 'HOLD'", "invalid_side"), ("intent_type = 'other'", "invalid_intent_type"),
@@ -122,7 +122,7 @@ gate(
     "b36_venue_requests", "orders", "o_orderkey",
     {"venue": "CASE WHEN o_orderkey % 43 = 0 THEN '' ELSE 'binance' END", "symbol": "CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderstatus END", "side": pick("o_custkey % 4", "BUY", "SELL", "buy", None), "quantity": "CAST(o_orderkey % 10 AS DOUBLE) - 1", "type": pick("o_custkey % 3", "limit", "MARKET", "LIMIT"), "price": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END",
      "client_order_id": "CASE WHEN o_orderkey % 53 = 0 THEN '' ELSE 'c' END", "metadata_hash": "CASE WHEN o_orderkey % 59 = 0 THEN 'short' WHEN o_orderkey % 61 = 0 THEN NULL ELSE repeat('0', 64) END"},
-    {"issues": q.all_broken(g.venue_request())},
+    lambda: {"issues": q.all_broken(g.venue_request())},
     {"issues": listed(("venue = ''", "missing_venue"), ("symbol IS NULL", "missing_symbol"), ("side IS NULL OR side = 'buy'", "invalid_side"), ("quantity <= 0", "invalid_quantity"), ("type ILIKE 'limit' AND price IS NULL", "limit_price_required"), ("client_order_id = ''", "missing_client_order_id"), ("metadata_hash IS NULL OR metadata_hash = 'short'", "invalid_metadata_hash"))},
     doc="B36: validity of a request to the venue.",
 )
@@ -131,7 +131,7 @@ TARGETS = ("target_weight", "target_notional", "max_loss_budget", "max_slippage_
 gate(
     "b37_symbol_targets", "customer", "c_custkey",
     {"symbol": "CASE WHEN c_custkey % 31 = 0 THEN NULL ELSE c_name END", "artifact_id": "CASE WHEN c_custkey % 29 = 0 THEN '' ELSE 'a' END", "role": "c_mktsegment", **{t: BAD_DOUBLE.format(of=f"(c_custkey + {3 * i})", value="c_acctbal") for i, t in enumerate(TARGETS)}, "rebalance_reason": "CASE WHEN c_custkey % 23 = 0 THEN '' ELSE 'drift' END"},
-    {"issues": q.all_broken(g.symbol_target())},
+    lambda: {"issues": q.all_broken(g.symbol_target())},
     {"issues": "concat_ws(',', CASE WHEN symbol IS NULL THEN 'missing_symbol' END, CASE WHEN artifact_id = '' THEN 'missing_artifact_id' END, CASE WHEN role = '' THEN 'missing_role' END, " + ", ".join(f"CASE WHEN NOT isfinite({t}) THEN 'non_finite_{t}' WHEN {t} < 0 THEN 'negative_{t}' END" for t in TARGETS) + ", CASE WHEN rebalance_reason = '' THEN 'missing_rebalance_reason' END)"},
     doc="B37: finite and non-negative amounts of a target.",
 )
@@ -139,14 +139,14 @@ gate(
 ADMISSION = ("exchange_status_trading", "usdm_linear_perp", "history_1h", "history_15m", "funding_history", "mark_price_history", "open_interest", "book_depth", "spread", "volume", "capacity", "slippage_model_confidence", "funding_stability", "correlation_cluster", "scenario_robustness", "paper_dry_run")
 gate(
     "b38_symbol_admission", "part", "p_partkey", {f: f"CASE WHEN p_partkey % 67 = {i} THEN NULL ELSE (p_partkey + p_size * {i + 1}) % {i + 19} <> 0 END" for i, f in enumerate(ADMISSION)},
-    {"rejections": q.all_broken(g.symbol_admission()), "paper_eligible": g.verdict(g.symbol_admission(), "yes", "no")},
+    lambda: {"rejections": q.all_broken(g.symbol_admission()), "paper_eligible": g.verdict(g.symbol_admission(), "yes", "no")},
     {"rejections": "array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce({f}, false) THEN NULL ELSE '{f}' END" for f in ADMISSION) + "], lambda x: x IS NOT NULL), ',')", "paper_eligible": "CASE WHEN " + " AND ".join(f"coalesce({f}, false)" for f in ADMISSION) + " THEN 'yes' ELSE 'no' END"},
     doc="B38: sixteen gates of a symbol's admission to paper trading.",
 )
 
 gate(
     "b39_symbol_demotion", "supplier", "s_suppkey", {"data_gap": "s_suppkey % 17 = 0", "liquidity_failure": "s_nationkey = 5", "reconciliation_issue": "s_acctbal < -500", "slippage_shock": "s_acctbal > 9000", "funding_shock": "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey = 9 END", "repeated_strategy_failure": "s_suppkey % 23 = 0"},
-    {"target_state": g.verdict(g.symbol_demotion(), "PAPER_ACTIVE", "REDUCE_ONLY"), "reasons": q.all_broken(g.symbol_demotion())},
+    lambda: {"target_state": g.verdict(g.symbol_demotion(), "PAPER_ACTIVE", "REDUCE_ONLY"), "reasons": q.all_broken(g.symbol_demotion())},
     {"target_state": "CASE WHEN data_gap OR liquidity_failure OR reconciliation_issue OR slippage_shock OR coalesce(funding_shock, false) OR repeated_strategy_failure THEN 'REDUCE_ONLY' ELSE 'PAPER_ACTIVE' END",
      "reasons": listed(("data_gap", "data_gap"), ("liquidity_failure", "liquidity_failure"), ("reconciliation_issue", "reconciliation_issue"), ("slippage_shock", "slippage_shock"), ("funding_shock", "funding_shock"), ("repeated_strategy_failure", "repeated_strategy_failure"))},
     doc="B39: any trouble demotes a symbol to REDUCE_ONLY.",
@@ -154,7 +154,7 @@ gate(
 
 gate(
     "b40_symbol_quarantine", "supplier", "s_suppkey", {"data_gap": "s_suppkey % 7 = 0", "reconciliation_issue": "s_acctbal < -500", "venue_rule_change": "s_nationkey = 3"},
-    {"target_state": g.verdict(g.symbol_quarantine(), "PAPER_ACTIVE", "QUARANTINED"), "reasons": q.all_broken(g.symbol_quarantine())},
+    lambda: {"target_state": g.verdict(g.symbol_quarantine(), "PAPER_ACTIVE", "QUARANTINED"), "reasons": q.all_broken(g.symbol_quarantine())},
     {"target_state": "CASE WHEN data_gap OR reconciliation_issue OR venue_rule_change THEN 'QUARANTINED' ELSE 'PAPER_ACTIVE' END", "reasons": listed(("data_gap", "data_gap"), ("reconciliation_issue", "reconciliation_issue"), ("venue_rule_change", "venue_rule_change"))},
     doc="B40: what puts a symbol into quarantine.",
 )
@@ -163,7 +163,7 @@ gate(
     "b22_data_sufficiency", "part", "p_partkey",
     {"symbol": pick("p_partkey % 4", "BTCUSDT", "ETHUSDT", "BTCUSDT", "SOLUSDT"), "venue": pick("p_partkey % 5", "binance", "Binance", "BINANCE", "binance", "bybit"), "timeframe": pick("p_size % 3", "1Hour", "15Min", "5Min"), "provider": pick("p_partkey % 6", "binance_perps", "binance_public_archive", "binance_public_ws_rest_bundle", "binance_perps", "csv", None),
      "n_bars": "p_partkey * 97 % 70000", "example_study": "p_size = 7", "has_source_hash": "p_partkey % 9 <> 0", "has_manifest": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE true END", "n_flags": "p_size % 4 - 1", "n_issues": "p_partkey % 3", "liquidation_observed": "p_partkey % 2 = 0", "liquidation_dependent": "p_size % 2 = 0"},
-    {"blockers": q.all_broken(g.data_blockers()), "status": g.verdict(g.data_blockers(), "research_ready", "blocked")},
+    lambda: {"blockers": q.all_broken(g.data_blockers()), "status": g.verdict(g.data_blockers(), "research_ready", "blocked")},
     {"blockers": listed(("symbol NOT IN ('BTCUSDT', 'ETHUSDT')", "unsupported_strict_v3_symbol"), ("venue NOT ILIKE 'binance'", "unsupported_strict_v3_venue"), ("timeframe = '5Min'", "unsupported_strict_v3_timeframe"), ("example_study", "example_or_fixture_study"), ("provider IS NULL OR provider = 'csv'", "missing_real_source_provenance"), ("NOT has_source_hash", "missing_source_hash"), ("has_manifest IS NULL", "missing_fetch_manifest"),
                         ("timeframe = '1Hour' AND n_bars < 13140 OR timeframe = '15Min' AND n_bars < 52560", "insufficient_history_for_v3_improvement"), ("n_flags > 0", "snapshot_quality_flags_present"), ("n_issues > 0", "snapshot_quality_issues_present"), ("liquidation_dependent AND NOT liquidation_observed", "liquidation_feature_missing_observed_sidecar")),
      "status": "CASE WHEN blockers = '' THEN 'research_ready' ELSE 'blocked' END"},
@@ -182,7 +182,7 @@ ROBUST_SQL = [
 ROBUST_ALL_SQL = [("NOT causality_passed", "feature_causality_audit_failed"), ("n_buckets < 2", "insufficient_tournament_buckets"), ("n_symbols < 2", "symbol_specific_candidate"), ("n_regimes IS NULL OR n_regimes < 2", "regime_specific_candidate"), *ROBUST_SQL, (f"{DISTORTION} > 0.5", "is_to_oos_distortion_too_high")]
 gate(
     "d34_robust_scorecard", "lineitem", "l_orderkey, l_linenumber", {"causality_passed": "l_orderkey % 11 <> 0", "n_buckets": "l_linenumber % 4", "n_symbols": "l_partkey % 4", "n_regimes": "CASE WHEN l_orderkey % 12 = 0 THEN NULL ELSE l_suppkey % 5 END", **METRICS},
-    {"blockers": q.all_broken(g.robust_evaluation()), "distortion": r("distortion"), "score": lambda: r(g.robust_score("distortion"), 9)},
+    lambda: {"blockers": q.all_broken(g.robust_evaluation()), "distortion": r("distortion"), "score": lambda: r(g.robust_score("distortion"), 9)},
     {"blockers": listed(*ROBUST_ALL_SQL), "distortion": f"round({DISTORTION}, 6) + 0.0",
      "score": f"round(greatest(0.0::DOUBLE, 1.0::DOUBLE - ({' + '.join(f'CASE WHEN {p} THEN 1 ELSE 0 END' for p, _ in ROBUST_SQL)}) / 13.0::DOUBLE - greatest(0.0, {DISTORTION}) * 0.15::DOUBLE - least(0.5::DOUBLE, ({' + '.join(f'CASE WHEN {p} THEN 1 ELSE 0 END' for p, _ in ROBUST_ALL_SQL)}) * 0.03::DOUBLE)), 9) + 0.0"},
     prepare=lambda df: df.withColumn("distortion", g.distortion("in_sample_sharpe", "oos_sharpe")), doc="D34: thirteen gates, four preconditions, distortion and the score of a robust evaluation.",
@@ -190,7 +190,7 @@ gate(
 
 gate(
     "d36_sealed_holdout", "orders", "o_orderkey", {"robustness_ready": "o_orderkey % 7 <> 0", "trade_count": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_custkey % 150 END", "post_cost_return": share("o_orderkey % 50 - 5", 100), "sharpe": share("o_custkey % 40 - 4", 10), "max_drawdown": share("0 - o_orderkey % 45", 100)},
-    {"failure_class": q.first_broken(g.sealed_holdout(), "sealed_holdout_passed")},
+    lambda: {"failure_class": q.first_broken(g.sealed_holdout(), "sealed_holdout_passed")},
     {"failure_class": "CASE WHEN NOT robustness_ready THEN 'robust_eval_not_ready' WHEN trade_count IS NULL OR trade_count < 30 THEN 'insufficient_trades' WHEN post_cost_return <= 0 THEN 'negative_post_cost_return' WHEN sharpe <= 0 THEN 'low_holdout_sharpe' WHEN abs(max_drawdown) > 0.3 THEN 'excess_drawdown' ELSE 'sealed_holdout_passed' END"},
     doc="D36: only the class of the first failure is shown.",
 )
@@ -202,7 +202,7 @@ gate(
      "months_of_data": share("o_orderkey % 60", 2), "all_data_since_listing": "o_custkey % 4 = 0", "n_folds": "5 + o_orderkey % 20", "trade_count": "o_custkey % 300", "n_episodes": "o_orderkey % 60", "net_pnl": share("o_orderkey % 90 - 10", 100), "sharpe": share("o_custkey % 35", 10), "max_drawdown": share("0 - o_orderkey % 25", 100),
      "capacity_5x_edge_erosion": "CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE CAST(o_custkey % 28 AS DOUBLE) / 100 END", "capacity_5x_fill_completion": share("92 + o_orderkey % 8", 100), "dsr": share("93 + o_custkey % 7", 100), "pbo": share("o_orderkey % 23", 100), "spa_pvalue": share("o_custkey % 60", 1000), "cpcv_median": share("60 + o_orderkey % 70", 100), "cpcv_p10": share("o_custkey % 50 - 3", 100),
      "n_liquidations": "CASE WHEN o_orderkey % 21 = 0 THEN 1 ELSE 0 END", "n_rule_failures": "CASE WHEN o_custkey % 22 = 0 THEN 1 ELSE 0 END", **{f: f"o_orderkey % {13 + i} <> 0" for i, f in enumerate(PROMOTION_FLAGS)}},
-    {"decision": g.verdict(g.promotion("usdm_v3"), "accept", "reject"), "primary_failure": q.first_broken(g.promotion("usdm_v3"), ""), "failed": q.all_broken(g.promotion("usdm_v3"))},
+    lambda: {"decision": g.verdict(g.promotion("usdm_v3"), "accept", "reject"), "primary_failure": q.first_broken(g.promotion("usdm_v3"), ""), "failed": q.all_broken(g.promotion("usdm_v3"))},
     {"decision": "CASE WHEN failed = '' THEN 'accept' ELSE 'reject' END", "primary_failure": "string_split(failed, ',')[1]",
      "failed": listed(("venue <> 'Binance' OR execution_model_id <> 'usdm_v3'", "venue_model"), ("n_blocks < 8 OR n_blocks > 16 OR n_test_blocks > 3 OR purge_bars < 0", "validation_method"), ("months_of_data < 18 AND NOT all_data_since_listing", "data_length"), ("n_folds < 8", "walk_forward_folds"), ("trade_count < 120 AND n_episodes < 30", "trade_or_episode_count"), ("net_pnl <= 0", "positive_post_cost"), ("sharpe < 1", "sharpe"),
                       ("CASE WHEN max_drawdown = 0 THEN net_pnl <= 0 ELSE net_pnl / abs(max_drawdown) < 0.75 END", "calmar"), ("max_drawdown < -0.2", "max_drawdown"), ("NOT turnover_within_budget", "turnover_budget"), ("capacity_5x_edge_erosion IS NULL OR capacity_5x_edge_erosion >= 0.25 OR capacity_5x_fill_completion < 0.95", "capacity_5x"), ("dsr < 0.95", "dsr"), ("pbo >= 0.2", "pbo"), ("spa_pvalue >= 0.05", "spa"),
@@ -214,7 +214,7 @@ gate(
     "d41_validation_gates", "orders", "o_orderkey",
     {"net_pnl": share("o_orderkey % 90 - 10", 100), "max_drawdown": share("0 - o_custkey % 28", 100), "sharpe": share("o_custkey % 35", 10), "capacity_5x_edge_erosion": "CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE CAST(o_custkey % 28 AS DOUBLE) / 100 END", "capacity_5x_fill_completion": share("92 + o_orderkey % 8", 100), "turnover_within_budget": "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END",
      "oos_trades": "o_orderkey % 400", "scenario_passed": "o_custkey % 5 <> 0", "regime_passed": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_orderkey % 4 <> 0 END"},
-    {"failed": q.all_broken(g.validation_gates())},
+    lambda: {"failed": q.all_broken(g.validation_gates())},
     {"failed": listed(("sharpe < 1", "final_holdout_sharpe_below_floor"), ("CASE WHEN max_drawdown = 0 THEN net_pnl <= 0 ELSE net_pnl / abs(max_drawdown) < 0.75 END", "final_holdout_calmar_below_floor"), ("max_drawdown < -0.2", "final_holdout_drawdown_breached_cap"), ("capacity_5x_edge_erosion IS NULL OR capacity_5x_edge_erosion >= 0.25 OR capacity_5x_fill_completion < 0.95", "capacity_5x_degradation_or_fill_failed"),
                       ("NOT turnover_within_budget", "turnover_budget_exceeded"), ("turnover_within_budget IS NULL", "turnover_budget_missing"), ("oos_trades < 120", "min_oos_trades_below_floor"), ("NOT scenario_passed", "scenario_pass_matrix_failed"), ("regime_passed IS DISTINCT FROM true", "regime_pass_matrix_failed"))},
     prepare=lambda df: df.withColumn("calmar", g.calmar("net_pnl", "max_drawdown")), doc="D41: the eight gates of the default validation specification.",
@@ -224,7 +224,7 @@ gate(
     "d42_candidate_verdict", "lineitem", "l_orderkey, l_linenumber",
     {"oos_trades": "l_orderkey % 900", "train_drawdown": share("0 - l_partkey % 30", 100), "old_train_drawdown": share("0 - l_suppkey % 30 - 5", 100), "oos_sharpe": share("l_partkey % 40", 10), "old_oos_sharpe": share("l_suppkey % 30", 10), "worst_drawdown": share("0 - l_orderkey % 28", 100), "n_liquidations": "CASE WHEN l_orderkey % 25 = 0 THEN 1 ELSE 0 END",
      "old_oos_drawdown": share("0 - l_partkey % 20", 100), "median_profit": share("l_orderkey % 100", 100), "old_oos_pnl": share("l_suppkey % 110", 100)},
-    {"verdict": lambda: g.candidate_verdict(), "reasons": q.all_broken(g.candidate_rules())},
+    lambda: {"verdict": lambda: g.candidate_verdict(), "reasons": q.all_broken(g.candidate_rules())},
     {"verdict": "CASE WHEN reasons <> '' THEN 'reject' WHEN (oos_sharpe - old_oos_sharpe) / greatest(abs(old_oos_sharpe), 1e-9) < 0.02 AND (greatest(abs(old_oos_drawdown), 1e-9) - abs(worst_drawdown)) / greatest(abs(old_oos_drawdown), 1e-9) < 0.1 AND (median_profit - old_oos_pnl) / greatest(abs(old_oos_pnl), 1e-9) < 0.05 THEN 'wash' ELSE 'accept' END",
      "reasons": listed(("oos_trades < 100", "min_oos_trades"), ("abs(train_drawdown) > abs(old_train_drawdown) * 1.05::DOUBLE", "train_drawdown_cap"), ("oos_sharpe < old_oos_sharpe * 0.95::DOUBLE", "oos_sharpe_floor"), ("worst_drawdown <= -0.25", "bootstrap_kill_switch"), ("n_liquidations > 0", "liquidation_events"))},
     doc="D42: accept, wash or reject a candidate against the incumbent.",
@@ -232,28 +232,28 @@ gate(
 
 gate(
     "d43_overfit_budget", "lineitem", "l_orderkey, l_linenumber", {"trials": "l_partkey % 130 - 2", "strategy_variants": "l_suppkey % 14", "parameter_reuse": "l_linenumber - 1", "failed_gate_retries": "l_orderkey % 6 - 1", "pbo": "CASE WHEN l_orderkey % 31 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(l_partkey % 40 AS DOUBLE) / 100 END"},
-    {"reasons": q.all_broken(g.overfit_budget(100, 10, 5, 3, 0.2))},
+    lambda: {"reasons": q.all_broken(g.overfit_budget(100, 10, 5, 3, 0.2))},
     {"reasons": listed(("trials < 0", "negative_trials"), ("strategy_variants < 0", "negative_strategy_variants"), ("parameter_reuse < 0", "negative_parameter_reuse"), ("failed_gate_retries < 0", "negative_failed_gate_retries"), ("isnan(pbo)", "non_finite_pbo"), ("trials > 100", "max_trials_exceeded"), ("strategy_variants > 10", "max_strategy_variants_exceeded"), ("parameter_reuse > 5", "max_parameter_reuse_exceeded"), ("failed_gate_retries > 3", "max_failed_gate_retries_exceeded"), ("NOT isnan(pbo) AND pbo > 0.2", "pbo_ceiling_exceeded"))},
     doc="D43: the budget of trials, variants, reuse and retries.",
 )
 
 gate(
     "d44_fast_screen", "lineitem", "l_orderkey, l_linenumber", {"oos_trades": "l_orderkey % 300", "n_returns": "l_partkey % 90", "min_length": "l_suppkey % 60", "n_liquidations": "CASE WHEN l_orderkey % 15 = 0 THEN 2 ELSE 0 END", "funding": "l_tax * l_extendedprice", "gross_pnl": "l_discount * l_extendedprice - 1000", "fees": "l_quantity"},
-    {"drag": r("drag", 9), "reasons": q.all_broken(g.fast_screen(30))},
+    lambda: {"drag": r("drag", 9), "reasons": q.all_broken(g.fast_screen(30))},
     {"drag": "round(abs(funding) / (abs(gross_pnl) + abs(fees) + 1e-9), 9) + 0.0", "reasons": listed(("oos_trades < 30", "fast_screen_min_oos_trades"), ("n_returns <> 0 AND n_returns < min_length", "fast_screen_minimum_backtest_length"), ("n_liquidations > 0", "fast_screen_liquidation_events"), ("abs(funding) / (abs(gross_pnl) + abs(fees) + 1e-9) >= 0.5", "fast_screen_excessive_funding_drag"))},
     prepare=lambda df: df.withColumn("drag", g.funding_drag("funding", "gross_pnl", "fees")), doc="D44: fast screen of a backtest and its funding drag.",
 )
 
 gate(
     "d86_forecast_decay_gate", "lineitem", "l_orderkey, l_linenumber", {"baseline_edge": share("l_partkey % 50 - 5", 1000), "calibration_error": share("l_suppkey % 20", 100), "directional_decay": share("l_orderkey % 40", 100), "staleness_seconds": "l_partkey % 5000", "symbol_coverage": share("60 + l_orderkey % 40", 100)},
-    {"state": g.verdict(g.forecast_decay(0.01, 0.15, 0.3, 3600, 0.8), "FEATURE_ALLOWED", "DISABLED"), "reasons": q.all_broken(g.forecast_decay(0.01, 0.15, 0.3, 3600, 0.8))},
+    lambda: {"state": g.verdict(g.forecast_decay(0.01, 0.15, 0.3, 3600, 0.8), "FEATURE_ALLOWED", "DISABLED"), "reasons": q.all_broken(g.forecast_decay(0.01, 0.15, 0.3, 3600, 0.8))},
     {"state": "CASE WHEN reasons = '' THEN 'FEATURE_ALLOWED' ELSE 'DISABLED' END", "reasons": listed(("baseline_edge < 0.01", "baseline_edge_below_min"), ("calibration_error > 0.15", "calibration_error_above_max"), ("directional_decay > 0.3", "directional_decay_above_max"), ("staleness_seconds > 3600", "staleness_above_max"), ("symbol_coverage < 0.8", "symbol_coverage_below_min"))},
     doc="D86: whether a forecast may still serve as a research feature.",
 )
 
 gate(
     "i31_tactic_choice", "orders", "o_orderkey", {"risk_state": pick("o_orderkey % 12", "HALT", "REDUCE_ONLY", "LOCKDOWN", *["NORMAL"] * 5, "CAUTION", "CAUTION", "DEFENSIVE", None), "action": pick("o_custkey % 3", "open", "close", "reduce"), "spread_bps": share("o_custkey % 50", 10), "fill_probability": share("o_orderkey % 100", 100), "adverse_bps": share("o_custkey % 40", 10), "drift_bps": "o_orderkey % 150", "n_open_orders": "o_custkey % 8"},
-    {"tactic": lambda: g.tactic()},
+    lambda: {"tactic": lambda: g.tactic()},
     {"tactic": "CASE WHEN risk_state = 'HALT' THEN 'SKIP' WHEN risk_state IN ('REDUCE_ONLY', 'LOCKDOWN') AND action = 'close' THEN 'CLOSE' WHEN risk_state IN ('REDUCE_ONLY', 'LOCKDOWN') THEN 'REDUCE_ONLY' WHEN spread_bps <= 2 AND fill_probability >= 0.7 AND adverse_bps <= 2 THEN 'POST_ONLY_GTX' WHEN drift_bps > 100 OR fill_probability < 0.3 THEN 'IOC' WHEN n_open_orders > 3 THEN 'DELAY' ELSE 'AGGRESSIVE_LIMIT' END"},
     doc="I31: the tactic of an order.",
 )
@@ -262,7 +262,7 @@ gate(
     "i34_lifecycle_policy", "customer", "c_custkey",
     {"state": pick("c_custkey % 3", "paper", "tiny_live", "pilot_live"), "n_liquidations": "CASE WHEN c_custkey % 31 = 0 THEN 1 ELSE 0 END", "checksum_valid": "c_custkey % 37 <> 0", "venue_rules_match": "CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE true END", "pauses_90d": "c_custkey % 20 / 9", "holdout_assumptions_invalidated": "c_nationkey = 24", "live_sharpe_30d": "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey % 40 - 10 AS DOUBLE) / 10 END",
      "live_samples": "c_custkey % 60", "slippage_over_modeled_5d": share("c_custkey % 24", 10), "fill_rejection_cluster": "c_nationkey = 1", "drawdown_limit_breached": "c_nationkey = 2", "capacity_drift_breached": "c_nationkey = 3", "data_quality_degraded": "c_acctbal < -900", "validation_expired": "c_custkey % 5 = 0", "scenario_pack_changed": "c_custkey % 7 = 0", "venue_api_rules_changed": "c_custkey % 9 = 0"},
-    {"next_state": lambda: g.lifecycle()[0], "revalidate": lambda: g.lifecycle()[1], "reasons": lambda: g.lifecycle()[2]},
+    lambda: {"next_state": lambda: g.lifecycle()[0], "revalidate": lambda: g.lifecycle()[1], "reasons": lambda: g.lifecycle()[2]},
     {"next_state": "CASE WHEN gone <> '' THEN 'retired' WHEN held <> '' THEN 'paused' ELSE state END", "revalidate": "gone = '' AND held = '' AND again <> ''", "reasons": "CASE WHEN gone <> '' THEN gone WHEN held <> '' THEN held ELSE again END"},
     prepare=lambda df: df, doc="I34: retire before pause before revalidation.",
 )
@@ -274,7 +274,7 @@ ORACLES["i34_lifecycle_policy"] = ORACLES["i34_lifecycle_policy"].replace("FROM
 CODES = ("slippage_fragile", "regime_specific_only", "capacity_fail", "feature_leakage", "other")
 gate(
     "l33_failure_routing", "orders", "o_orderkey", {"codes": "concat_ws(',', " + ", ".join(f"CASE WHEN o_orderkey % {i + 3} = 0 THEN '{code}' END" for i, code in enumerate((*CODES, *CODES[:2]))) + ")"},
-    {"action": lambda: g.routed("list")[0], "secondary": lambda: F.array_join(g.routed("list")[1], ",")},
+    lambda: {"action": lambda: g.routed("list")[0], "secondary": lambda: F.array_join(g.routed("list")[1], ",")},
     {"action": "CASE WHEN codes LIKE '%feature_leakage%' THEN 'block_candidate' ELSE coalesce(acts[1], 'promote_to_paper_forward_review') END", "secondary": "array_to_string(list_filter(acts, lambda x: x <> CASE WHEN codes LIKE '%feature_leakage%' THEN 'block_candidate' ELSE coalesce(acts[1], '') END), ',')"},
     prepare=lambda df: df.withColumn("list", F.split("codes", ",")), doc="L33: actions of failure codes, a block first, else in the order of the codes.",
 )
@@ -283,7 +283,7 @@ ORACLES["l33_failure_routing"] = ORACLES["l33_failure_routing"].replace("FROM gi
 GATES = ("holdout_sharpe", "min_sample", "order_reject", "missing_fill", "stale_book", "stress", "scenario", "slippage", "funding", "trade_authority")
 gate(
     "l34_failure_router", "lineitem", "l_orderkey, l_linenumber", {"failed_gate": pick("l_partkey % 10", *GATES), "repeats": "l_linenumber - 1"},
-    {"family": lambda: g.failure_route("failed_gate", "repeats")[0], "action": lambda: g.failure_route("failed_gate", "repeats")[1], "memory_reason": lambda: g.failure_route("failed_gate", "repeats")[2], "exact_family": lambda: g.failure_family("failed_gate")},
+    lambda: {"family": lambda: g.failure_route("failed_gate", "repeats")[0], "action": lambda: g.failure_route("failed_gate", "repeats")[1], "memory_reason": lambda: g.failure_route("failed_gate", "repeats")[2], "exact_family": lambda: g.failure_family("failed_gate")},
     {"family": "CASE WHEN failed_gate IN ('holdout_sharpe', 'min_sample') THEN 'validation_failures' WHEN failed_gate IN ('order_reject', 'missing_fill') THEN 'execution_failures' WHEN failed_gate = 'stale_book' THEN 'data_failures' ELSE 'agent_policy_failures' END",
      "action": "CASE WHEN repeats >= 3 THEN 'stop' WHEN failed_gate IN ('stress', 'scenario') THEN 'stress' WHEN failed_gate IN ('slippage', 'funding') THEN 'calibrate' ELSE 'narrow' END", "memory_reason": "family || ':' || failed_gate || ':repeated=' || repeats || ':action=' || action",
      "exact_family": "CASE failed_gate WHEN 'holdout_sharpe' THEN 'validation_failures' WHEN 'min_sample' THEN 'validation_failures' WHEN 'order_reject' THEN 'execution_failures' WHEN 'missing_fill' THEN 'execution_failures' WHEN 'stale_book' THEN 'data_failures' WHEN 'trade_authority' THEN 'agent_policy_failures' ELSE 'unknown_failures' END"},
@@ -294,13 +294,13 @@ gate(
     "l49_candidate_rejection", "part", "p_partkey",
     {"approved": "p_partkey % 13 <> 0", "manifest_reason": pick("p_partkey % 17", "missing_promotion_manifest", "gate_failed"), "symbols_text": "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_brand END", "regimes_text": "CASE WHEN p_size % 11 = 0 THEN NULL ELSE 'bull,chop' END", "role": pick("p_size % 7", "core", "defensive", "opportunistic", "carry", "crash_hedge", "other", None),
      "state": pick("p_partkey % 9", "paper", "shadow_live", "tiny_live", "pilot_live", "scaled_live", "paper", "paused", "paper", "backtest"), "active": pick("p_size % 4", "bull", "chop", "crash", "bull")},
-    {"rejection": q.first_broken(g.candidate_rejection(), "accepted")},
+    lambda: {"rejection": q.first_broken(g.candidate_rejection(), "accepted")},
     {"rejection": "CASE WHEN NOT approved THEN 'artifact_not_approved' WHEN manifest_reason = 'missing_promotion_manifest' THEN 'missing_promotion_manifest' WHEN manifest_reason IS NOT NULL THEN 'artifact_not_paper_eligible' WHEN symbols_text IS NULL THEN 'missing_symbol_scope' WHEN regimes_text IS NULL THEN 'missing_regime_scope' WHEN role IS NULL OR role = 'other' THEN 'invalid_portfolio_role' WHEN state IN ('paused', 'backtest') THEN 'artifact_not_active' WHEN active = 'crash' THEN 'regime_scope_mismatch' ELSE 'accepted' END"},
     prepare=lambda df: df.withColumn("symbols", F.split("symbols_text", ",")).withColumn("regimes", F.split("regimes_text", ",")).withColumn("active_regimes", F.array("active")), doc="L49: why a candidate gets no allocation, the first reason.",
 )
 
 gate(
-    "l61_allowed_actions", "supplier", "s_suppkey", {"state": pick("s_suppkey % 7", "NORMAL", "CAUTION", "DEFENSIVE", "REDUCE_ONLY", "LOCKDOWN", "HALT", None)}, {"actions": lambda: g.allowed_actions("state")},
+    "l61_allowed_actions", "supplier", "s_suppkey", {"state": pick("s_suppkey % 7", "NORMAL", "CAUTION", "DEFENSIVE", "REDUCE_ONLY", "LOCKDOWN", "HALT", None)}, lambda: {"actions": g.allowed_actions("state")},
     {"actions": "CASE WHEN state IN ('NORMAL', 'CAUTION') THEN 'close,increase,open,reduce' WHEN state IN ('DEFENSIVE', 'REDUCE_ONLY') THEN 'close,reduce' WHEN state = 'LOCKDOWN' THEN 'cancel,close,reconcile' ELSE '' END"}, doc="L61: what a risk state allows.",
 )
 
@@ -309,7 +309,7 @@ gate(
     "l68_artifact_compatibility", "part", "p_partkey",
     {"venue": pick("p_partkey % 8", *["binance"] * 6, "bybit", None), "signal_timeframe": pick("p_size % 6", *["1h"] * 5, "4h"), "execution_timeframe": pick("p_size % 7", *["15m"] * 6, "1h"), "execution_model": pick("p_partkey % 5", *["usdm_v3"] * 4, "flat"), "symbols_text": pick("p_partkey % 6", "BTCUSDT", "ETHUSDT", "BTCUSDT,ETHUSDT", "BTCUSDT,SOLUSDT", None, "ETHUSDT"),
      "contract_hash": pick("p_size % 5", "contract-1", "contract-1", "contract-1", "contract-2", None), "max_notional": "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_retailprice * 40 END"},
-    {"reasons": q.all_broken(g.artifact_compatibility(*COMPATIBLE))},
+    lambda: {"reasons": q.all_broken(g.artifact_compatibility(*COMPATIBLE))},
     {"reasons": listed(("venue IS NULL OR venue <> 'binance'", "venue"), ("signal_timeframe <> '1h'", "signal_timeframe"), ("execution_timeframe <> '15m'", "execution_timeframe"), ("execution_model <> 'usdm_v3'", "execution_model"), ("symbols_text IS NULL OR symbols_text LIKE '%SOL%'", "symbol_universe"), ("contract_hash IS NULL OR contract_hash <> 'contract-1'", "feature_contract"), ("max_notional > 50000", "risk_limits"))},
     prepare=lambda df: df.withColumn("symbols", F.split("symbols_text", ",")), doc="L68: whether an artifact fits the running system.",
 )
@@ -318,7 +318,7 @@ PROOFS = ("full_validation_pass", "paper_stability_pass", "telemetry_complete",
 _stage = ("backtest", "paper", "shadow_live", "tiny_live", "pilot_live", "scaled_live")
 gate(
     "l69_rollout_transition", "orders", "o_orderkey", {"from_stage": pick("o_orderkey % 7", *_stage, "paused"), "to_stage": pick("(o_orderkey % 7 + CASE WHEN o_custkey % 4 = 0 THEN 2 ELSE 1 END) % 7", *_stage, "retired"), "proven": "concat_ws(',', " + ", ".join(f"CASE WHEN o_custkey % {i + 2} <> 0 THEN '{p}' END" for i, p in enumerate(PROOFS)) + ")"},
-    {"reasons": lambda: F.array_join(g.rollout_reasons(), ",")},
+    lambda: {"reasons": lambda: F.array_join(g.rollout_reasons(), ",")},
     {"reasons": "CASE WHEN from_stage = 'paused' OR to_stage = 'retired' THEN 'rollout_stage_not_active' "
      + " ".join(f"WHEN from_stage = '{a}' AND to_stage = '{b}' THEN " + listed(*((f"NOT list_contains(string_split(proven, ','), '{n}')", f"missing_gate_evidence:{n}") for n in names))
                 for a, b, names in (("backtest", "paper", PROOFS[:1]), ("paper", "shadow_live", PROOFS[1:3]), ("shadow_live", "tiny_live", PROOFS[3:4]), ("tiny_live", "pilot_live", PROOFS[4:7]), ("pilot_live", "scaled_live", PROOFS[7:])))
