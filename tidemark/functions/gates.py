@@ -354,6 +354,65 @@ def rollout_reasons(evidence: str | Column = "evidence") -> Column:
     return step.otherwise(F.array(F.lit("rollout_stage_skip_not_allowed")))
 
 
+def feature_contract() -> Rules:
+    """B19 over name, source, timestamp_source, earliest_available_at, max_age_seconds, modes (array), leakage_risk, three counts of bars, four flags and smoothing."""
+    return [
+        *missing("name", "source", "timestamp_source", "earliest_available_at"), (f"NOT {finite('max_age_seconds')}", "non_finite_max_age_seconds"), (f"{finite('max_age_seconds')} AND max_age_seconds < 0", "negative_max_age_seconds"),
+        ("leakage_risk = 'research_only' AND arrays_overlap(modes, array('live', 'paper', 'shadow'))", "research_only_execution_mode_allowed"), ("lookback_bars < 0", "negative_lookback_bars"), ("warmup_bars < 0", "negative_warmup_bars"), ("availability_lag_bars < 0", "negative_availability_lag_bars"),
+        ("uses_centered_window", "centered_window"), ("uses_negative_shift", "negative_shift"), ("uses_future_bars", "future_bars"), ("allows_repainting", "repainting_allowed"), ("lower(coalesce(smoothing, '')) NOT IN ('causal', 'none', 'recursive', 'expanding')", "non_causal_smoothing"),
+    ]
+
+
+def forecast_embargo() -> Rules:
+    """L78 over source_at, available_at, decided_at, execution_mode, execution_available, embargo_seconds."""
+    return [
+        ("source_at > decided_at", "forecast_timestamp_after_decision_time"), ("decided_at < available_at", "forecast_feature_embargo_active"), ("execution_mode AND NOT coalesce(execution_available, false)", "forecast_not_execution_available"), ("embargo_seconds < 0", "embargo_seconds_negative"),
+    ]
+
+
+TRANSITIONS = {
+    "CANDIDATE": ("VALIDATED", "RETIRED"), "VALIDATED": ("PROMOTED", "RETIRED"), "PROMOTED": ("SHADOW", "RETIRED"), "SHADOW": ("PAPER_ACTIVE", "WATCH", "RETIRED"), "PAPER_ACTIVE": ("WATCH", "DEGRADED", "REDUCE_ONLY", "RETIRED"),
+    "WATCH": ("PAPER_ACTIVE", "DEGRADED", "RETIRED"), "DEGRADED": ("REDUCE_ONLY", "QUARANTINED", "RETIRED"), "REDUCE_ONLY": ("QUARANTINED", "RETIRED"), "QUARANTINED": ("RETIRED",), "RETIRED": (),
+}
+PORTFOLIO_ACTIONS = {"NORMAL": ("open", "increase", "reduce", "close"), "CAUTION": ("open", "increase", "reduce", "close"), "DEFENSIVE": ("reduce", "close"), "REDUCE_ONLY": ("reduce", "close"), "LOCKDOWN": ("close",), "HALT": ()}
+
+
+def listed_pair(table: dict[str, tuple[str, ...]], key: str | Column, value: str | Column) -> Column:
+    """Whether ``value`` is among those that ``table`` allows for ``key``; an unknown key allows none."""
+    return F.coalesce(F.array_contains(F.coalesce(*[F.when(c(key) == k, F.array(*map(F.lit, v))) for k, v in table.items() if v], F.expr("cast(array() as array<string>)")), c(value)), F.lit(False))
+
+
+def exposure_allowed(status: str | Column, action: str | Column) -> Column:
+    """Reducing is always allowed, more exposure only after a clean reconciliation."""
+    return c(action).isin("reduce", "close") | F.coalesce(c(status) == "PASS", F.lit(False))
+
+
+def stress_severity(slippage_bps: str | Column, funding_bps: str | Column, issues: str | Column) -> Column:
+    """Severe, medium or mild."""
+    return F.when((c(slippage_bps) >= 25) | (c(funding_bps) >= 5) | (c(issues) >= 5), "severe").when((c(slippage_bps) >= 10) | (c(funding_bps) > 0) | (c(issues) > 0), "medium").otherwise("mild")
+
+
+def hawkes_multiplier(branching: str | Column, excitation: str | Column, concentration: str | Column) -> Column:
+    """How far a liquidation cascade multiplies costs, from 1 to 4."""
+    bounded = F.least(F.greatest(c(concentration), F.lit(0.0)), F.lit(1.0))
+    return F.least(F.greatest(1 + c(branching) * (1 + bounded) + c(excitation) * 0.1, F.lit(1.0)), F.lit(4.0))
+
+
+def jump_factor(intensity: str | Column, mean: str | Column, vol: str | Column) -> Column:
+    """How far jumps sharpen a scenario, from 1 to 2.5."""
+    return F.greatest(F.lit(1.0), F.least(1 + c(intensity) + F.abs(c(mean)) + c(vol), F.lit(2.5)))
+
+
+def correlation_break(baseline: str | Column, observed: str | Column, limit: float) -> Column:
+    """Whether a correlation has left its band."""
+    return F.when(F.abs(c(observed) - c(baseline)) >= limit, "correlation_break_overlay").otherwise("correlation_within_band")
+
+
+def symbol_cluster(symbol: str | Column) -> Column:
+    """Majors by their names' beginnings."""
+    return F.when(c(symbol).startswith("BTC") | c(symbol).startswith("ETH"), "majors").otherwise("alts")
+
+
 def verdict(rules: Rules, good: str, bad: str) -> Column:
     """``good`` where no rule fails, else ``bad``."""
     return F.when(count_broken(rules) > 0, bad).otherwise(good)

@@ -325,3 +325,38 @@ gate(
      + " ELSE 'rollout_stage_skip_not_allowed' END"},
     prepare=lambda df: df.withColumn("evidence", F.split("proven", ",")), doc="L69: the evidence that a step of a roll-out needs.",
 )
+
+gate(
+    "b19_feature_contracts", "part", "p_partkey",
+    {"name": "CASE WHEN p_partkey % 31 = 0 THEN '' ELSE p_name END", "source": "CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE 's' END", "timestamp_source": "'close'", "earliest_available_at": "CASE WHEN p_partkey % 29 = 0 THEN '' ELSE 'close+1' END", "max_age_seconds": BAD_DOUBLE.format(of="p_partkey", value="3600.0"), "modes_text": pick("p_size % 3", "research", "research,paper", "live"), "leakage_risk": pick("p_partkey % 2", "low", "research_only"),
+     "lookback_bars": "p_size - 2", "warmup_bars": "p_partkey % 9 - 1", "availability_lag_bars": "p_partkey % 11 - 1", "uses_centered_window": "p_partkey % 13 = 0", "uses_negative_shift": "p_partkey % 17 = 0", "uses_future_bars": "CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_partkey % 23 = 0 END", "allows_repainting": "p_size = 9", "smoothing": pick("p_size % 6", "Causal", "none", "recursive", "EXPANDING", "centered", None)},
+    lambda: {"issues": q.all_broken(g.feature_contract())},
+    {"issues": listed(("name = ''", "missing_name"), ("source IS NULL", "missing_source"), ("timestamp_source = ''", "missing_timestamp_source"), ("earliest_available_at = ''", "missing_earliest_available_at"), ("NOT isfinite(max_age_seconds)", "non_finite_max_age_seconds"), ("isfinite(max_age_seconds) AND max_age_seconds < 0", "negative_max_age_seconds"), ("leakage_risk = 'research_only' AND modes_text IN ('research,paper', 'live')", "research_only_execution_mode_allowed"), ("lookback_bars < 0", "negative_lookback_bars"),
+                      ("warmup_bars < 0", "negative_warmup_bars"), ("availability_lag_bars < 0", "negative_availability_lag_bars"), ("uses_centered_window", "centered_window"), ("uses_negative_shift", "negative_shift"), ("uses_future_bars", "future_bars"), ("allows_repainting", "repainting_allowed"), ("smoothing IS NULL OR smoothing = 'centered'", "non_causal_smoothing"))},
+    prepare=lambda df: df.withColumn("modes", F.split("modes_text", ",")), doc="B19: validity of a feature's contract.",
+)
+
+gate(
+    "l78_forecast_embargo", "orders", "o_orderkey", {"source_at": "o_orderdate", "available_at": "o_orderdate + INTERVAL 2 DAY", "decided_at": "CASE o_custkey % 3 WHEN 0 THEN o_orderdate - INTERVAL 1 DAY WHEN 1 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 2 DAY END", "execution_mode": "o_orderstatus = 'F'", "execution_available": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 5 <> 0 END", "embargo_seconds": "o_custkey % 100 - 3"},
+    lambda: {"reasons": q.all_broken(g.forecast_embargo())},
+    {"reasons": listed(("o_custkey_day = 0", "forecast_timestamp_after_decision_time"), ("o_custkey_day < 2", "forecast_feature_embargo_active"), ("execution_mode AND execution_available IS DISTINCT FROM true", "forecast_not_execution_available"), ("embargo_seconds < 0", "embargo_seconds_negative"))},
+    doc="L78: whether a forecast may be looked at when a decision is made.",
+)
+ORACLES["l78_forecast_embargo"] = ORACLES["l78_forecast_embargo"].replace("SELECT o_orderkey, o_orderdate AS source_at", "SELECT o_orderkey, o_custkey % 3 AS o_custkey_day, o_orderdate AS source_at")
+
+_states = ("CANDIDATE", "VALIDATED", "PROMOTED", "SHADOW", "PAPER_ACTIVE", "WATCH", "DEGRADED", "REDUCE_ONLY", "QUARANTINED", "RETIRED")
+gate(
+    "l70_allowed_steps", "orders", "o_orderkey", {"current": pick("o_orderkey % 11", *_states, None), "target": pick("o_custkey % 10", *_states), "risk": pick("o_custkey % 7", "NORMAL", "CAUTION", "DEFENSIVE", "REDUCE_ONLY", "LOCKDOWN", "HALT", None), "action": pick("o_orderkey % 5", "open", "increase", "reduce", "close", "cancel"), "status": pick("o_custkey % 3", "PASS", "FAIL", None)},
+    lambda: {"transition": g.listed_pair(g.TRANSITIONS, "current", "target"), "portfolio": g.listed_pair(g.PORTFOLIO_ACTIONS, "risk", "action"), "exposure": g.exposure_allowed("status", "action")},
+    {"transition": "CASE WHEN current IS NULL OR current = 'RETIRED' THEN false WHEN target = 'RETIRED' THEN true ELSE concat(current, '>', target) IN ('CANDIDATE>VALIDATED', 'VALIDATED>PROMOTED', 'PROMOTED>SHADOW', 'SHADOW>PAPER_ACTIVE', 'SHADOW>WATCH', 'PAPER_ACTIVE>WATCH', 'PAPER_ACTIVE>DEGRADED', 'PAPER_ACTIVE>REDUCE_ONLY', 'WATCH>PAPER_ACTIVE', 'WATCH>DEGRADED', 'DEGRADED>REDUCE_ONLY', 'DEGRADED>QUARANTINED', 'REDUCE_ONLY>QUARANTINED') END",
+     "portfolio": "coalesce(CASE WHEN risk IN ('NORMAL', 'CAUTION') THEN action <> 'cancel' WHEN risk IN ('DEFENSIVE', 'REDUCE_ONLY') THEN action IN ('reduce', 'close') WHEN risk = 'LOCKDOWN' THEN action = 'close' END, false)", "exposure": "action IN ('reduce', 'close') OR coalesce(status = 'PASS', false)"},
+    doc="L50, L60, L70: allowed transitions, portfolio actions and new exposure.",
+)
+
+gate(
+    "h45_cascade_and_severity", "lineitem", "l_orderkey, l_linenumber", {"branching": share("l_partkey % 90", 100), "excitation": share("l_suppkey % 50", 10), "concentration": share("l_orderkey % 150 - 20", 100), "intensity": share("l_partkey % 40", 100), "jump_mean": share("l_suppkey % 21 - 10", 100), "jump_vol": share("l_orderkey % 90", 100), "slippage": "l_discount * 300", "funding": "l_tax * 100 - 1", "issues": "l_linenumber - 3", "baseline": "0.5", "symbol": pick("l_partkey % 4", "BTCUSDT", "ETHUSDT", "SOLUSDT", "XBTUSD")},
+    lambda: {"cascade": r(g.hawkes_multiplier("branching", "excitation", "concentration")), "jumps": r(g.jump_factor("intensity", "jump_mean", "jump_vol")), "severity": g.stress_severity("slippage", "funding", "issues"), "correlation": g.correlation_break("baseline", "concentration", 0.25), "cluster": g.symbol_cluster("symbol")},
+    {"cascade": "round(least(4.0, greatest(1.0, 1 + branching * (1 + CASE WHEN concentration < 0 THEN 0 WHEN concentration > 1 THEN 1 ELSE concentration END) + excitation * 0.1::DOUBLE)), 6) + 0.0", "jumps": "round(CASE WHEN intensity + abs(jump_mean) + jump_vol > 1.5 THEN 2.5 ELSE 1 + intensity + abs(jump_mean) + jump_vol END, 6) + 0.0",
+     "severity": "CASE WHEN slippage >= 25 OR funding >= 5 OR issues >= 5 THEN 'severe' WHEN slippage >= 10 OR funding > 0 OR issues > 0 THEN 'medium' ELSE 'mild' END", "correlation": "CASE WHEN abs(concentration - baseline) >= 0.25 THEN 'correlation_break_overlay' ELSE 'correlation_within_band' END", "cluster": "CASE WHEN symbol IN ('BTCUSDT', 'ETHUSDT') THEN 'majors' ELSE 'alts' END"},
+    doc="H45, H46, B43, L36, L37, L56: cascades, jumps, severity of stress, correlation breaks and clusters.",
+)
