@@ -301,3 +301,32 @@ def test_ranks_in_slices_equal_a_window(spark):
     want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("x"), "id")))
     assert {(r.id, r["rank"]) for r in got.collect()} == {(r.id, r["rank"]) for r in want.collect()}
     assert {r.top for r in got.select("top").distinct().collect()} == {96}
+
+
+def test_probabilistic_sharpe_equals_plain_formulas(spark, sf):
+    """d08 has no SQL: the normal distribution is the standard library's, moments are summed plainly."""
+    import math
+    from statistics import NormalDist, fmean, stdev
+
+    from tidemark import plans
+    from tidemark.plans.series import with_returns
+
+    rets = {}
+    for row in with_returns(spark, sf).select("symbol", "i", "ret").orderBy("i").collect():
+        rets.setdefault(row.symbol, []).append(row.ret)
+    normal, sharpes, errors = NormalDist(), {}, {}
+    for symbol, x in rets.items():
+        n, mean = len(x), fmean(x)
+        sharpes[symbol] = sr = mean / stdev(x) if n > 1 and stdev(x) > 0 else 0.0
+        m2, m3, m4 = (fmean((v - mean) ** k for v in x) for k in (2, 3, 4))
+        skew = m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 and m2 > 0 else 0.0
+        kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2**2 - 3) + 6) + 3 if n > 3 and m2 > 0 else 3.0
+        errors[symbol] = math.sqrt(max(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12) / max(n - 1, 1))
+    trials, spread, gamma = len(sharpes), stdev(sharpes.values()), 0.5772156649015329
+    benchmark = spread * ((1 - gamma) * normal.inv_cdf(1 - 1 / trials) + gamma * normal.inv_cdf(1 - 1 / (trials * math.e)))
+    got = {row.symbol: row for row in plans.queries()["d08_probabilistic_sharpe"](spark, sf).collect()}
+    assert got.keys() == rets.keys()
+    for symbol, row in got.items():
+        assert row.psr == pytest.approx(normal.cdf(sharpes[symbol] / errors[symbol]), rel=1e-6, abs=1e-9)
+        assert row.dsr == pytest.approx(normal.cdf((sharpes[symbol] - benchmark) / errors[symbol]), rel=1e-6, abs=1e-9)
+        assert row.benchmark == pytest.approx(benchmark, rel=1e-9)
