@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
+#: All that is no ASCII letter and no part of a character beyond ASCII.
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+#: All that is no ASCII letter, digit or part of a character beyond ASCII.
+NO_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 #: An odd multiplier; being odd it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -113,8 +117,8 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash every word of a few texts at once.
+def word_hashes(texts: list[bytes], separates: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash every word of a few texts at once; ``separates`` says of each byte whether it ends a word (a line end must).
 
     Returns (hash of each word, its start, its end, first word of each text and
     one past the last); starts and ends are positions in the joined, lower-cased
@@ -123,7 +127,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """
     joined = (b"\n".join(texts) + b"\n").lower()
     a = np.frombuffer(joined, np.uint8)
-    space = _IS_SPACE[a]
+    space = separates[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(a) and not space[0]:
         edge = np.concatenate([[0], edge])
