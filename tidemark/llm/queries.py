@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, divergence, licenses, lm, packing, quality, secrets, simhash, tiff, tokens, toxicity
+from tidemark.llm import decontaminate, divergence, dualtree, licenses, lm, packing, quality, secrets, simhash, tiff, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,13 +61,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op6_lm_scores, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op6_lm_scores, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash, op12_centroid_clusters, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
+    return {"op3_license_scan": licenses.oracle_sql(), "op12_centroid_clusters": dualtree.oracle_sql(), "op13_source_divergence": divergence.oracle_sql()}
