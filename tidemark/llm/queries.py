@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, divergence, dualtree, licenses, lm, packing, quality, secrets, simhash, tiff, tokens, toxicity
+from tidemark.llm import decontaminate, divergence, dualtree, licenses, lm, packing, pii, quality, secrets, simhash, tiff, tokens, toxicity
+from tidemark.llm.secrets import joined, of_kind
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_findings(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[secrets.of_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+    return found.select("doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dualtree.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +76,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op6_lm_scores, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash, op12_centroid_clusters, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_license_scan, op4_decontaminate, op5_best_fit_packing, op6_lm_scores, op7_tiff_pages, op8_token_counts, op9_quality, op10_simhash, op11_pii, op12_centroid_clusters, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
