@@ -10,10 +10,10 @@ discloses c if
     log2((n(t, c) / n(t)) / (near(c) / N))  >=  ALPHA log2(N / near(c)),
 
 that is, if t tells at least the share ALPHA of what naming c tells.  Chance
-and copies are no evidence: the neighbourhoods (the term before and the one
-after) in which t stands near c must be worth ``WITNESSES`` different ones,
-``n(t, c)**2 / sum(n(t, c, neighbourhood)**2)``, so a passage that was copied
-any number of times is one witness.
+and copies are no evidence: the terms right before t where it stands near c must
+be worth ``WITNESSES`` different ones, ``n(t, c)**2 / sum(n(t, c, before)**2)``,
+and so must those right after it.  A passage that was copied any number of times
+is one witness, at its ends as well.
 
 A disclosing term is generalised, digits to ``#`` or else its first half and
 ``*``, if the general form (counted over all terms that have it) does not
@@ -115,8 +115,8 @@ def general(term: str) -> str:
     return b[:mid].decode() + "*"
 
 
-def neighbourhoods(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int]]:
-    """(entity, term, neighbourhood) of every term within ``REACH`` terms of an entity."""
+def neighbours(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, str, bool]]:
+    """(entity, term, the term beside it, is that before it?) of every term within ``REACH`` terms of an entity."""
     low = text.encode().lower().decode()
     inside = sorted((s, e) for _, s, e in spans)
     terms, k, reach = [], 0, -1
@@ -133,8 +133,8 @@ def neighbourhoods(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tup
         for i in range(max(0, at - REACH), min(len(terms), at + REACH)):
             if (name, i) not in met:
                 met.add((name, i))
-                around = (terms[i - 1][1] if i else "") + "\n" + (terms[i + 1][1] if i + 1 < len(terms) else "")
-                yield name, terms[i][1], int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "big", signed=True)
+                yield name, terms[i][1], terms[i - 1][1] if i else "", True
+                yield name, terms[i][1], terms[i + 1][1] if i + 1 < len(terms) else "", False
 
 
 class _Terms:
@@ -164,25 +164,26 @@ class _Terms:
 
 
 def _near(docs: DataFrame, text_col: str) -> DataFrame:
-    """``entity, key, wide, general, hash, witness, n``, added up a batch."""
+    """``entity, key, wide, general, hash, witness, before, n``, added up a batch; ``witness`` is a hash of the term beside the key."""
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             met: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if text and (spans := base_spans(text)):
-                    met.update(neighbourhoods(text, spans))
-            words = sorted({t for _, t, _ in met})
+                    met.update(neighbours(text, spans))
+            words = sorted({t for _, t, _, _ in met})
+            digest = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in {x for _, _, x, _ in met}}
             terms = _Terms([w.encode() for w in words])
             fine, wide = (dict(zip(words, h.view(np.int64).tolist(), strict=True)) for h in (terms.hash, terms.wide()))
-            both = [(e, t, False, g, fine[t], w, n) for (e, t, w), n in met.items() if (g := general(t))]
-            both += [(e, g, True, g, wide[t], w, n) for (e, t, w), n in met.items() if (g := general(t))]
-            columns = list(zip(*both, strict=True)) if both else [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["entity", "key", "wide", "general", "hash", "witness", "n"])
+            both = [(e, t, False, general(t), fine[t], digest[x], b, n) for (e, t, x, b), n in met.items()]
+            both += [(e, g, True, g, wide[t], digest[x], b, n) for (e, t, x, b), n in met.items() if (g := general(t))]
+            columns = list(zip(*both, strict=True)) if both else [[]] * 8
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["entity", "key", "wide", "general", "hash", "witness", "before", "n"])
 
         return work
 
-    return per_text(docs, [column(text_col)], make, "entity string, key string, wide boolean, general string, hash bigint, witness bigint, n bigint")
+    return per_text(docs, [column(text_col)], make, "entity string, key string, wide boolean, general string, hash bigint, witness bigint, before boolean, n bigint")
 
 
 def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -217,10 +218,13 @@ def _counted(docs: DataFrame, known: np.ndarray, text_col: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, *, text_col: str = "text", alpha: float = ALPHA, witnesses: int = WITNESSES) -> DataFrame:
     """``term, replacement, hash``: one row a term that discloses an entity."""
     names = ["entity", "key", "wide", "general", "hash"]
-    seen = _near(docs, text_col).groupBy(*names, "witness").agg(F.sum("n").alias("n"))
+    seen = _near(docs, text_col).groupBy(*names, "witness", "before").agg(F.sum("n").alias("n"))
+    n, side = F.col("n").cast("double"), lambda before: F.col("before") == F.lit(before)
     # one row a pair, and one an entity
-    sums = seen.groupingSets([[F.col(c) for c in names], [F.col("entity")]], *names).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.sum(F.when(~F.col("wide"), F.col("n"))).alias("near"))
-    sums = checkpointed(sums.where(F.col("key").isNull() | (F.col("n").cast("double") * F.col("n") >= witnesses * F.col("squares"))))
+    sums = seen.groupingSets([[F.col(c) for c in names], [F.col("entity")]], *names).agg(
+        F.sum(F.when(side(True), F.col("n"))).alias("n"), F.sum(F.when(side(True), n * n)).alias("left"), F.sum(F.when(side(False), n * n)).alias("right"), F.sum(F.when(side(True) & ~F.col("wide"), F.col("n"))).alias("near"),
+    )
+    sums = checkpointed(sums.where(F.col("key").isNull() | (n * n >= witnesses * F.greatest("left", "right"))))
     pairs, entities = sums.where("key IS NOT NULL"), sums.where("key IS NULL").select("entity", F.col("near").alias("around"))
     counts = checkpointed(_counted(docs, seed_filter(pairs), text_col))
     everything = (counts.where("key IS NULL").agg(F.sum("total")).first()[0]) or 1
