@@ -46,7 +46,7 @@ MIN_DOCS, TOP = 10, 10
 #: Bytes of text for each chunk of terms.
 CHUNK_BYTES = 32 << 20
 #: Entries a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Longer terms are looked up as objects, for an array of fixed width holds the others.
 WIDTH = 48
 
