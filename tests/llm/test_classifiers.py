@@ -38,7 +38,7 @@ def test_screen_is_the_longest_common_subsequence():
     marks = [b"^abcabc$", b"^ccab", b"^bbbb$"]
     model = toxicity.ToxicityModel(marks, np.ones(3, np.float32), 0.0)
     words = [bytes(rng.choices(b"abc^$", k=rng.randint(1, 12))) for _ in range(200)]
-    w, z = model.screened(toxicity._matrix(words))
+    w, z = model.screened(toxicity._matrix(words), np.array([0, 2]))
 
     def common(a, b):
         row = [0] * (len(b) + 1)
@@ -49,14 +49,36 @@ def test_screen_is_the_longest_common_subsequence():
             row = new
         return row[-1]
 
-    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(marks) if common(a, b) >= toxicity.LENGTH}
+    assert model.need.tolist() == [5, 5, 5]
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(marks) if j != 1 and common(a, b) >= 5}
     assert set(zip(w.tolist(), z.tolist(), strict=True)) == want
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
 def plain_value(word, z):
-    """The best piece of a word by the kernel's recursion, with no screen."""
-    own = plain_kernel(z, z, toxicity.LENGTH, toxicity.DECAY)
-    return max(plain_kernel(p, z, toxicity.LENGTH, toxicity.DECAY) / own for p in toxicity.windows(word))
+    """The best piece of a word by the kernel's recursion."""
+    n, decay = toxicity.LENGTH, toxicity.DECAY
+    whole, own = z.endswith(b"$"), plain_kernel(z, z, n, decay)
+    best = 0.0
+    for piece in toxicity.windows(word):
+        for p in [piece] * (len(piece) <= len(z) + toxicity.GAPS) if whole else {piece[: len(z) + k] for k in range(-1, toxicity.GAPS + 1)}:
+            if longest_common(p, z) >= max(n, toxicity.SHARED * len(z)):
+                e = toxicity.OF_WORD if whole else toxicity.OF_BEGINNING
+                best = max(best, plain_kernel(p, z, n, decay) / (own ** (1 - e) * plain_kernel(p, p, n, decay) ** e))
+    return min(best, 1.0)
+
+
+def barred(value, bar):
+    return 0.5 + 0.5 * (value - bar) / max(1 - bar, 1e-6) if value >= bar else 0.0
 
 
 def test_pieces_of_a_word():
@@ -85,17 +107,26 @@ def test_scores_equal_a_plain_version_without_screen():
     sample = toy(300)
     model = toxicity.fit_toxicity(sample)
     rng = random.Random(9)
-    for text, _ in sample[:200]:
-        if rng.random() < 0.5:
-            text = text.replace("nitwit", rng.choice(["n-i-t-w-i-t", "nitwt", "n*twit", "xnitwit"]))
+    texts = [t.replace("nitwit", rng.choice(["n-i-t-w-i-t", "nitwt", "n*twit", "xnitwit"])) if rng.random() < 0.5 else t for t, _ in sample[:120]]
+    texts += [" ".join(rng.choices(["talen", "rover", "nitwt", "blockhaed", "scounrel", "midop"], weights=[60, 60, 1, 1, 1, 60], k=700)) for _ in range(10)]
+    value = lru_cache(None)(lambda w: np.array([barred(plain_value(w, z), b) for z, b in zip(model.landmarks, model.bars, strict=True)]))
+    for text in texts:
+        words = toxicity.units(text.encode())
         worst = model.bias
-        for sentence in text.split(". "):
-            value = np.zeros(len(model.landmarks))
-            for w in toxicity.units(sentence.encode()):
-                value = np.maximum(value, [v if (v := min(1, plain_value(w, z))) >= toxicity.FLOOR else 0 for z in model.landmarks])
-            worst = max(worst, float(value @ model.weight) + model.bias)
-        want = 1 / (1 + np.exp(-(model.slope * worst + model.offset)))
-        assert model.scores([text.encode()])[0] == pytest.approx(want, rel=1e-3)
+        for i in range(len(words)):
+            passage = {w for w in words[max(0, i + 1 - toxicity.PASSAGE) : i + 1]}
+            worst = max(worst, float(sum((value(w) for w in passage), np.zeros(len(model.landmarks))) @ model.weight) + model.bias)
+        assert model.scores([text.encode()])[0] == pytest.approx(1 / (1 + np.exp(-model.slope * worst)), rel=1e-3)
+
+
+def test_one_passage_must_hold_the_evidence():
+    """Beginnings that clean documents hold by chance weigh in numbers, and only where they stand together."""
+    model = toxicity.ToxicityModel([b"^achlich"], np.array([0.4], np.float32), -1.0)
+    words = ["achlichen", "achlichung", "achlichkeit"]
+    assert model.scores([" ".join(words).encode()])[0] > 0.5
+    assert model.scores([" ".join(words[:1] * 9).encode()])[0] < 0.5  # one word, said again
+    apart = (" wort" * toxicity.PASSAGE).join(words)
+    assert model.scores([apart.encode()])[0] < 0.5
 
 
 def test_near_copies_are_one_document():
@@ -111,8 +142,7 @@ def test_masked_and_dropped_letters_keep_their_kernel():
     got = model.values(words)
     for w in words:
         for j, z in enumerate(marks):
-            want = plain_value(w, z)
-            assert (got[w][j] if w in got else 0.0) == pytest.approx(min(want, 1) if want >= toxicity.FLOOR else 0.0, rel=1e-3), (w, z)
+            assert (got[w][j] if w in got else 0.0) == pytest.approx(barred(plain_value(w, z), toxicity.FLOOR), rel=1e-3), (w, z)
     assert all(w in got for w in words[:7])
     assert "plain" not in got
 
@@ -159,9 +189,57 @@ def held_out_accuracy(spark, fit, score, label, modulus, held_out):
     return float(pairs.sum() / (2 * len(positive) * len(negative))), {zlib.crc32(str(r.doc_id).encode()) % modulus == held_out for r in score(docs.limit(0), labels).collect()}
 
 
+@pytest.fixture(scope="module")
+def judged():
+    """Held-out documents of sf0.1 with their language, label and score, and the model fitted on the others."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, lang, toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE text IS NOT NULL").fetchall()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = toxicity.fit_toxicity(sorted((t, y) for i, t, _, y in rows if not fold(i) and len(t) <= 20_000))
+    held = [(t, lang, y) for i, t, lang, y in rows if fold(i)]
+    return model, [(lang, y, float(p)) for (_, lang, y), p in zip(held, model.scores([t.encode() for t, _, _ in held]), strict=True)], held
+
+
+def test_toxicity_is_fair_to_every_language(judged):
+    _, scored, _ = judged
+    for lang in ("en", "de", "fr", "es"):
+        clean = [p for n, y, p in scored if n == lang and not y]
+        toxic = [p for n, y, p in scored if n == lang and y]
+        wrong, caught = sum(p >= 0.5 for p in clean), sum(p >= 0.5 for p in toxic)
+        print(f"{lang}: {wrong} of {len(clean)} clean documents flagged, {caught} of {len(toxic)} toxic ones caught")
+        assert wrong <= 0.03 * len(clean) and caught >= 0.9 * len(toxic), lang
+
+
+def test_sure_landmarks_are_found_in_any_dress(judged):
+    model, scored, held = judged
+    rng = random.Random(4)
+    hosts = [t.split(" ") for (t, lang, y), (_, _, p) in zip(held, scored, strict=True) if not y and p < 0.5 and lang == "en"][:8]
+
+    def inserted(word, n):
+        for _ in range(n):
+            at = rng.randrange(1, len(word))
+            word = word[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
+        return word
+
+    alone = lambda w: model.scores([f"{w}".encode()])[0] >= 0.5
+    sure = [z.strip(b"^$").decode() for z in model.landmarks if z.isascii() and z.endswith(b"$") and alone(z.strip(b"^$").decode())]
+    assert len(sure) >= 9
+    kinds = {"as it is": str, "hyphens": "-".join, "dots": ".".join, "an x in every gap": "x".join, "blanks": " ".join, "doubled": lambda w: w[:2] + w[1:], "one letter": lambda w: inserted(w, 1), "two letters": lambda w: inserted(w, 2)}
+    for kind, dress in kinds.items():
+        texts = []
+        for w in sure:
+            for host in hosts:
+                at = rng.randrange(len(host) + 1)
+                texts.append(" ".join([*host[:at], dress(w), *host[at:]]).encode())
+        caught = (model.scores(texts) >= 0.5).mean()
+        print(f"{kind}: {caught:.2f}")
+        assert caught >= 0.9, kind
+
+
 def test_toxicity_ranks_held_out_documents(spark):
     auc, _ = held_out_accuracy(spark, None, toxicity.toxicity_scores, "toxic", 5, 0)
-    assert auc > 0.93
+    assert auc > 0.95
 
 
 def test_quality_ranks_held_out_documents(spark):

@@ -7,22 +7,35 @@ inserted, gapped, masked, left out or appended keeps a part of its value.  A wor
 is compared as its core, as the parts that punctuation cuts it into, as its
 letters alone (separators between letters cost nothing then) and, if one and
 the same sign stands in every gap, without that; each with a mark at both ends.
-The value is taken relative to the landmark's own and capped at 1; a sentence's
-value for a landmark is the best of its words.
+
+Values.  A landmark is a whole word (both marks) or a word's beginning.  The
+value of a word for it is ``K(w, z) / (K(z, z)**(1 - e) K(w, w)**e)``: neither
+a word that repeats the landmark's letters nor one that is merely long can
+collect much.  ``e`` is a half for beginnings (the cosine; the best beginning of
+the word up to ``GAPS`` characters longer than the landmark counts) and a
+quarter for whole words, of which a missing letter costs more than a strange
+one; words over ``GAPS`` characters longer than a whole word have value 0, and
+so have words that hold less than ``SHARED`` of a landmark's characters in order.
+Each landmark has a bar, learned from the clean documents: at most ``FALSE_SHARE``
+of them may hold a word that reaches it without being the landmark itself.
+Under the bar a value is 0, from it on it runs from a half to 1, so a sure insult
+weighs the same however many landmarks there are.
 
 Model.  Landmarks come from labelled documents, near copies made one: word
-beginnings, chosen greedily to cover the toxic documents and few clean ones.
-Landmark values of a sentence are whitened by the landmarks' own kernel matrix
-(Nyström), and a linear SVM (squared hinge loss, Newton steps) separates
-sentences of clean documents from the most suspicious sentence of each toxic
-one, chosen anew each round, and from the landmarks themselves, as they are and
-altered.  A document's score is a logistic function, fitted on the training
-documents, of its worst sentence.
+beginnings and words, chosen greedily to cover the toxic documents and few clean
+ones; of beginnings the one that takes in all its endings.  The values of the
+different words of a passage, ``PASSAGE`` words of a document that follow each
+other, are added up: one sure insult is enough, beginnings that clean
+documents hold by chance must come in numbers.  They are whitened by the
+landmarks' own kernel matrix (Nyström), and a linear SVM (squared hinge loss,
+Newton steps) separates passages of clean documents from the most suspicious
+passage of each toxic one, chosen anew each round, and from the sure landmarks
+themselves, as they are and altered.  A document's score is a logistic function
+of the margin of its worst passage, 0.5 at margin 0.
 
 Serving.  Words are remembered by the worker, so each distinct one is compared
-once.  A word that shares no subsequence of ``LENGTH`` characters with a
-landmark has kernel 0 for it; that screen loses nothing, is bit-parallel over
-all words and landmarks, and only the pairs that pass take the full kernel.
+once.  The screen for shared characters is bit-parallel over all words and
+landmarks, and only the pairs that pass take the kernel.
 
 Rows: NULL and empty texts get the score of a text without insults; NULL ids
 pass through; repeated rows give equal results; an empty table gives an empty
@@ -46,7 +59,11 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import crc_mod, over_rows, per_text, utf8
 from tidemark.llm.training import labelled_sample
 
-LENGTH, DECAY = 4, 0.75
+LENGTH, DECAY = 5, 0.95
+#: How much longer than a landmark what is compared with it may be, and the share of its characters that must be there in order.
+GAPS, SHARED = 3, 0.6
+#: Exponents of a word's own value, for beginnings and for whole words.
+OF_BEGINNING, OF_WORD = 0.5, 0.25
 LANDMARKS = 40
 #: Landmarks sought for each toxic document.
 COVER = 4
@@ -54,15 +71,20 @@ COVER = 4
 SHORTEST, LONGEST = 4, 12
 #: A word's window and its step; landmarks with their mark are shorter than their difference allows.
 WINDOW, STEP = 32, 16
-#: Values under this count as none.
-FLOOR = 0.3
+#: The lowest bar of a landmark, and the share of clean documents that may reach it by other words.
+FLOOR, FALSE_SHARE = 0.3, 0.0005
+#: A landmark is sure if no larger share of the clean documents holds it.
+SURE = 0.0008
+#: Toxic documents to clean ones (as shares of their classes) that hold a landmark, at least; what a clean one counts against it.
+ENRICHED, AGAINST = 4, 3
+#: Words of a passage.
+PASSAGE = 200
 REMEMBERED = 100_000
 #: Times each landmark is shown to the SVM as it is, and altered.
 PLAIN, ALTERED = 100, 200
 _EDGES = bytes(b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
 #: Punctuation and Unicode spaces inside a word.
 _INSIDE = re.compile(rb"[!-/:-@\[-`{-~]+|\xc2\xa0|\xe2\x80[\x80-\x8b\xaf]|\xe3\x80\x80")
-_SENTENCE_END = (b".", b"!", b"?")
 MARK, LAST = b"^", b"$"
 #: Digits and signs that stand for letters inside a word.
 _STAND_INS = bytes.maketrans(b"013457@$!|", b"oieastasil")
@@ -141,13 +163,13 @@ def subsequence_kernel(words: np.ndarray, others: np.ndarray, length: int = LENG
 
 @dataclass
 class ToxicityModel:
-    """Landmarks (marked word beginnings) and the SVM folded onto them: margin = values @ weight + bias."""
+    """Landmarks (marked words and beginnings), their bars, and the SVM folded onto them: margin = values @ weight + bias."""
 
     landmarks: list[bytes]
     weight: np.ndarray
     bias: float
     slope: float = 1.0
-    offset: float = 0.0
+    bars: np.ndarray | None = None
     own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def __post_init__(self) -> None:
@@ -158,42 +180,84 @@ class ToxicityModel:
             return
         self.rows = _matrix(self.landmarks)
         self.own = subsequence_kernel(self.rows, self.rows)
-        lengths = np.array([len(z) for z in self.landmarks], np.uint64)
-        self.full = (np.uint64(1) << lengths) - np.uint64(1)
-        self.masks = np.zeros((256, len(lengths)), np.uint64)
+        self.bars = np.full(len(self.landmarks), FLOOR) if self.bars is None else self.bars
+        self.lengths = np.array([len(z) for z in self.landmarks])
+        self.need = np.maximum(LENGTH, np.ceil(SHARED * self.lengths)).astype(int)
+        self.whole = np.array([z.endswith(LAST) for z in self.landmarks])
+        self.full = (np.uint64(1) << self.lengths.astype(np.uint64)) - np.uint64(1)
+        self.masks = np.zeros((256, len(self.lengths)), np.uint64)
         for j, z in enumerate(self.landmarks):
             for i, c in enumerate(z):
                 self.masks[c, j] |= np.uint64(1 << i)
 
-    def screened(self, words: np.ndarray, need: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-        """(word, landmark) pairs whose longest common subsequence has ``need`` characters, bit-parallel."""
-        v = np.full((len(words), len(self.landmarks)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    def screened(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, landmark) pairs, of the landmarks asked for, whose longest common subsequence is long enough, bit-parallel."""
+        v = np.full((len(words), len(of)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        masks = self.masks[:, of]
         for i in range(words.shape[1]):
-            m = self.masks[words[:, i]]
+            m = masks[words[:, i]]
             u = v & m
             v = (v + u) | (v - u)
-        return np.nonzero(np.bitwise_count(~v & self.full) >= need)
+        w, z = np.nonzero(np.bitwise_count(~v & self.full[of]) >= self.need[of])
+        return w, of[z]
+
+    def compared(self, rows: np.ndarray, of: np.ndarray, exponent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, landmark, value) of the pairs that pass the screen."""
+        w, z = self.screened(rows, of)
+        if not len(w):
+            return w, z, np.zeros(0)
+        some, back = np.unique(w, return_inverse=True)
+        itself = subsequence_kernel(rows[some], rows[some])
+        value = np.empty(len(w))
+        for j in np.unique(z):
+            i = np.flatnonzero(z == j)
+            value[i] = subsequence_kernel(rows[w[i]], np.repeat(self.rows[[j], : self.lengths[j]], len(i), 0)) / (self.own[j] ** (1 - exponent) * np.maximum(itself[back[i]], 1e-30) ** exponent)
+        return w, z, np.minimum(value, 1)
+
+    def piece_values(self, pieces: list[bytes], least: np.ndarray) -> dict[bytes, np.ndarray]:
+        """Values of pieces for the landmarks of which they reach the least value."""
+        best: dict[bytes, np.ndarray] = {}
 
-    def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
-        """Landmark values of the words that have any."""
+        def reached(names: list[bytes], w: np.ndarray, z: np.ndarray, value: np.ndarray) -> None:
+            for k in np.flatnonzero(value >= least[z]).tolist():
+                at = best.setdefault(names[w[k]], np.zeros(len(self.landmarks), np.float32))
+                at[z[k]] = max(at[z[k]], value[k])
+
+        of = np.flatnonzero(self.whole)
+        if len(of):
+            short = sorted((p for p in pieces if len(p) <= self.lengths[of].max() + GAPS), key=len)
+            for start in range(0, len(short), 8192):
+                part = short[start : start + 8192]
+                w, z, value = self.compared(_matrix(part), of, OF_WORD)
+                fits = np.fromiter(map(len, part), int, len(part))[w] <= self.lengths[z] + GAPS
+                reached(part, w[fits], z[fits], value[fits])
+        of = np.flatnonzero(~self.whole)
+        for width in sorted({n + k for n in self.lengths[of].tolist() for k in range(-1, GAPS + 1)}):
+            mine = of[(self.lengths[of] - 1 <= width) & (width <= self.lengths[of] + GAPS)]
+            beginnings: dict[bytes, list[bytes]] = {}
+            for p in pieces:
+                beginnings.setdefault(p[:width], []).append(p)
+            part = list(beginnings)
+            for start in range(0, len(part), 8192):
+                some = part[start : start + 8192]
+                w, z, value = self.compared(_matrix(some), mine, OF_BEGINNING)
+                high = value >= least[z]
+                for i, j, x in zip(w[high].tolist(), z[high].tolist(), value[high].tolist(), strict=True):
+                    for p in beginnings[some[i]]:
+                        at = best.setdefault(p, np.zeros(len(self.landmarks), np.float32))
+                        at[j] = max(at[j], x)
+        return best
+
+    def word_values(self, words: list[bytes], least: np.ndarray) -> dict[bytes, np.ndarray]:
+        """Values of words, the best of their pieces, where they reach the least value."""
         cut = {w: windows(w) for w in words}
-        pieces = sorted({p for ps in cut.values() for p in ps}, key=len)
-        best: dict[bytes, np.ndarray] = {}
-        for start in range(0, len(pieces), 8192):
-            part = pieces[start : start + 8192]
-            rows = _matrix(part)
-            # under LENGTH common characters the kernel is 0; any higher bar would drop values over FLOOR
-            w, z = self.screened(rows)
-            for j, mark in enumerate(self.landmarks):
-                i = w[z == j]
-                value = np.minimum(subsequence_kernel(rows[i], np.repeat(self.rows[[j], : len(mark)], len(i), 0)) / self.own[j], 1)
-                for k in np.flatnonzero(value >= FLOOR):
-                    best.setdefault(part[i[k]], np.zeros(len(self.landmarks), np.float32))[j] = value[k]
-        found = {}
-        for w, ps in cut.items():
-            if any(p in best for p in ps):
-                found[w] = np.maximum.reduce([best[p] for p in ps if p in best])
-        return found
+        best = self.piece_values(sorted({p for ps in cut.values() for p in ps}), least)
+        return {w: np.maximum.reduce(found) for w, ps in cut.items() if (found := [best[p] for p in ps if p in best])}
+
+    def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Landmark values of the words that reach a bar."""
+        above = lambda v: 0.5 + 0.5 * (v - self.bars) / np.maximum(1 - self.bars, 1e-6)
+        return {w: np.where(v > 0, above(v), 0).astype(np.float32) for w, v in self.word_values(words, self.bars).items()}
 
     def learn(self, texts: list[bytes]) -> list[list[bytes]]:
         """Compare the words not met before; returns the words of each text."""
@@ -209,28 +273,36 @@ class ToxicityModel:
         self.known.update(dict.fromkeys(new))
         return split
 
-    def sentences(self, words: list[bytes]) -> list[np.ndarray]:
-        """Landmark values of each sentence that has any: the best of its words."""
+    def passages(self, words: list[bytes]) -> list[np.ndarray]:
+        """Summed landmark values of the different words of each passage that ends in a word that has any."""
         if not self.active or self.active.keys().isdisjoint(words):
             return []
-        out, current = [], None
-        for w in words:
-            v = self.active.get(w)
-            if v is not None:
-                current = v if current is None else np.maximum(current, v)
-            if current is not None and w.endswith(_SENTENCE_END):
-                out.append(current)
-                current = None
-        return out if current is None else [*out, current]
+        hits = [(i, w) for i, w in enumerate(words) if w in self.active]
+        out, first, held, total = [], 0, Counter(), np.zeros(len(self.landmarks), np.float32)
+        for i, w in hits:
+            while hits[first][0] <= i - PASSAGE:
+                gone = hits[first][1]
+                held[gone] -= 1
+                if not held[gone]:
+                    total = total - self.active[gone]
+                first += 1
+            if not held[w]:
+                total = total + self.active[w]
+            held[w] += 1
+            out.append(total)
+        return out
+
+    def margins(self, split: list[list[bytes]]) -> np.ndarray:
+        return np.array([max((float(s @ self.weight) + self.bias for s in self.passages(words)), default=self.bias) for words in split])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        none = self.bias
-        margins = [max((float(s @ self.weight) + self.bias for s in self.sentences(words)), default=none) for words in self.learn(texts)]
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(margins, none) + self.offset, -60, 60))) if self.landmarks else np.zeros(len(texts))
+        if not self.landmarks:
+            return np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(self.margins(self.learn(texts)), self.bias), -60, 60)))
 
 
 def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS) -> list[bytes]:
-    """Word beginnings, and words with their end mark, that greedily cover each toxic document up to ``COVER`` times; a clean document counts against one fivefold."""
+    """Word beginnings, and words with their end mark, that greedily cover each toxic document up to ``COVER`` times; clean documents count against them."""
 
     def beginnings(words: list[bytes]) -> set[str]:
         cores = {w.strip(_EDGES).decode("utf-8", "ignore") for w in words}
@@ -248,7 +320,7 @@ def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS)
         if not label:
             clean.update(beginnings(words) & toxic.keys())
     share = max(1, n_toxic) / max(1, len(docs) - n_toxic)
-    candidates = {c for c, n in toxic.items() if clean[c] * share <= 0.03 * n}
+    candidates = {c for c, n in toxic.items() if ENRICHED * clean[c] * share <= n}
     covers: dict[str, set[int]] = {c: set() for c in candidates}
     for i, (words, label) in enumerate(docs):
         if label:
@@ -256,7 +328,7 @@ def choose_landmarks(docs: list[tuple[list[bytes], int]], most: int = LANDMARKS)
                 covers[c].add(i)
     chosen, need = [], np.full(len(docs), COVER)
     while covers and len(chosen) < most:
-        gains = {c: sum(need[i] > 0 for i in s) - 5 * clean[c] for c, s in covers.items()}
+        gains = {c: sum(need[i] > 0 for i in s) - AGAINST * share * clean[c] for c, s in covers.items()}
         most_gained = max(gains.values())
         if most_gained < least:
             break
@@ -311,6 +383,19 @@ def _inserted(word: bytes, rng: np.random.Generator) -> bytes:
     return word[:at] + bytes([(b"*.-_xz" if style == 2 else b"aeiouxyz")[rng.integers(6)]]) + word[at:]
 
 
+def learned_bars(model: ToxicityModel, clean: list[list[bytes]], pool: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bar, share of clean documents that reach it) of each landmark."""
+    values = model.word_values(pool, np.full(len(model.landmarks), FLOOR))
+    none = np.zeros(len(model.landmarks), np.float32)
+    best = np.array([np.maximum.reduce([none, *(values[w] for w in set(words) if w in values)]) for words in clean]).reshape(-1, len(none))
+    bars = []
+    for v in best.T:
+        v = np.sort(v)[::-1]
+        allowed = int((v >= 0.999).sum() + FALSE_SHARE * len(v))
+        bars.append(max(FLOOR, min(float(v[allowed]) + 1e-3 if allowed < len(v) else FLOOR, 0.999)))
+    return np.array(bars), (best >= np.array(bars)).mean(0) if len(best) else np.zeros(len(none))
+
+
 def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int = 3, decay: float = 3e-4) -> ToxicityModel:
     pool: dict[bytes, bytes] = {}  # equal words are one object
     docs = [([pool.setdefault(w, w) for w in units(text.encode())], label) for text, label in sample]
@@ -319,14 +404,16 @@ def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int =
     if not marks:
         return model
     rng = np.random.default_rng(seed)
-    kernel = np.stack([subsequence_kernel(np.repeat(model.rows[[i]], len(marks), 0), model.rows) / model.own for i in range(len(marks))])
-    kernel = np.minimum((kernel + kernel.T) / 2, 1)
-    value, vector = np.linalg.eigh(kernel)
+    model.bars, chance = learned_bars(model, [words for words, y in docs if not y], list(pool))
+    # the landmarks' own kernel matrix
+    kernel = np.stack([subsequence_kernel(np.repeat(model.rows[[i]], len(marks), 0), model.rows) / np.sqrt(model.own[i] * model.own) for i in range(len(marks))])
+    value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     whiten = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
     model.active = model.values(list(pool))
-    bags = [(model.sentences(words) or [np.zeros(len(marks), np.float32)], label) for words, label in docs]
-    # each landmark as a sentence of its own, as it is and with characters put in
-    altered = [w for z in marks for w in [z.strip(MARK + LAST)] * PLAIN + [_inserted(z.strip(MARK + LAST), rng) for _ in range(ALTERED)]]
+    none = np.zeros(len(marks), np.float32)
+    bags = [(model.passages(words) or [none], label) for words, label in docs]
+    # each sure landmark as a passage of its own, as it is and with characters put in
+    altered = [w for z, share in zip(marks, chance, strict=True) if share <= SURE for w in [z.strip(MARK + LAST)] * PLAIN + [_inserted(z.strip(MARK + LAST), rng) for _ in range(ALTERED)]]
     seen = model.values(altered)
     extra = [seen[w] for w in altered if w in seen]
     clean = np.array([s for bag, y in bags if not y for s in bag]) @ whiten
@@ -339,9 +426,10 @@ def fit_toxicity(sample: list[tuple[str, int]], *, seed: int = 11, rounds: int =
         y = np.concatenate([np.ones(len(worst)), -np.ones(len(clean))])
         each = np.where(y > 0, len(y) / (2 * max(1, len(worst))), len(y) / (2 * max(1, len(clean))))
         weight, bias = _svm(x, y, each / len(y), decay)
-    model.weight, model.bias = (whiten @ weight).astype(np.float32), float(bias)
+    # a landmark of toxic texts never speaks for a document
+    model.weight, model.bias = np.maximum(whiten @ weight, 0).astype(np.float32), float(bias)
     margin = np.array([max(model.bias, *(float(s @ model.weight) + model.bias for s in bag)) for bag, _ in bags])
-    model.slope, model.offset = _logistic(margin, np.array([y for _, y in bags], float))
+    model.slope = _slope(margin, np.array([y for _, y in bags], float))
     model.known, model.active = {}, {}
     return model
 
@@ -359,17 +447,15 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, decay: float, steps: in
     return theta[:-1], float(theta[-1])
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and offset of a logistic fit by Newton steps, classes weighted alike, held back a little."""
+def _slope(margin: np.ndarray, label: np.ndarray, steps: int = 100) -> float:
+    """Slope of a logistic fit through (0, 0.5) by Newton steps, classes weighted alike, held back a little."""
     weight = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    theta = np.array([1.0, 0.0])
+    slope = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (weight * (p - label)) + 1e-3 * theta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta = theta - np.linalg.solve(hessian, gradient)
-    return max(float(theta[0]), 1e-3), float(theta[1])
+        p = 1 / (1 + np.exp(-np.clip(margin * slope, -30, 30)))
+        gradient = float(margin @ (weight * (p - label))) + 1e-3 * slope
+        slope = min(50.0, max(1e-3, slope - gradient / (float((margin**2) @ (weight * p * (1 - p))) + 1e-3)))
+    return slope
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
