@@ -35,23 +35,14 @@ def test_kernel_equals_its_recursion():
 
 def test_screen_is_the_longest_common_subsequence():
     rng = random.Random(3)
-    marks = [b"^abcabc$", b"^ccab", b"^bbbb$"]
+    marks = [b"^abcabc$", b"^ccabacb", b"^bbbb$"]
     model = toxicity.ToxicityModel(marks, np.ones(3, np.float32), 0.0)
-    words = [bytes(rng.choices(b"abc^$", k=rng.randint(1, 12))) for _ in range(200)]
-    w, z = model.screened(toxicity._matrix(words), np.array([0, 2]))
-
-    def common(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-            row = new
-        return row[-1]
-
-    assert model.need.tolist() == [5, 5, 5]
-    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(marks) if j != 1 and common(a, b) >= 5}
-    assert set(zip(w.tolist(), z.tolist(), strict=True)) == want
+    words = [bytes(rng.choices(b"abc^$", k=rng.randint(1, 12))) for _ in range(300)]
+    got = {(i, j, width) for j, width, row in model.screened(toxicity._matrix(words)) for i in row.tolist()}
+    assert model.need.tolist() == [6, 6, 5]
+    want = {(i, j, 12) for i, a in enumerate(words) for j, b in enumerate(marks) if j != 1 and len(a) <= len(b) + toxicity.GAPS and longest_common(a, b) >= model.need[j]}
+    want |= {(i, 1, w) for i, a in enumerate(words) for w in (8, 9) if (len(a) >= w or w == 8) and longest_common(a[:w], marks[1]) >= model.need[1]}
+    assert got == want
 
 
 def longest_common(a, b):
@@ -70,7 +61,7 @@ def plain_value(word, z):
     whole, own = z.endswith(b"$"), plain_kernel(z, z, n, decay)
     best = 0.0
     for piece in toxicity.windows(word):
-        for p in [piece] * (len(piece) <= len(z) + toxicity.GAPS) if whole else {piece[: len(z) + k] for k in range(-1, toxicity.GAPS + 1)}:
+        for p in [piece] * (len(piece) <= len(z) + toxicity.GAPS) if whole else {piece[: len(z) + k] for k in range(toxicity.WIDER + 1)}:
             if longest_common(p, z) >= max(n, toxicity.SHARED * len(z)):
                 e = toxicity.OF_WORD if whole else toxicity.OF_BEGINNING
                 best = max(best, plain_kernel(p, z, n, decay) / (own ** (1 - e) * plain_kernel(p, p, n, decay) ** e))

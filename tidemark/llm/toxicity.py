@@ -11,9 +11,9 @@ the same sign stands in every gap, without that; each with a mark at both ends.
 Values.  A landmark is a whole word (both marks) or a word's beginning.  The
 value of a word for it is ``K(w, z) / (K(z, z)**(1 - e) K(w, w)**e)``: neither
 a word that repeats the landmark's letters nor one that is merely long can
-collect much.  ``e`` is a half for beginnings (the cosine; the best beginning of
-the word up to ``GAPS`` characters longer than the landmark counts) and a
-quarter for whole words, of which a missing letter costs more than a strange
+collect much.  ``e`` is a half for beginnings (the cosine; the better of the
+word's beginnings as long as the landmark and up to ``WIDER`` longer counts) and
+a quarter for whole words, of which a missing letter costs more than a strange
 one; words over ``GAPS`` characters longer than a whole word have value 0, and
 so have words that hold less than ``SHARED`` of a landmark's characters in order.
 Each landmark has a bar, learned from the clean documents: at most ``FALSE_SHARE``
@@ -61,7 +61,9 @@ from tidemark.llm.training import labelled_sample
 
 LENGTH, DECAY = 5, 0.95
 #: How much longer than a landmark what is compared with it may be, and the share of its characters that must be there in order.
-GAPS, SHARED = 3, 0.6
+GAPS, SHARED = 3, 0.75
+#: By how much a word's beginning may be wider than a landmark that is one.
+WIDER = 1
 #: Exponents of a word's own value, for beginnings and for whole words.
 OF_BEGINNING, OF_WORD = 0.5, 0.25
 LANDMARKS = 40
@@ -114,10 +116,11 @@ def windows(word: bytes) -> list[bytes]:
     first with the mark of a beginning.
     """
     core = word.strip(_EDGES).translate(_STAND_INS)
-    parts = [p for p in _INSIDE.split(core) if p]
-    pieces = dict.fromkeys([core, *parts, b"".join(parts)] if len(parts) > 1 else [core])
+    pieces = [core]
+    if not core.isalnum() and len(parts := [p for p in _INSIDE.split(core) if p]) > 1:
+        pieces = list(dict.fromkeys([core, *parts, b"".join(parts)]))
     # one sign put into every gap says nothing
-    pieces |= dict.fromkeys(p[0::2] for p in list(pieces) if len(p) > 6 and len(p) % 2 and len(set(p[1::2])) == 1)
+    pieces += [q for p in pieces if len(p) > 6 and len(p) % 2 and p[1] == p[3] == p[5] and len(set(p[1::2])) == 1 and (q := p[0::2]) not in pieces]
     out = []
     for piece in pieces:
         marked = MARK + piece + LAST
@@ -190,69 +193,50 @@ class ToxicityModel:
             for i, c in enumerate(z):
                 self.masks[c, j] |= np.uint64(1 << i)
 
-    def screened(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, landmark) pairs, of the landmarks asked for, whose longest common subsequence is long enough, bit-parallel."""
-        v = np.full((len(words), len(of)), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        masks = self.masks[:, of]
-        for i in range(words.shape[1]):
-            m = masks[words[:, i]]
+    def screened(self, pieces: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(landmark, width, rows) of what shares enough characters in order: whole pieces, or beginnings of the widths a landmark is compared at.
+
+        Bit-parallel over all pieces and landmarks; after each character the
+        longest common subsequence of the beginning so far is known.
+        """
+        v = np.full((len(pieces), len(self.landmarks)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        out, held = [], (pieces != 0).sum(1)
+        for i in range(pieces.shape[1]):
+            m = self.masks[pieces[:, i]]
             u = v & m
             v = (v + u) | (v - u)
-        w, z = np.nonzero(np.bitwise_count(~v & self.full[of]) >= self.need[of])
-        return w, of[z]
-
-    def compared(self, rows: np.ndarray, of: np.ndarray, exponent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, landmark, value) of the pairs that pass the screen."""
-        w, z = self.screened(rows, of)
-        if not len(w):
-            return w, z, np.zeros(0)
-        some, back = np.unique(w, return_inverse=True)
-        itself = subsequence_kernel(rows[some], rows[some])
-        value = np.empty(len(w))
-        for j in np.unique(z):
-            i = np.flatnonzero(z == j)
-            value[i] = subsequence_kernel(rows[w[i]], np.repeat(self.rows[[j], : self.lengths[j]], len(i), 0)) / (self.own[j] ** (1 - exponent) * np.maximum(itself[back[i]], 1e-30) ** exponent)
-        return w, z, np.minimum(value, 1)
-
-    def piece_values(self, pieces: list[bytes], least: np.ndarray) -> dict[bytes, np.ndarray]:
-        """Values of pieces for the landmarks of which they reach the least value."""
-        best: dict[bytes, np.ndarray] = {}
-
-        def reached(names: list[bytes], w: np.ndarray, z: np.ndarray, value: np.ndarray) -> None:
-            for k in np.flatnonzero(value >= least[z]).tolist():
-                at = best.setdefault(names[w[k]], np.zeros(len(self.landmarks), np.float32))
-                at[z[k]] = max(at[z[k]], value[k])
-
-        of = np.flatnonzero(self.whole)
-        if len(of):
-            short = sorted((p for p in pieces if len(p) <= self.lengths[of].max() + GAPS), key=len)
-            for start in range(0, len(short), 8192):
-                part = short[start : start + 8192]
-                w, z, value = self.compared(_matrix(part), of, OF_WORD)
-                fits = np.fromiter(map(len, part), int, len(part))[w] <= self.lengths[z] + GAPS
-                reached(part, w[fits], z[fits], value[fits])
-        of = np.flatnonzero(~self.whole)
-        for width in sorted({n + k for n in self.lengths[of].tolist() for k in range(-1, GAPS + 1)}):
-            mine = of[(self.lengths[of] - 1 <= width) & (width <= self.lengths[of] + GAPS)]
-            beginnings: dict[bytes, list[bytes]] = {}
-            for p in pieces:
-                beginnings.setdefault(p[:width], []).append(p)
-            part = list(beginnings)
-            for start in range(0, len(part), 8192):
-                some = part[start : start + 8192]
-                w, z, value = self.compared(_matrix(some), mine, OF_BEGINNING)
-                high = value >= least[z]
-                for i, j, x in zip(w[high].tolist(), z[high].tolist(), value[high].tolist(), strict=True):
-                    for p in beginnings[some[i]]:
-                        at = best.setdefault(p, np.zeros(len(self.landmarks), np.float32))
-                        at[j] = max(at[j], x)
-        return best
+            for j in np.flatnonzero(~self.whole & (self.lengths - 1 <= i) & (i <= self.lengths - 1 + WIDER)):
+                row = np.flatnonzero((np.bitwise_count(~v[:, j] & self.full[j]) >= self.need[j]) & ((held > i) | (i == self.lengths[j] - 1)))
+                out.append((int(j), i + 1, row))
+        for j in np.flatnonzero(self.whole):
+            row = np.flatnonzero((np.bitwise_count(~v[:, j] & self.full[j]) >= self.need[j]) & (held <= self.lengths[j] + GAPS))
+            out.append((int(j), pieces.shape[1], row))
+        return [x for x in out if len(x[2])]
+
+    def piece_values(self, pieces: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, landmark, value) of the pieces that reach a landmark's least value."""
+        found = []
+        for j, width, row in self.screened(pieces):
+            some = pieces[row, : min(width, self.lengths[j] + GAPS)]
+            exponent = OF_WORD if self.whole[j] else OF_BEGINNING
+            value = subsequence_kernel(some, np.repeat(self.rows[[j], : self.lengths[j]], len(row), 0)) / (self.own[j] ** (1 - exponent) * np.maximum(subsequence_kernel(some, some), 1e-30) ** exponent)
+            high = value >= least[j]
+            found.append((row[high], np.full(int(high.sum()), j), np.minimum(value[high], 1)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
     def word_values(self, words: list[bytes], least: np.ndarray) -> dict[bytes, np.ndarray]:
         """Values of words, the best of their pieces, where they reach the least value."""
-        cut = {w: windows(w) for w in words}
-        best = self.piece_values(sorted({p for ps in cut.values() for p in ps}), least)
-        return {w: np.maximum.reduce(found) for w, ps in cut.items() if (found := [best[p] for p in ps if p in best])}
+        pieces, of = [], []
+        for k, w in enumerate(words):
+            cut = windows(w)
+            pieces += cut
+            of += [k] * len(cut)
+        out: dict[bytes, np.ndarray] = {}
+        for start in range(0, len(pieces), 8192):
+            for i, j, x in zip(*(v.tolist() for v in self.piece_values(_matrix(pieces[start : start + 8192]), least)), strict=True):
+                at = out.setdefault(words[of[start + i]], np.zeros(len(self.landmarks), np.float32))
+                at[j] = max(at[j], x)
+        return out
 
     def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Landmark values of the words that reach a bar."""
