@@ -297,12 +297,42 @@ def test_ranks_in_slices_equal_a_window(spark):
     from tidemark.operators import windows
 
     df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.expr("id * 7919 % 97").alias("x"), "id")
-    got = windows.rank_in_slices(df, by="g", key="x", then=["id"], slices=16)
+    got = windows.rank_in_slices(df, by="g", key="x", then=["id"])
     want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("x"), "id")))
     assert {(r.id, r["rank"]) for r in got.collect()} == {(r.id, r["rank"]) for r in want.collect()}
     assert {r.top for r in got.select("top").distinct().collect()} == {96}
 
 
+def test_ranks_keep_null_groups_and_keys(spark):
+    from pyspark.sql import Window as W
+
+    from tidemark.operators import windows
+
+    rng = random.Random(6)
+    # half of the rows in one group, a group of NULL keys only, NULL groups, few and many different keys
+    rows = [(i, rng.choice(["hot", "hot", "hot", "few", None]), rng.choice([None, float(rng.randrange(3)), rng.gauss(0, 9)])) for i in range(4000)] + [(9000 + i, "none", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    got = windows.rank_in_slices(df, by="g", key="x", then=["id"])
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("x"), "id"))).withColumn("top", F.max("x").over(W.partitionBy("g")))
+    assert got.columns == ["id", "g", "x", "top", "rank"]
+    assert sorted(map(tuple, got.select("id", "rank", "top").collect()), key=str) == sorted(map(tuple, want.select("id", "rank", "top").collect()), key=str)
+    assert windows.rank_in_slices(df.where("id < 0"), by="g", key="x", then=["id"]).count() == 0
+
+
+def test_walk_takes_levels_of_any_depth(spark):
+    from tidemark.operators.markets import walk_levels
+
+    rows = [("deep", float(i), 1.0) for i in range(500)] + [("thin", 2.0, 5.0), ("thin", 1.0, 0.0), ("thin", 3.0, None)]
+    got = {r.book: (r.filled, r.vwap) for r in walk_levels(spark.createDataFrame(rows, "book string, price double, qty double"), by="book", order=["price"], quantity=150.0).collect()}
+    assert got == {"deep": (150.0, sum(range(150)) / 150), "thin": (5.0, 2.0)}
+    # level by level, as the array form does
+    levels = [(float(i), float(i % 4 + 1)) for i in range(80)]
+    df = spark.createDataFrame([("b", p, q) for p, q in levels], "book string, price double, qty double")
+    row = walk_levels(df, by="book", order=["price"], quantity=150.0).first()
+    whole = spark.createDataFrame([(levels,)], "levels array<struct<price:double,qty:double>>").select(costs.depth_walk(F.col("levels"), F.lit(150.0)).alias("w")).first().w
+    assert (row.filled, row.vwap) == pytest.approx((whole.filled, whole.vwap))
+
+
 def test_probabilistic_sharpe_equals_plain_formulas(spark, sf):
     """d08 has no SQL: the normal distribution is the standard library's, moments are summed plainly."""
     import math

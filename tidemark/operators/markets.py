@@ -32,6 +32,18 @@ def microstructure(depths: DataFrame, trades: DataFrame, *, threshold: float = 0
     return out.withColumn("absorption", absorption(c("signed_delta"), c("top_depth"))).drop("mid", "top_depth")
 
 
+def walk_levels(levels: DataFrame, *, by: str, order: list, quantity: float, price: str = "price", size: str = "qty") -> DataFrame:
+    """``by, filled, vwap`` of an order of ``quantity`` against all levels of each book, the best first; levels without size are none.
+
+    A level gives what the levels ahead of it leave: a running sum, so a book of
+    any depth is never an array.
+    """
+    ahead = F.coalesce(F.sum(size).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    taken = levels.where(c(size) > 0).withColumn("_taken", F.least(c(size), F.greatest(F.lit(0.0), F.lit(quantity) - ahead)))
+    filled = F.sum("_taken")
+    return taken.groupBy(by).agg(filled.alias("filled"), F.when(filled != 0, F.sum(c("_taken") * c(price)) / filled).alias("vwap"))
+
+
 def trimmed_mean(df: DataFrame, by: str, value: str, share: float = 0.10) -> DataFrame:
     """``by, trimmed``: the mean of a group's non-negative values without a tenth at both ends (of five values and more).
 

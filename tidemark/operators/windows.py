@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import by_symbol, c, ratio, rows
+from tidemark.sources.tables import checkpointed
 
 
 def whole():
@@ -155,6 +156,18 @@ def changepoint_probability(series: list[str], hazard: float = 0.05) -> Column:
     return F.least(F.lit(0.99), F.lit(hazard) + (1 - hazard) * (most / (most + 3)))
 
 
+def with_changepoints(df: DataFrame) -> DataFrame:
+    """Adds ``p``, the changepoint probability of log returns, funding and open-interest changes (to nine places, so that flat series have no surprise)."""
+    prev, po = F.lag("close").over(by_symbol()), F.coalesce(F.lag("oi").over(by_symbol()), c("oi"))
+    df = df.withColumns({"fq": F.round("funding", 9), "oq": F.round(F.when(po == 0, 0.0).otherwise(c("oi") / po - 1), 9), "lr": F.round(F.when((prev > 0) & (c("close") > 0), F.log(c("close") / prev)).otherwise(0.0), 9)})
+    return df.withColumn("p", changepoint_probability(["lr", "fq", "oq"]))
+
+
+def changepoint_labels(df: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """Adds ``relabelled``: quiet bars (``regime`` sideways) at a changepoint are under stress."""
+    return df.withColumn("relabelled", F.when((c("p") >= threshold) & (c("regime") == "sideways"), "liquidity_stress").otherwise(c("regime")))
+
+
 def fixed_horizon_label(x: str = "close", horizon: int = 4) -> Column:
     """Forward return; NULL where the horizon passes the end."""
     return ratio(F.lead(x, horizon).over(by_symbol()), x) - 1
@@ -173,16 +186,23 @@ def funding_crossings(hours: int = 8) -> Column:
     return F.coalesce(at - F.lag(at).over(by_symbol()), F.lit(0))
 
 
-def rank_in_slices(df: DataFrame, *, by: str, key: str, then: list, slices: int = 256) -> DataFrame:
+def rank_in_slices(df: DataFrame, *, by: str, key: str, then: list) -> DataFrame:
     """Adds ``rank`` (1 for the greatest ``key``, ties by ``then``) and ``top`` (the greatest key) within ``by``.
 
-    A group is cut into slices of its keys at approximate quantiles; a row's
+    A group is cut into 256 slices of its keys at approximate quantiles; a row's
     rank is its number in its slice and the size of the slices above.  Equal
     keys share a slice, so ranks are exact and no group is sorted by one task.
+    NULL groups are a group; NULL keys rank behind all others, in a slice of
+    their own.
     """
-    cuts = df.groupBy(by).agg(F.percentile_approx(key, F.array(*[F.lit(k / slices) for k in range(1, slices)]), F.lit(100 * slices)).alias("_cuts"), F.max(key).alias("top"))
-    cut = df.join(cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < c(key)))).drop("_cuts")
-    sizes = cut.groupBy(by, "_slice").agg(F.count("*").alias("_n"))
-    above = sizes.select(by, "_slice", (F.sum("_n").over(W.partitionBy(by).orderBy(F.desc("_slice"))) - c("_n")).alias("_above"))
-    mine = F.row_number().over(W.partitionBy(by, "_slice").orderBy(F.desc(key), *then))
-    return cut.withColumn("_mine", mine).join(above, [by, "_slice"]).withColumn("rank", c("_mine") + c("_above")).drop("_mine", "_above", "_slice")
+    cuts = df.groupBy(c(by).alias("_by")).agg(F.percentile_approx(key, F.array(*[F.lit(k / 256) for k in range(1, 256)]), F.lit(25_600)).alias("_cuts"), F.max(key).alias("top"))
+    cuts = checkpointed(cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(16), F.lit(240), F.lit(16)), lambda k: F.get("_cuts", k - 1))))
+    # sixteen steps of sixteen: the coarse cuts say in which of them the fine ones are to be counted
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < c(key)))
+    cut = df.join(cuts, c(by).eqNullSafe(c("_by"))).withColumn("_step", below(c("_coarse")))
+    cut = cut.withColumn("_slice", F.when(c(key).isNull() | c("_cuts").isNull(), -1).otherwise(16 * c("_step") + below(F.slice("_cuts", 16 * c("_step") + 1, 15)))).drop("_cuts", "_coarse", "_step")
+    sizes = cut.groupBy(c("_by").alias("_of"), c("_slice").alias("_in")).agg(F.count("*").alias("_n"))
+    above = sizes.select("_of", "_in", (F.sum("_n").over(W.partitionBy("_of").orderBy(F.desc("_in"))) - c("_n")).alias("_above"))
+    mine = F.row_number().over(W.partitionBy("_by", "_slice").orderBy(F.desc(key), *then))
+    ranked = cut.withColumn("_mine", mine).join(above, c("_by").eqNullSafe(c("_of")) & (c("_slice") == c("_in")))
+    return ranked.withColumn("rank", c("_mine") + c("_above")).drop("_mine", "_above", "_slice", "_by", "_of", "_in")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import aggregates, gates, governance, markets, memory, relational, research, sequential, series, storage  # noqa: F401
+from tidemark.plans import aggregates, gates, governance, markets, memory, regimes, relational, research, sequential, series, storage  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "flagship_symbol_report"

@@ -9,6 +9,7 @@ from tidemark.functions import costs as k
 from tidemark.functions.columns import c, r
 from tidemark.functions.research import latency_class
 from tidemark.operators import backtest, portfolio, recursive, resampling
+from tidemark.operators.markets import walk_levels
 from tidemark.plans.registry import ORACLES, over_candles, query, rounded
 from tidemark.plans.series import BY, REGIMES, RET, labelled, with_returns
 from tidemark.sources.tables import candles, table
@@ -112,17 +113,15 @@ def h05_depth_impact(spark, sf_dir):
     )
 
 
-BOOK = "lv AS (SELECT user_id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events WHERE event_type = 'view'), top AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM lv WHERE n <= 20 AND qty > 0)"
+BOOK = "lv AS (SELECT user_id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS n FROM events WHERE event_type = 'view'), top AS (SELECT *, coalesce(sum(qty) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM lv WHERE qty > 0)"
 
 
 @query(f"WITH {BOOK} SELECT user_id, round(sum(t), 6) + 0.0 AS filled, round(sum(t * price) / nullif(sum(t), 0), 6) + 0.0 AS vwap FROM (SELECT user_id, price, least(qty, greatest(0.0, 150 - ahead)) AS t FROM top) GROUP BY user_id")
 def h19_depth_walk(spark, sf_dir):
-    """An array fold over each book's best levels; the levels of a book are bounded to 20."""
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("value", "event_id"))
-    lv = table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", c("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("qty"), n.alias("n")).where("n <= 20 AND qty > 0")
-    books = lv.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("n", "price", "qty"))).alias("levels"))
-    walk = k.depth_walk(F.transform("levels", lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty"))), F.lit(150.0))
-    return books.withColumn("w", walk).select("user_id", r("w.filled").alias("filled"), r("w.vwap").alias("vwap"))
+    """The whole book, level by level."""
+    levels = table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", "event_id", c("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("qty"))
+    walked = walk_levels(levels, by="user_id", order=["price", "event_id"], quantity=150.0)
+    return walked.select("user_id", r("filled").alias("filled"), r("vwap").alias("vwap"))
 
 
 @query("SELECT o_orderkey, round((p1 - p0) / p0 * 10000, 5) + 0.0 AS arrival_bps, round((p2 - p1) / p1 * 10000, 5) + 0.0 AS realised_bps, round((p2 - p1) / p1 * 10000 - 2, 5) + 0.0 AS excess_bps FROM (SELECT o_orderkey, o_totalprice AS p0, o_totalprice + o_custkey % 13 AS p1, o_totalprice + o_orderkey % 17 AS p2 FROM orders)")

@@ -108,14 +108,12 @@ BOCPD = f"bocpd AS (SELECT symbol, i, regime, least(0.99, 0.05 + 0.95 * (m / (m
 
 
 def changepoints(spark, sf_dir):
-    prev, po = F.lag("close").over(by_symbol()), F.coalesce(F.lag("oi").over(by_symbol()), c("oi"))
-    df = labelled(spark, sf_dir).withColumns({"fq": F.round("funding", 9), "oq": F.round(F.when(po == 0, 0.0).otherwise(c("oi") / po - 1), 9), "lr": F.round(F.when((prev > 0) & (c("close") > 0), F.log(c("close") / prev)).otherwise(0.0), 9)})
-    return df.withColumn("p", w.changepoint_probability(["lr", "fq", "oq"]))
+    return w.changepoint_labels(w.with_changepoints(labelled(spark, sf_dir)))
 
 
 @query(over_candles("SELECT symbol, i, round(p, 5) + 0.0 AS p, CASE WHEN p >= 0.65 AND regime = 'sideways' THEN 'liquidity_stress' ELSE regime END AS relabelled FROM bocpd", REGIMES, BOCPD))
 def e19_changepoints(spark, sf_dir):
-    return changepoints(spark, sf_dir).select("symbol", "i", r("p", 5).alias("p"), F.when((c("p") >= 0.65) & (c("regime") == "sideways"), "liquidity_stress").otherwise(c("regime")).alias("relabelled"))
+    return changepoints(spark, sf_dir).select("symbol", "i", r("p", 5).alias("p"), "relabelled")
 
 
 @query(over_candles("SELECT symbol, i, round(p, 5) + 0.0 AS p, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(p, 5) DESC, i) AS rank FROM bocpd WHERE p >= 0.5) WHERE rank <= 10", REGIMES, BOCPD))

@@ -25,3 +25,25 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_from_ticks(table(spark, sf_dir, "events"), symbol="user_id", price="value")
     i = (F.row_number().over(W.partitionBy("symbol").orderBy("ts")) - 1).cast("bigint")
     return bars.select("symbol", "ts", i.alias("i"), "open", "high", "low", "close", "volume", "trade_count", ((F.col("k") - 50) / 2500).alias("funding"), (100 + 10 * F.col("k")).alias("oi"), "liq")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where none is set, a temporary folder on one machine and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-stream-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialised in the folder the cluster shares, so that a lost executor costs a re-read only."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.columns import c
+from tidemark.sources.tables import shared_folder
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 LATENESS = "2 hours"
@@ -193,16 +194,3 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
         last = out.agg(F.max("_batch").alias("_last"))
         out = out.join(F.broadcast(last), c("_batch") == c("_last"))
     return out.select(*names)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where none is set, a temporary folder on one machine and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-stream-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
