@@ -161,7 +161,52 @@ def test_draws_are_repeatable_and_in_range(spark):
             if kind == "moving_block":
                 assert all(picks[p] == picks[p - 1] + 1 for p in range(n) if p % min(4, n))
         assert len({tuple(v.values()) for (s, _), v in got.items() if s == "a"}) > 1
-    assert len(list(resampling.wild_weights(9, 3, random.Random(1)))) == 9
+
+
+@pytest.mark.parametrize("chunk", [2, 5, 4096])
+def test_wild_paths_equal_a_plain_loop_with_floors(spark, chunk):
+    rng = random.Random(12)
+    closes = [1e-8]
+    for _ in range(30):
+        closes.append(closes[-1] * rng.choice([0.02, 3.0, 1.1, 0.9, 5.0]))
+    rows = [("a", i, x, x * 1.1, x * 0.9, x * 0.99, rng.gauss(0, 1), rng.random(), rng.choice([0.0, 5.0])) for i, x in enumerate(closes)] + [("one", 0, 7.0, 8.0, 6.0, 6.5, 0.1, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, i bigint, close double, high double, low double, open double, funding double, oi double, liq double")
+    paths = {}
+    for r in resampling.wild_paths(df, 4, chunk=chunk).orderBy("symbol", "seed", "i").collect():
+        paths.setdefault((r.symbol, r.seed), []).append(r)
+    assert set(paths) == {(s, k) for s in ("a", "one") for k in range(4)}
+    assert all(p[0].close == 7.0 and p[0].high == 8.0 and p[0].open == 6.5 for (s, _), p in paths.items() if s == "one")
+    rets = [b / a - 1 for a, b in zip(closes, closes[1:], strict=False)]
+    mean, floors = sum(rets) / len(rets), 0
+    for (s, _), path in paths.items():
+        if s == "one":
+            continue
+        price = closes[0]
+        for i, r in enumerate(path):
+            if i:
+                price = max(price * (1 + mean + (rets[i - 1] - mean) * r.weight), 1e-9)
+                floors += price == 1e-9
+                assert r.open == pytest.approx(path[i - 1].close, rel=1e-9)
+                # weights keep a share of the one before
+                assert abs(abs(r.weight - 0.7788007830714049 * path[i - 1].weight) - 0.6272713450233213) < 1e-9
+            assert r.close == pytest.approx(price, rel=1e-6)
+            assert r.low <= min(r.open, r.close) * (1 + 1e-12) and r.high >= max(r.open, r.close) * (1 - 1e-12) and r.oi >= 0 and r.liq >= 0
+    assert floors > 3
+
+
+def test_shared_blocks_keep_what_happened_together(spark):
+    df = spark.createDataFrame([(s, t, float(t * 10 + k)) for k, s in enumerate(("a", "b", "c")) for t in range(0, 40, 1 + k)], "symbol string, ts int, x double")
+    got = resampling.shared_blocks(df, 5).collect()
+    assert all(r.ts == r.drawn_ts for r in got)
+    bars = {}
+    for r in got:
+        bars.setdefault((r.seed, r.position), set()).add((r.ts, r.symbol))
+    for group in bars.values():
+        assert len({t for t, _ in group}) == 1
+        t = next(iter(group))[0]
+        assert {s for _, s in group} == {s for k, s in enumerate(("a", "b", "c")) if t % (1 + k) == 0}
+    assert {p for _, p in bars} == set(range(40))
+    assert resampling.shared_blocks(df.where("ts < 0"), 2).count() == 0
 
 
 def test_permuted_path_ends_where_the_series_does(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import c
+from tidemark.operators.recursive import CHUNK, first_order
 
 
 BITS = 52
@@ -22,18 +23,6 @@ def drawn_number(*keys: str | Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[c(k).cast("string") for k in keys])), 1, BITS // 4), 16, 10).cast("bigint")
 
 
-def wild_weights(n: int, block: int, rng: random.Random) -> Iterator[float]:
-    """Persistent signs: a first-order autoregression of fair coin flips."""
-    keep = math.exp(-1 / max(1.0, block))
-    noise = math.sqrt(max(0.0, 1 - keep * keep))
-    flip = lambda: 1.0 if rng.random() >= 0.5 else -1.0
-    w = flip()
-    for _ in range(n):
-        shock = flip()
-        w = keep * w + noise * shock or shock
-        yield w
-
-
 def index_table(lengths: DataFrame, seeds: int, kind: str, block: int = 4) -> DataFrame:
     """``symbol, seed, position, source`` from ``lengths`` (symbol, n), drawn by digests of (symbol, seed, what is drawn).
 
@@ -76,6 +65,72 @@ def permuted_paths(series: DataFrame, seeds: int) -> DataFrame:
     return drawn.select("symbol", "seed", "position", "source", (c("start") * F.exp(F.sum("ret").over(path))).alias("close"))
 
 
+def wild_weights(lengths: DataFrame, seeds: int, block: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """``symbol, seed, i, weight`` from ``lengths`` (symbol, n): a first-order autoregression of fair signs drawn by digests.
+
+    The weight keeps exp(-1 / block) of the one before it; the recursion is
+    composed over chunks of bars.
+    """
+    keep = math.exp(-1 / max(1.0, block))
+    noise = math.sqrt(max(0.0, 1 - keep * keep))
+    each = lengths.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), c("n") - 1)))
+    sign = lambda *keys: 1.0 - 2.0 * (drawn_number(*keys) % 2)
+    shock, first = sign("symbol", "seed", "i", F.lit("shock")), sign("symbol", "seed", F.lit("first"))
+    # weight += gain * (x - weight); the first bar takes its x whole
+    x = F.when(c("i") == 0, keep * first + noise * shock).otherwise(noise * shock / (1 - keep))
+    walked = first_order(each.withColumn("_path", F.concat_ws(":", c("symbol").cast("string"), c("seed").cast("string"))), {"weight": (x, F.when(c("i") == 0, 1.0).otherwise(1 - keep))}, key="_path", chunk=chunk)
+    return walked.select("symbol", "seed", "i", "weight")
+
+
+LEAST_PRICE = 1e-9
+
+
+def wild_paths(candles: DataFrame, seeds: int, block: int = 4, chunk: int = CHUNK) -> DataFrame:
+    """``symbol, seed, i, weight, open, high, low, close, funding, oi, liq`` of paths whose centred returns carry the weights.
+
+    A close is the one before it times one plus the shocked return, at least
+    ``LEAST_PRICE``.  In logarithms that is the running sum and the largest of
+    what floors before it have left, so a path is two running windows.  Sidecars
+    are shocked about their means by the same weights, stocks never below 0.
+    """
+    series, by, path = W.partitionBy("symbol").orderBy("i"), W.partitionBy("symbol"), W.partitionBy("symbol", "seed").orderBy("i")
+    before, floor = F.lag("close").over(series), math.log(LEAST_PRICE)
+    ret = F.when(before.isNotNull(), F.when(before != 0, c("close") / before - 1).otherwise(0.0))
+    base = candles.withColumns({"_ret": ret, "_first": F.first("close").over(series)}).withColumns({"_mean": F.avg("_ret").over(by)} | {f"_m_{x}": F.avg(x).over(by) for x in ("funding", "oi", "liq")})
+    drawn = base.join(wild_weights(base.groupBy("symbol").agg(F.count("*").alias("n")), seeds, block, chunk), ["symbol", "i"])
+    factor = 1 + c("_mean") + (c("_ret") - c("_mean")) * c("weight")
+    step = drawn.withColumn("_step", F.when(c("_ret").isNull(), 0.0).when(factor > 0, F.log(factor)))
+    # a factor of 0 or less puts the price on the floor, from where it goes on
+    cut = step.withColumn("_cut", F.sum(F.when(c("_step").isNull(), 1).otherwise(0)).over(path.rowsBetween(W.unboundedPreceding, 0)))
+    part = W.partitionBy("symbol", "seed", "_cut").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    summed = cut.withColumn("_sum", F.sum(F.coalesce("_step", F.lit(0.0))).over(part))
+    start = F.when(c("_cut") == 0, F.log(F.greatest(c("_first"), F.lit(LEAST_PRICE)))).otherwise(floor)
+    closes = summed.withColumn("_close", F.exp(c("_sum") + F.greatest(start, F.max(floor - c("_sum")).over(part))))
+    alone = F.max("i").over(by) == 0
+    opened = closes.withColumns({"_new": F.when(alone, c("close")).otherwise(c("_close"))}).withColumn("_open", F.when(alone, c("open")).otherwise(F.coalesce(F.lag("_new").over(path), c("_new"))))
+    base_close = F.when(c("close") != 0, c("close")).otherwise(c("_new"))
+    high, low = F.greatest("_open", "_new", c("_new") * F.greatest(c("high") / base_close, F.lit(1.0))), F.least("_open", "_new", c("_new") * F.least(c("low") / base_close, F.lit(1.0)))
+    shocked = lambda x: c(f"_m_{x}") + (c(x) - c(f"_m_{x}")) * c("weight")
+    return opened.select(
+        "symbol", "seed", "i", "weight", c("_open").alias("open"), F.when(alone, c("high")).otherwise(high).alias("high"), F.when(alone, c("low")).otherwise(low).alias("low"), c("_new").alias("close"),
+        shocked("funding").alias("funding"), F.greatest(shocked("oi"), F.lit(0.0)).alias("oi"), F.greatest(shocked("liq"), F.lit(0.0)).alias("liq"),
+    )
+
+
+def shared_blocks(series: DataFrame, seeds: int, block: int = 4, time: str = "ts") -> DataFrame:
+    """``series`` once a seed in the order of blocks drawn on one calendar for all symbols.
+
+    ``position`` counts the calendar's bars, ``drawn_ts`` is the bar that stands
+    there; symbols that have no such bar have no row, so that what happened at
+    the same time stays together.  The calendar, the distinct bars of all
+    symbols, is numbered in one place; it grows with time, not with symbols.
+    """
+    calendar = series.select(c(time).alias("drawn_ts")).distinct().withColumn("source", (F.row_number().over(W.orderBy("drawn_ts")) - 1).cast("bigint"))
+    lengths = calendar.agg(F.count("*").alias("n")).where("n > 0").select(F.lit("calendar").alias("symbol"), "n")
+    picks = index_table(lengths, seeds, "moving_block", block).drop("symbol").join(calendar, "source")
+    return picks.select("seed", "position", "drawn_ts").join(series, c("drawn_ts") == c(time))
+
+
 def jump_paths(spark: SparkSession, seeds: int, bars: int, *, drift: float = 0.0, vol: float = 0.01, intensity: float = 0.05, jump_mean: float = -0.02, jump_vol: float = 0.01, start: float = 100.0) -> DataFrame:
     """``seed, position, price`` of jump-diffusion paths."""
 

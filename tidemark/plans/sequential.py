@@ -69,6 +69,32 @@ def i18_permuted_paths(spark, sf_dir):
     return paths.select("symbol", "seed", "position", "source", r("close", 5).alias("close"))
 
 
+WILD = f"""flips AS (SELECT symbol, seed, i, 1.0 - 2.0 * ({_draw('symbol', 'seed', 'i', "'shock'")} % 2) AS e, 1.0 - 2.0 * ({_draw('symbol', 'seed', "'first'")} % 2) AS f, close, ret, mean FROM (
+  SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mean FROM (SELECT *, CASE WHEN i > 0 THEN CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY i) <> 0 THEN close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 ELSE 0.0 END END AS ret FROM candles)) CROSS JOIN range(3) t(seed)),
+wild AS (SELECT symbol, seed, i, exp(-0.25) * f + sqrt(1 - exp(-0.5)) * e AS w, greatest(close, 1e-9) AS price FROM flips WHERE i = 0
+  UNION ALL SELECT d.symbol, d.seed, n.i, exp(-0.25) * d.w + sqrt(1 - exp(-0.5)) * n.e, greatest(d.price * (1 + n.mean + (n.ret - n.mean) * (exp(-0.25) * d.w + sqrt(1 - exp(-0.5)) * n.e)), 1e-9) FROM wild d JOIN flips n ON n.symbol = d.symbol AND n.seed = d.seed AND n.i = d.i + 1)"""
+SHOCK = "avg({x}) OVER (PARTITION BY w.symbol, w.seed) + ({x} - avg({x}) OVER (PARTITION BY w.symbol, w.seed)) * w"
+
+
+@query(over_candles(f"""SELECT symbol, seed, i, {rounded('w AS weight', 'round(o, 9) AS open', 'greatest(o, price, price * greatest(high / price0, 1.0)) AS high', 'least(o, price, price * least(low / price0, 1.0)) AS low', 'price AS close', 'funding', 'oi', 'liq', digits=5)}
+FROM (SELECT w.symbol, w.seed, w.i, w, CASE WHEN max(w.i) OVER (PARTITION BY w.symbol) = 0 THEN n.close ELSE price END AS price, CASE WHEN n.close <> 0 THEN n.close ELSE price END AS price0, n.high, n.low,
+  CASE WHEN max(w.i) OVER (PARTITION BY w.symbol) = 0 THEN n.open ELSE coalesce(lag(price) OVER (PARTITION BY w.symbol, w.seed ORDER BY w.i), price) END AS o,
+  {SHOCK.format(x='n.funding')} AS funding, greatest(0.0, {SHOCK.format(x='n.oi')}) AS oi, greatest(0.0, {SHOCK.format(x='n.liq')}) AS liq FROM wild w JOIN candles n ON n.symbol = w.symbol AND n.i = w.i)""", WILD).replace("WITH ", "WITH RECURSIVE ", 1))
+def i15_wild_paths(spark, sf_dir):
+    """Bars of dependent wild bootstrap paths with their sidecars."""
+    paths = resampling.wild_paths(candles(spark, sf_dir), 3)
+    return paths.select("symbol", "seed", "i", *[r(x, 5).alias(x) for x in ("weight", "open", "high", "low", "close", "funding", "oi", "liq")])
+
+
+@query(over_candles(f"""SELECT seed, position, ts AS drawn_ts, symbol, i, round(ret, 9) + 0.0 AS ret FROM (SELECT seed, b * size + k AS position, start + k AS source FROM (SELECT *, {_draw("'calendar'", 'seed', 'b', "'start'")} % (n - size + 1) AS start FROM
+  (SELECT *, unnest(range(0, (n + size - 1) // size)) AS b FROM (SELECT n, seed, least(4, n) AS size FROM (SELECT count(*) AS n FROM calendar) CROSS JOIN range(3) t(seed)))), range(4) u(k) WHERE k < size AND b * size + k < n)
+JOIN calendar USING (source) JOIN rets USING (ts)""", RET, "calendar AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS source FROM (SELECT DISTINCT ts FROM candles))"))
+def i16_shared_blocks(spark, sf_dir):
+    """Bars of all symbols in blocks drawn on one calendar."""
+    drawn = resampling.shared_blocks(with_returns(spark, sf_dir).select("symbol", "ts", "i", "ret"), 3)
+    return drawn.select("seed", "position", "drawn_ts", "symbol", "i", r("ret", 9).alias("ret"))
+
+
 @query()
 def i19_jump_paths(spark, sf_dir):
     return resampling.jump_paths(spark, 16, 200).groupBy("seed").agg(F.count("*").alias("n"), r(F.min("price")).alias("low"), r(F.max_by("price", "position")).alias("last"))
