@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -89,14 +90,38 @@ def per_text(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
+        hand_back()
 
     return chosen.mapInArrow(run, schema)
 
 
+#: Rows that ``over_rows`` hands on at once: their texts are held three times over.
+ROWS_AT_ONCE = 1024
+
+
 def over_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over all columns, which come and go in their order, whatever their names (dots, repeats, any case)."""
     safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return safe.mapInArrow(run, safe.schema).toDF(*df.columns)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(i, ROWS_AT_ONCE)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts(batches))
+        hand_back()
+
+    return safe.mapInArrow(bounded, safe.schema).toDF(*df.columns)
+
+
+def hand_back() -> None:
+    """Free memory goes back to the system at the end of a task, for workers live on and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

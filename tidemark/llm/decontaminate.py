@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, column, mix, slices, unused, utf8, word_hashes
+from tidemark.llm.common import checkpointed, column, hand_back, mix, slices, unused, utf8, word_hashes
 
 MASKS = ("11111", "111101", "1101101", "10101011")
 LIGHT_MASKS, LIGHT_WORDS = ("1111", "11011", "10111", "11101"), 10
@@ -147,6 +147,7 @@ def segments(docs: DataFrame, known: np.ndarray, key: Column, masks: tuple[str,
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(words, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int32()))],
                 names=["key", "doc_id", "start", "words", "hashes", "offsets"],
             )
+        hand_back()
 
     return chosen.mapInArrow(run, f"key bigint, doc_id {docs.schema[id_col].dataType.simpleString()}, start int, words array<bigint>, hashes array<bigint>, offsets array<int>")
 

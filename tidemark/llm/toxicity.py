@@ -449,8 +449,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
         own = _of_worker(model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
-            score = np.concatenate([own.scores(texts[i : i + 512]) for i in range(0, len(texts), 512)])
+            score = np.concatenate([own.scores(utf8(batch.column(1).slice(i, 512))) for i in range(0, batch.num_rows, 512)])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
         return work
