@@ -235,6 +235,21 @@ def j03_stream_replay(spark, sf_dir):
     return s.drained(s.replay_counters(s.event_stream(spark, sf_dir)), "update", ["user_id"])
 
 
+@query("""WITH ev AS (SELECT user_id, ts, count(*) FILTER (WHERE new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 86400000000, true) AS new FROM events)),
+mark AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM events),
+lives AS (SELECT user_id, session, min(ts) AS started, max(ts) AS last, count(*) AS messages FROM ev GROUP BY user_id, session),
+due AS (SELECT *, unnest(range(1, CAST((epoch_us(last) + 86400000000 - epoch_us(started)) // 21600000000 + 1 AS BIGINT))) AS k FROM lives),
+seen AS (SELECT user_id, max(session) AS final FROM lives GROUP BY user_id),
+beats AS (SELECT user_id, session, started, last, started + k * INTERVAL 6 HOUR AS beat FROM due)
+SELECT user_id, started, beat AS "at", 'heartbeat' AS kind, (SELECT count(*) FROM ev a WHERE a.user_id = b.user_id AND a.session = b.session AND a.ts <= b.beat) AS messages
+FROM beats b JOIN seen USING (user_id) CROSS JOIN mark WHERE session < final OR b.beat <= wm OR b.beat < last
+UNION ALL SELECT user_id, started, last + INTERVAL 24 HOUR, 'expired', messages FROM lives JOIN seen USING (user_id) CROSS JOIN mark WHERE session < final OR last + INTERVAL 24 HOUR <= wm""")
+def j10_session_heartbeats(spark, sf_dir):
+    """Heartbeats and ends of each user's sessions, timers included."""
+    beats = s.drained(s.heartbeats(s.event_stream(spark, sf_dir)), "append")
+    return beats.select("user_id", c("started").cast("timestamp_ntz").alias("started"), c("at").cast("timestamp_ntz").alias("at"), "kind", "messages")
+
+
 @query()
 def j04_stream_order_book(spark, sf_dir):
     """A keyed book of levels; the tests hold it against a plain loop."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import c, r
 from tidemark.plans.registry import over_candles, query
-from tidemark.sources import snapshots
+from tidemark.sources import bundles, snapshots
 from tidemark.sources.tables import candles, table
 from tidemark.streaming.events import shared_folder
 
@@ -51,3 +51,23 @@ def t14_first_wins(spark, sf_dir):
 @query()
 def a20_dataset_version(spark, sf_dir):
     return snapshots.dataset_version(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
+
+
+EXPORTED = ("customer", "events", "orders")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, count(*) AS expected_rows, 'verified' AS status FROM {t}" for t in EXPORTED))
+def a27_verified_bundle(spark, sf_dir):
+    """Three tables exported as one bundle to the shared folder, counted and digested again from its files."""
+    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundles.export_bundle({t: table(spark, sf_dir, t) for t in EXPORTED}, folder)
+    return bundles.verified_bundle(spark, folder)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY o_orderpriority")
+def a28_restored_bundle(spark, sf_dir):
+    """A table restored from a bundle with its types, and used."""
+    folder = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    bundles.export_bundle({"orders": table(spark, sf_dir, "orders")}, folder)
+    back = bundles.restored_bundle(spark, folder)["orders"]
+    return back.groupBy("o_orderpriority").agg(F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))

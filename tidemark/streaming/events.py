@@ -173,6 +173,54 @@ def depth_messages(events: DataFrame) -> DataFrame:
     return events.select(c("user_id").alias("symbol"), "at", "event_id", kind.alias("kind"), (c("event_id") - 300).alias("first_id"), F.when(kind == "snapshot", c("event_id")).otherwise(final).alias("final_id"), F.when(k % 31 == 7, c("event_id") - 1).alias("previous_id"), bids.alias("bids"), asks.alias("asks"))
 
 
+def heartbeats(stream: DataFrame, interval_s: int = 6 * 3600, expiry_s: int = 24 * 3600) -> DataFrame:
+    """``user_id, started, at, kind, messages``: a heartbeat each interval of a session's life, and its end.
+
+    A session begins with an event and lives until ``expiry_s`` without one; it
+    is touched by events and beats at ``started`` + k intervals whether events
+    come or not: timers on the watermark fire where nothing does, so that a
+    silent session still beats once an interval and is then dropped, and state
+    is bounded by the sessions that live.  ``messages`` counts the events up to
+    the beat.  The rows do not depend on how events are cut into batches as long
+    as they come in order; an event behind the last one of its session is
+    counted but moves no clock.
+    """
+    interval, expiry = interval_s * 1_000_000, expiry_s * 1_000_000
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, last, beaten, messages = state.get if state.exists else (None, None, 0, 0)
+        out: list[tuple] = []
+
+        def until(now: int) -> None:
+            nonlocal started, beaten, messages
+            while started is not None and (due := started + (beaten + 1) * interval) <= min(now, last + expiry):
+                beaten += 1
+                out.append((started, due, "heartbeat", messages))
+            if started is not None and last + expiry <= now:
+                out.append((started, last + expiry, "expired", messages))
+                started, beaten, messages = None, 0, 0
+
+        times = sorted(int(t.value // 1000) for f in frames for t in f["at"])
+        for at in times:
+            until(at - 1)
+            if started is None:
+                started = last = at
+            last = max(last, at)
+            messages += 1
+        watermark = state.getCurrentWatermarkMs() * 1000
+        until(watermark)
+        if started is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((started, last, beaten, messages))
+            state.setTimeoutTimestamp(max(watermark // 1000 + 1, min(started + (beaten + 1) * interval, last + expiry) // 1000))
+        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(out), dtype="int64"), "started": pd.to_datetime([x[0] for x in out], unit="us"), "at": pd.to_datetime([x[1] for x in out], unit="us"), "kind": pd.Series([x[2] for x in out], dtype=str), "messages": pd.Series([x[3] for x in out], dtype="int64")})
+
+    keyed = stream.select("user_id", "at").groupBy("user_id")
+    return keyed.applyInPandasWithState(update, "user_id bigint, started timestamp, at timestamp, kind string, messages bigint", "started bigint, last bigint, beaten bigint, messages bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it wrote; with ``keys`` the last row of each.
 
