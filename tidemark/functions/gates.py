@@ -63,6 +63,11 @@ def liquidation_guard(min_distance: float, stress_move: float) -> Rules:
     return [(f"distance_bps < {min_distance!r}D", "liquidation_distance_breach"), (f"distance_bps - {stress_move!r}D < {min_distance!r}D", "stress_liquidation_distance_breach")]
 
 
+def circuit_breakers(daily_limit: float, weekly_limit: float, drawdown_limit: float) -> Rules:
+    """B30 over daily_loss, weekly_loss, drawdown, with the caller's limits."""
+    return [(f"daily_loss > {daily_limit!r}D", "daily_loss_breaker"), (f"weekly_loss > {weekly_limit!r}D", "weekly_loss_breaker"), (f"drawdown > {drawdown_limit!r}D", "drawdown_breaker")]
+
+
 def margin_check(mode: str, leverage: int) -> Rules:
     """B33 over margin_mode, leverage."""
     return [(f"NOT margin_mode <=> '{mode}'", "margin_mode_mismatch"), (f"NOT leverage <=> {leverage}", "leverage_mismatch")]

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import gates as g
 from tidemark.functions.columns import c, clamp, r
+from tidemark.operators import rules as q
 from tidemark.plans.registry import over_candles, query
 from tidemark.plans.series import REGIMES, RET, labelled, with_returns
 from tidemark.sources.tables import candles, table
 
-@query("SELECT l_suppkey, daily, weekly, CASE WHEN daily > 90000 THEN 'daily' WHEN weekly > 150000 THEN 'weekly' ELSE 'closed' END AS breaker FROM (SELECT l_suppkey, round(max(s), 2) AS daily, round(max(w), 2) AS weekly FROM (SELECT *, sum(s) OVER (PARTITION BY l_suppkey ORDER BY d ROWS 6 PRECEDING) AS w FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS s FROM lineitem GROUP BY 1, 2)) GROUP BY 1)")
+@query("""WITH days AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END) AS loss, sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) AS gain FROM lineitem GROUP BY 1, 2),
+walk AS (SELECT *, sum(loss) OVER (PARTITION BY l_suppkey ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS week, sum(gain) OVER (PARTITION BY l_suppkey ORDER BY d) AS equity FROM days),
+worst AS (SELECT l_suppkey, round(max(loss), 2) + 0.0 AS daily_loss, round(max(week), 2) + 0.0 AS weekly_loss, round(max(peak - equity), 2) + 0.0 AS drawdown FROM (SELECT *, greatest(max(equity) OVER (PARTITION BY l_suppkey ORDER BY d), 0) AS peak FROM walk) GROUP BY l_suppkey)
+SELECT *, daily_loss <= 90000 AND weekly_loss <= 150000 AND drawdown <= 200000 AS passed, concat_ws(',', CASE WHEN daily_loss > 90000 THEN 'daily_loss_breaker' END, CASE WHEN weekly_loss > 150000 THEN 'weekly_loss_breaker' END, CASE WHEN drawdown > 200000 THEN 'drawdown_breaker' END) AS rejections FROM worst""")
 def b30_circuit_breakers(spark, sf_dir):
-    day = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", c("l_shipdate").cast("date").alias("d")).agg(F.sum(F.when(c("l_returnflag") == "R", c("l_extendedprice")).otherwise(0.0)).alias("s"))
-    week = day.withColumn("w", F.sum("s").over(W.partitionBy("l_suppkey").orderBy("d").rowsBetween(-6, 0)))
-    out = week.groupBy("l_suppkey").agg(F.round(F.max("s"), 2).alias("daily"), F.round(F.max("w"), 2).alias("weekly"))
-    return out.withColumn("breaker", F.when(c("daily") > 90000, "daily").when(c("weekly") > 150000, "weekly").otherwise("closed"))
+    """Worst day, worst seven days and drawdown of each supplier against the limits."""
+    returned = c("l_returnflag") == "R"
+    day = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.unix_date(c("l_shipdate").cast("date")).alias("d")).agg(F.sum(F.when(returned, c("l_extendedprice")).otherwise(0.0)).alias("loss"), F.sum(F.when(returned, -c("l_extendedprice")).otherwise(c("l_extendedprice"))).alias("gain"))
+    by = W.partitionBy("l_suppkey").orderBy("d")
+    walk = day.withColumns({"week": F.sum("loss").over(by.rangeBetween(-6, 0)), "equity": F.sum("gain").over(by.rowsBetween(W.unboundedPreceding, 0))})
+    peak = F.greatest(F.max("equity").over(by.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    worst = walk.withColumn("down", peak - c("equity")).groupBy("l_suppkey").agg(r(F.max("loss"), 2).alias("daily_loss"), r(F.max("week"), 2).alias("weekly_loss"), r(F.max("down"), 2).alias("drawdown"))
+    rules = g.circuit_breakers(90_000.0, 150_000.0, 200_000.0)
+    return worst.withColumns({"passed": q.count_broken(rules) == 0, "rejections": q.all_broken(rules)})
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders WHERE o_totalprice > 499000) AND o_orderstatus = 'O'")
