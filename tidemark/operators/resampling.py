@@ -131,6 +131,36 @@ def shared_blocks(series: DataFrame, seeds: int, block: int = 4, time: str = "ts
     return picks.select("seed", "position", "drawn_ts").join(series, c("drawn_ts") == c(time))
 
 
+def superior_ability(excess: DataFrame, seeds: int, block: int = 4) -> DataFrame:
+    """``n, models, statistic, p_lower, p_consistent, p_upper`` of the test for superior predictive ability.
+
+    ``excess``: ``model, t, d``, the advantage of each model over the benchmark at
+    every t from 0 to n - 1.  The statistic is the largest studentised mean
+    advantage, 0 at least; its distribution under no superiority comes from
+    ``seeds`` moving-block resamples that all models share, recentred in the three
+    usual ways (by the positive part, by means above -sqrt(2 log log n) standard
+    errors, and by all means).  A block's sum is the difference of two running
+    sums, so no path is ever made; models that never vary take no part.
+    """
+    n = excess.agg((F.max("t") + 1).alias("n"))
+    blocks = index_table(n.where("n > 0").select(F.lit("calendar").alias("symbol"), "n"), seeds, "moving_block", block)
+    drawn = blocks.groupBy("seed", F.floor(c("position") / F.lit(block)).alias("_b")).agg(F.min("source").alias("_from"), F.max("source").alias("_to"))
+    running = F.sum("d").over(W.partitionBy("model").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    sums = excess.withColumn("_s", running)
+    one = drawn.join(sums.select("model", c("t").alias("_from"), (c("_s") - c("d")).alias("_before")), "_from").join(sums.select("model", c("t").alias("_to"), c("_s").alias("_after")), ["model", "_to"])
+    size = excess.groupBy("model").agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
+    star = one.groupBy("model", "seed").agg(F.sum(c("_after") - c("_before")).alias("_total")).join(size, "model").withColumn("star", c("_total") / c("n"))
+    spread = star.groupBy("model", "mean", "n").agg(F.sqrt(c("n") * F.avg((c("star") - c("mean")) ** 2)).alias("omega")).where("omega > 1e-12")
+    root = F.sqrt("n")
+    least = -c("omega") / root * F.sqrt(2 * F.log(F.log(F.greatest(c("n"), F.lit(3)))))
+    centres = spread.withColumns({"z": root * c("mean") / c("omega"), "lower": F.greatest("mean", F.lit(0.0)), "consistent": F.when(c("mean") >= least, c("mean")).otherwise(0.0), "upper": c("mean")})
+    kinds = ("lower", "consistent", "upper")
+    worst = star.select("model", "seed", "star").join(centres, "model").groupBy("seed").agg(*[F.greatest(F.max(root * (c("star") - c(k)) / c("omega")), F.lit(0.0)).alias(k) for k in kinds])
+    top = centres.agg(F.max("n").alias("n"), F.count("*").alias("models"), F.greatest(F.max("z"), F.lit(0.0)).alias("statistic"))
+    # one row against one a seed
+    return worst.join(F.broadcast(top), F.lit(True)).groupBy("n", "models", "statistic").agg(*[F.avg((c(k) > c("statistic")).cast("double")).alias(f"p_{k}") for k in kinds])
+
+
 def jump_paths(spark: SparkSession, seeds: int, bars: int, *, drift: float = 0.0, vol: float = 0.01, intensity: float = 0.05, jump_mean: float = -0.02, jump_vol: float = 0.01, start: float = 100.0) -> DataFrame:
     """``seed, position, price`` of jump-diffusion paths."""
 

@@ -95,6 +95,30 @@ def i16_shared_blocks(spark, sf_dir):
     return drawn.select("seed", "position", "drawn_ts", "symbol", "i", r("ret", 9).alias("ret"))
 
 
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH hours AS (SELECT date_trunc('hour', ts) AS h, {', '.join(f"sum(CASE WHEN event_type = '{k}' THEN value ELSE 0 END) AS v{i}" for i, k in enumerate(TYPES))} FROM events GROUP BY 1),
+grid AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS t, ({' + '.join(f'v{i}' for i in range(len(TYPES)))}) / {len(TYPES)} AS base FROM hours),
+x AS ({' UNION ALL '.join(f"SELECT '{k}' AS model, t, v{i} - base AS d FROM grid" for i, k in enumerate(TYPES))}),
+size AS (SELECT max(t) + 1 AS n FROM x), m AS (SELECT model, avg(d) AS mean FROM x GROUP BY model),
+starts AS (SELECT seed, b * 4 + k AS p, {_draw("'calendar'", 'seed', 'b', "'start'")} % (n - 4 + 1) + k AS source, n FROM (SELECT n, seed, unnest(range(0, (n + 3) // 4)) AS b FROM size CROSS JOIN range(40) t(seed)), range(4) u(k) WHERE b * 4 + k < n),
+star AS (SELECT model, seed, sum(d) / any_value(n) AS star, any_value(n) AS n FROM starts JOIN x ON x.t = source GROUP BY model, seed),
+w AS (SELECT * FROM (SELECT model, any_value(mean) AS mean, any_value(n) AS n, sqrt(any_value(n) * avg((star - mean) ** 2)) AS omega FROM star JOIN m USING (model) GROUP BY model) WHERE omega > 1e-12),
+c AS (SELECT *, greatest(mean, 0) AS lo, CASE WHEN mean >= -omega / sqrt(n) * sqrt(2 * ln(ln(n))) THEN mean ELSE 0 END AS mid FROM w),
+worst AS (SELECT seed, greatest(max(sqrt(c.n) * (star - lo) / omega), 0) AS lo, greatest(max(sqrt(c.n) * (star - mid) / omega), 0) AS mid, greatest(max(sqrt(c.n) * (star - mean) / omega), 0) AS hi FROM star JOIN c USING (model) GROUP BY seed),
+top AS (SELECT max(n) AS n, count(*) AS models, greatest(max(sqrt(n) * mean / omega), 0) AS statistic FROM c)
+SELECT n, models, round(any_value(statistic), 6) + 0.0 AS statistic, round(avg((lo > statistic)::INT), 6) + 0.0 AS p_lower, round(avg((mid > statistic)::INT), 6) + 0.0 AS p_consistent, round(avg((hi > statistic)::INT), 6) + 0.0 AS p_upper FROM worst CROSS JOIN top GROUP BY n, models""")
+def d18_superior_ability(spark, sf_dir):
+    """Is any event type worth more by the hour than the types are on average?"""
+    of = lambda k: F.sum(F.when(c("event_type") == k, c("value")).otherwise(0.0))
+    hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(*[of(k).alias(k) for k in TYPES])
+    grid = hours.withColumns({"t": (F.row_number().over(W.orderBy("h")) - 1).cast("bigint"), "base": sum((c(k) for k in TYPES[1:]), c(TYPES[0])) / len(TYPES)})
+    excess = grid.select("t", F.inline(F.array(*[F.struct(F.lit(k).alias("model"), (c(k) - c("base")).alias("d")) for k in TYPES])))
+    found = resampling.superior_ability(excess, 40)
+    return found.select("n", "models", *[r(x).alias(x) for x in ("statistic", "p_lower", "p_consistent", "p_upper")])
+
+
 @query()
 def i19_jump_paths(spark, sf_dir):
     return resampling.jump_paths(spark, 16, 200).groupBy("seed").agg(F.count("*").alias("n"), r(F.min("price")).alias("low"), r(F.max_by("price", "position")).alias("last"))
