@@ -423,3 +423,36 @@ def verdict(rules: Rules, good: str, bad: str) -> Column:
     return F.when(count_broken(rules) > 0, bad).otherwise(good)
 
 
+# Limits, parts and blockers of the paper-forward score.
+FORWARD_LIMITS = {"orders": 10, "quality": 0.70, "slip": 25.0, "latency": 2000.0, "funding": 10.0}
+FORWARD_PARTS = ("slippage_score", "fill_score", "latency_score", "funding_score", "liquidation_score", "capacity_score")
+
+
+def within(value: str, limit: float) -> Column:
+    """One less the share of the limit that is used up, from 0 to 1; 0 without evidence."""
+    return F.coalesce(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.abs(c(value)) / F.lit(max(limit, 1e-12)))), 6), F.lit(0.0))
+
+
+def forward_scores() -> dict[str, Column]:
+    """D35 over paper_orders, filled, rejected, risk_blocked, queue_fill, slip_bps, lag_ms, funding_bps, window_ready, sidecar_ready, participation, completion, erosion_bps: the six parts and their mean."""
+    clipped = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    fill = F.when(c("paper_orders") > 0, clipped((c("filled") - c("rejected") - c("risk_blocked")) / c("paper_orders"))).otherwise(clipped(F.coalesce("queue_fill", F.lit(0.0))))
+    capacity = clipped(c("completion") * 0.5 + (1 - F.least(c("participation") / 0.05, F.lit(1.0))) * 0.25 + (1 - F.least(c("erosion_bps") / 25.0, F.lit(1.0))) * 0.25)
+    parts = {
+        "slippage_score": within("slip_bps", FORWARD_LIMITS["slip"]), "fill_score": F.round(fill, 6), "latency_score": within("lag_ms", FORWARD_LIMITS["latency"]), "funding_score": within("funding_bps", FORWARD_LIMITS["funding"]),
+        "liquidation_score": F.when(c("window_ready") & c("sidecar_ready"), 1.0).otherwise(0.0), "capacity_score": F.coalesce(F.round(capacity, 6), F.lit(0.0)),
+    }
+    return parts | {"score": sum((parts[k] for k in FORWARD_PARTS[1:]), parts[FORWARD_PARTS[0]]) / len(parts)}
+
+
+def forward_blockers() -> Rules:
+    """D35 over the same and telemetry_quality, fill_score: what keeps a candidate from being ready, in the order of the names."""
+    limit = FORWARD_LIMITS
+    rules = [
+        *required(("window_ready", "public_ws_window_not_ready"), ("sidecar_ready", "liquidation_sidecar_missing")),
+        (f"paper_orders < {limit['orders']}", "paper_sample_too_small"), (f"telemetry_quality < {limit['quality']!r}D", "paper_telemetry_quality_low"),
+        ("slip_bps IS NULL", "slippage_evidence_missing"), (f"abs(slip_bps) > {limit['slip']!r}D", "paper_slippage_too_high"), ("fill_score <= 0", "fill_evidence_missing"), ("fill_score > 0 AND fill_score < 0.8D", "paper_fill_quality_low"),
+        ("lag_ms IS NULL", "latency_evidence_missing"), (f"lag_ms > {limit['latency']!r}D", "paper_latency_too_high"), ("funding_bps IS NULL", "funding_evidence_missing"), (f"funding_bps > {limit['funding']!r}D", "paper_funding_shock_too_high"),
+        ("completion IS NULL", "capacity_evidence_missing"), ("completion < 0.8D", "capacity_fill_quality_low"), ("participation > 0.05D", "capacity_participation_too_high"), ("erosion_bps > 25", "capacity_edge_erosion_too_high"),
+    ]
+    return sorted(rules, key=lambda x: x[1])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import gates as g
-from tidemark.functions.columns import r
+from tidemark.functions.columns import c, r
 from tidemark.operators import rules as q
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources.tables import table
@@ -237,6 +237,28 @@ gate(
     doc="D43: the budget of trials, variants, reuse and retries.",
 )
 
+FORWARD_INPUTS = {
+    "paper_orders": "CASE WHEN l_orderkey % 11 = 0 THEN 0 ELSE l_orderkey % 40 END", "filled": "CASE WHEN l_orderkey % 11 = 0 THEN 0 ELSE l_orderkey % 40 END - l_linenumber % 3", "rejected": "l_linenumber % 2", "risk_blocked": "l_partkey % 2", "queue_fill": share("l_partkey % 12", 10), "slip_bps": f"CASE WHEN l_partkey % 17 <> 0 THEN {share('l_partkey % 600', 20)} - 5 END",
+    "lag_ms": "CASE WHEN l_suppkey % 13 <> 0 THEN l_suppkey % 90 * 25 END", "funding_bps": f"CASE WHEN l_orderkey % 19 <> 0 THEN {share('l_orderkey % 120', 10)} END", "window_ready": "l_partkey % 9 <> 0", "sidecar_ready": "l_orderkey % 7 <> 0", "telemetry_quality": share("60 + l_partkey % 40", 100),
+    "participation": f"CASE WHEN l_suppkey % 23 <> 0 THEN {share('l_suppkey % 60', 1000)} END", "completion": f"CASE WHEN l_suppkey % 23 <> 0 THEN {share('70 + l_orderkey % 30', 100)} END", "erosion_bps": f"CASE WHEN l_suppkey % 23 <> 0 THEN {share('l_partkey % 280', 10)} END",
+}
+_LEFT = lambda x, limit: f"coalesce(round(greatest(0.0, least(1.0, 1.0 - abs({x}) / {limit})), 6), 0.0) + 0.0"
+FORWARD_SQL = {
+    "slippage_score": _LEFT("slip_bps", "25.0"), "fill_score": "round(CASE WHEN paper_orders > 0 THEN greatest(0.0, least(1.0, (filled - rejected - risk_blocked)::DOUBLE / paper_orders)) ELSE greatest(0.0, least(1.0, coalesce(queue_fill, 0))) END, 6) + 0.0",
+    "latency_score": _LEFT("lag_ms", "2000.0"), "funding_score": _LEFT("funding_bps", "10.0"), "liquidation_score": "CASE WHEN window_ready AND sidecar_ready THEN 1.0::DOUBLE ELSE 0.0 END",
+    "capacity_score": "coalesce(round(greatest(0.0, least(1.0, completion * 0.5::DOUBLE + (1 - least(participation / 0.05::DOUBLE, 1.0)) * 0.25::DOUBLE + (1 - least(erosion_bps / 25.0::DOUBLE, 1.0)) * 0.25::DOUBLE)), 6), 0.0) + 0.0",
+}
+
+gate(
+    "d35_paper_forward_score", "lineitem", "l_orderkey, l_linenumber", FORWARD_INPUTS,
+    lambda: {k: (lambda k=k: r(c(k), 9)) for k in (*g.FORWARD_PARTS, "score")} | {"blockers": q.all_broken(g.forward_blockers())},
+    FORWARD_SQL | {"score": "round((slippage_score + fill_score + latency_score + funding_score + liquidation_score + capacity_score) / 6, 9) + 0.0", "blockers": listed(
+        ("completion IS NULL", "capacity_evidence_missing"), ("erosion_bps > 25", "capacity_edge_erosion_too_high"), ("completion < 0.8", "capacity_fill_quality_low"), ("participation > 0.05", "capacity_participation_too_high"), (f"{FORWARD_SQL['fill_score']} <= 0", "fill_evidence_missing"),
+        ("funding_bps IS NULL", "funding_evidence_missing"), ("lag_ms IS NULL", "latency_evidence_missing"), ("NOT sidecar_ready", "liquidation_sidecar_missing"), (f"{FORWARD_SQL['fill_score']} > 0 AND {FORWARD_SQL['fill_score']} < 0.8", "paper_fill_quality_low"), ("funding_bps > 10", "paper_funding_shock_too_high"),
+        ("lag_ms > 2000", "paper_latency_too_high"), ("paper_orders < 10", "paper_sample_too_small"), ("abs(slip_bps) > 25", "paper_slippage_too_high"), ("telemetry_quality < 0.7", "paper_telemetry_quality_low"), ("NOT window_ready", "public_ws_window_not_ready"), ("slip_bps IS NULL", "slippage_evidence_missing"))},
+    prepare=lambda df: df.withColumns(g.forward_scores()), doc="D35: six parts of a candidate's paper-forward score, their mean and what blocks it.",
+)
+
 gate(
     "d44_fast_screen", "lineitem", "l_orderkey, l_linenumber", {"oos_trades": "l_orderkey % 300", "n_returns": "l_partkey % 90", "min_length": "l_suppkey % 60", "n_liquidations": "CASE WHEN l_orderkey % 15 = 0 THEN 2 ELSE 0 END", "funding": "l_tax * l_extendedprice", "gross_pnl": "l_discount * l_extendedprice - 1000", "fees": "l_quantity"},
     lambda: {"drag": r("drag", 9), "reasons": q.all_broken(g.fast_screen(30))},

@@ -45,7 +45,7 @@ def b26_fallback_filter(spark, sf_dir):
 
 @query("SELECT l_suppkey, round((greatest(0.0, least(1.0, avg(l_discount) * 10)) + greatest(0.0, least(1.0, 1 - avg(l_tax) * 10)) + greatest(0.0, least(1.0, count(*) / 100.0))) / 3, 6) + 0.0 AS score FROM lineitem GROUP BY l_suppkey")
 def d38_governance_score(spark, sf_dir):
-    """Mean of clamped components."""
+    """Mean of clamped components."""
     parts = [clamp(F.avg("l_discount") * 10, 0.0, 1.0), clamp(1 - F.avg("l_tax") * 10, 0.0, 1.0), clamp(F.count("*") / 100.0, 0.0, 1.0)]
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(r(sum(parts[1:], parts[0]) / 3).alias("score"))
 
