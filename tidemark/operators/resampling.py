@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import c
+from tidemark.functions.columns import c, log_ratio
 from tidemark.operators.recursive import CHUNK, first_order
 
 
@@ -57,9 +57,12 @@ def resampled(series: DataFrame, seeds: int, kind: str, block: int = 4) -> DataF
 
 
 def permuted_paths(series: DataFrame, seeds: int) -> DataFrame:
-    """Close paths rebuilt from shuffled returns; the product is a running sum of logarithms."""
+    """Close paths rebuilt from shuffled returns; the product is a running sum of logarithms.
+
+    After a close of 0 a path is 0, and NaN once the return from 0 is drawn too.
+    """
     by = W.partitionBy("symbol").orderBy("i")
-    ret = F.coalesce(F.log(c("close") / F.lag("close").over(by)), F.lit(0.0))
+    ret = F.coalesce(log_ratio("close", F.lag("close").over(by)), F.lit(0.0))
     drawn = resampled(series.withColumns({"ret": ret, "start": F.first("close").over(by)}).select("symbol", "i", "ret", "start"), seeds, "permutation")
     path = W.partitionBy("symbol", "seed").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     return drawn.select("symbol", "seed", "position", "source", (c("start") * F.exp(F.sum("ret").over(path))).alias("close"))
