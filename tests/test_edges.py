@@ -1,10 +1,12 @@
 """Edge rows on which queries failed or left their SQL: zero prices, sums on a limit, fractions of a second."""
 
+import datetime
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.operators import resampling
 
 
@@ -24,3 +26,10 @@ def test_permuted_paths_pass_a_close_of_zero(spark):
             total += logs[source]
             want = 5 * math.exp(total)
             assert close == pytest.approx(want, nan_ok=True)
+
+
+def test_regime_state_has_no_volatility_after_a_close_of_zero(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(hours=i), 1, "view", v, '{"k": 50}') for i, v in enumerate((5.0, 4.0, 0.0, 3.0))]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert math.isnan(plans.queries()["d20_regime_state"](spark, str(tmp_path)).first().vol)

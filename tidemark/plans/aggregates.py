@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as s
-from tidemark.functions.columns import c, clamp, r
+from tidemark.functions.columns import c, clamp, log_ratio, r
 from tidemark.plans.registry import over_candles, query, rounded
 from tidemark.plans.series import REGIMES, RET, labelled, with_returns
 from tidemark.sources.tables import candles, table
@@ -101,7 +101,7 @@ def d20_regime_state(spark, sf_dir):
     prev = F.lag("close").over(W.partitionBy("symbol").orderBy("i"))
     f = F.avg("funding")
     bucket = F.when(f >= 0.01, "positive_extreme").when(f >= 0.001, "positive").when(f <= -0.01, "negative_extreme").when(f <= -0.001, "negative").otherwise("flat")
-    lr = candles(spark, sf_dir).withColumn("lr", F.when(prev > 0, F.log(c("close") / prev)))
+    lr = candles(spark, sf_dir).withColumn("lr", F.when(prev > 0, log_ratio("close", prev)))
     return lr.groupBy("symbol").agg(r(f).alias("avg_funding"), r(F.coalesce(F.stddev_samp("lr"), F.lit(0.0))).alias("vol"), r(F.max_by("oi", "i") / F.min_by("oi", "i") - 1).alias("oi_change"), bucket.alias("funding_bucket"))
 
 
