@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import resampling
+from tidemark.operators import hidden_markov, resampling
 
 
 def prices(spark, closes):
@@ -33,3 +33,11 @@ def test_regime_state_has_no_volatility_after_a_close_of_zero(spark, tmp_path):
     rows = [(i, at + datetime.timedelta(hours=i), 1, "view", v, '{"k": 50}') for i, v in enumerate((5.0, 4.0, 0.0, 3.0))]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert math.isnan(plans.queries()["d20_regime_state"](spark, str(tmp_path)).first().vol)
+
+
+def test_features_of_a_close_of_zero(spark):
+    df = prices(spark, [5, 4, 0, 3, 6]).withColumns({"funding": F.lit(0.0), "oi": F.lit(1.0)})
+    got = hidden_markov.regime_features(df).orderBy("i").collect()
+    assert [r.log_ret for r in got] == pytest.approx([0.0, math.log(0.8), -math.inf, math.log(0.6), math.log(1.2)])
+    assert got[1].roll_vol == pytest.approx(-math.log(0.8))
+    assert [math.isnan(r.roll_vol) for r in got] == [False, False, True, True, True]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import by_symbol, c, rows
+from tidemark.functions.columns import by_symbol, c, log_ratio, rows
 from tidemark.operators import windows as w
 from tidemark.sources.tables import checkpointed
 
@@ -50,15 +50,17 @@ def regime_features(candles: DataFrame) -> DataFrame:
 
     Returns on a base that is not positive are left out; the first bar has
     (0, 1e-6, funding, 0); a window of one return has its size as volatility.
+    A close of 0 has the log return -inf, and windows of several returns that
+    hold one have no volatility (NaN).
     """
     before, first = F.lag("close").over(by_symbol()), F.first("close").over(rows(4))
-    seen = candles.withColumn("_bar", F.when(before > 0, F.ln(c("close") / before)))
+    seen = candles.withColumn("_bar", F.when(before > 0, log_ratio("close", before)))
     n, deviation = F.count("_bar").over(rows(3)), F.stddev_samp("_bar").over(rows(3))
     one = F.max(F.abs("_bar")).over(rows(3))
     prev_oi = F.lag("oi").over(by_symbol())
     start = F.row_number().over(by_symbol()) == 1
     return seen.withColumns({
-        "log_ret": F.when(start | (first <= 0), 0.0).otherwise(F.ln(c("close") / first)),
+        "log_ret": F.when(start | (first <= 0), 0.0).otherwise(log_ratio("close", first)),
         "roll_vol": F.when(start | (n == 0), 1e-6).when(n == 1, one).otherwise(deviation),
         "d_oi": F.when(start, 0.0).when(prev_oi > 0, F.abs(c("oi") / prev_oi - 1)).otherwise(0.0),
     }).drop("_bar")
@@ -267,6 +269,7 @@ def next_parameters(chunks: DataFrame, states: int) -> DataFrame:
 
 def fitted(features: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(``symbol, chunk, i, x`` of the bars, ``symbol, p, loglik`` of the fitted models)."""
+    features = features.withColumns({f: F.when(F.abs(f) < float("inf"), c(f)) for f in FEATURES})
     bars = checkpointed(chunked(features, chunk, states))
     model = checkpointed(first_parameters(features, states).withColumn("loglik", F.lit(None).cast("double")))
     for _ in range(rounds):
