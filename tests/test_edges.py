@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import hidden_markov, resampling
+from tidemark.operators import hidden_markov, resampling, windows
 
 
 def prices(spark, closes):
@@ -41,3 +41,8 @@ def test_features_of_a_close_of_zero(spark):
     assert [r.log_ret for r in got] == pytest.approx([0.0, math.log(0.8), -math.inf, math.log(0.6), math.log(1.2)])
     assert got[1].roll_vol == pytest.approx(-math.log(0.8))
     assert [math.isnan(r.roll_vol) for r in got] == [False, False, True, True, True]
+
+
+def test_a_label_on_a_base_of_zero_is_null(spark):
+    got = prices(spark, [2, 0, 3, 6]).withColumn("label", windows.fixed_horizon_label("close", 2)).orderBy("i").collect()
+    assert [r.label for r in got] == [0.5, None, None, None]

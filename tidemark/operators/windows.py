@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import by_symbol, c, ratio, rows
+from tidemark.functions.columns import by_symbol, c, rows
 from tidemark.sources.tables import checkpointed
 
 
@@ -169,8 +169,8 @@ def changepoint_labels(df: DataFrame, threshold: float = 0.65) -> DataFrame:
 
 
 def fixed_horizon_label(x: str = "close", horizon: int = 4) -> Column:
-    """Forward return; NULL where the horizon passes the end."""
-    return ratio(F.lead(x, horizon).over(by_symbol()), x) - 1
+    """Forward return; NULL where the horizon passes the end or the base is 0."""
+    return F.when(c(x) != 0, F.lead(x, horizon).over(by_symbol()) / c(x) - 1)
 
 
 def chronological_split(train: float = 0.6, validate: float = 0.2) -> Column:
