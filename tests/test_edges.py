@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import hidden_markov, resampling, windows
+from tidemark.operators import hidden_markov, memory, resampling, windows
 
 
 def prices(spark, closes):
@@ -46,3 +46,11 @@ def test_features_of_a_close_of_zero(spark):
 def test_a_label_on_a_base_of_zero_is_null(spark):
     got = prices(spark, [2, 0, 3, 6]).withColumn("label", windows.fixed_horizon_label("close", 2)).orderBy("i").collect()
     assert [r.label for r in got] == [0.5, None, None, None]
+
+
+def test_a_cluster_on_its_cap_is_within_it(spark):
+    weights = [0.1, 0.2, 0.3]
+    assert 0.1 + 0.2 + 0.3 > 0.6
+    df = spark.createDataFrame([(1, f"s{i}", x, "c", 0.0, 0.0) for i, x in enumerate(weights)], "book int, symbol string, weight double, cluster string, beta double, funding_bps double").coalesce(1)
+    budget = lambda cap: memory.risk_budget(df, "book", max_symbol=1.0, max_cluster=cap, max_beta=1.0, max_funding=1.0).first().rejections
+    assert budget(0.6) == [] and budget(0.59) == ["cluster_cap:c"]
