@@ -54,3 +54,14 @@ def test_a_cluster_on_its_cap_is_within_it(spark):
     df = spark.createDataFrame([(1, f"s{i}", x, "c", 0.0, 0.0) for i, x in enumerate(weights)], "book int, symbol string, weight double, cluster string, beta double, funding_bps double").coalesce(1)
     budget = lambda cap: memory.risk_budget(df, "book", max_symbol=1.0, max_cluster=cap, max_beta=1.0, max_funding=1.0).first().rejections
     assert budget(0.6) == [] and budget(0.59) == ["cluster_cap:c"]
+
+
+def test_a_drawdown_on_its_limit_fails_in_any_order(spark, tmp_path):
+    # the mean of the taxes is a twenty-fourth, six times that a quarter; summed in the first order it is less
+    taxes = [0.01, 0.06, 0.04, 0.04, 0.08, 0.05, 0.04, 0.05, 0.04, 0.05, 0.04, 0.0]
+    for n, taxes in enumerate((taxes, sorted(taxes), sorted(taxes, reverse=True))):
+        rows = [(1, "A", "F", t, 1.0, 0.0, 1.0) for t in taxes]
+        df = spark.createDataFrame(rows, "l_suppkey bigint, l_returnflag string, l_linestatus string, l_tax double, l_quantity double, l_discount double, l_extendedprice double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        got = plans.queries()["d24_scenario_evaluation"](spark, f"{tmp_path}/{n}").first()
+        assert (got.pass_rate, got.reasons) == (0.0, "drawdown_kill_switch")
