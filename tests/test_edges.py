@@ -65,3 +65,9 @@ def test_a_drawdown_on_its_limit_fails_in_any_order(spark, tmp_path):
         df.coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
         got = plans.queries()["d24_scenario_evaluation"](spark, f"{tmp_path}/{n}").first()
         assert (got.pass_rate, got.reasons) == (0.0, "drawdown_kill_switch")
+
+
+def test_a_drift_on_its_threshold_does_not_warn(spark):
+    df = spark.createDataFrame([(0.052 - 0.05,), (0.048 - 0.05,), (0.0021,)], "x double")
+    got = [r.w for r in df.select(research.drift_warnings(F.create_map(F.lit("discount"), "x"), {"discount": 0.002}).alias("w")).collect()]
+    assert 0.048 - 0.05 < -0.002 and got == [[], [], ["drift:discount"]]

@@ -70,9 +70,12 @@ def prior(x: Column, incumbent: float, alpha: float) -> Column:
 
 
 def drift_warnings(metrics: Column, thresholds: dict[str, float]) -> Column:
-    """``drift:name`` of the metrics beyond their threshold, by name."""
+    """``drift:name`` of the metrics beyond their threshold, by name.
+
+    To twelve places, so that a mean on its threshold does not warn by the order in which it was summed.
+    """
     limits = F.create_map(*[F.lit(v) for pair in thresholds.items() for v in pair])
-    over = F.map_filter(metrics, lambda k, v: F.abs(v) > F.coalesce(F.try_element_at(limits, k), F.lit(float("inf"))))
+    over = F.map_filter(metrics, lambda k, v: F.round(F.abs(v), 12) > F.coalesce(F.try_element_at(limits, k), F.lit(float("inf"))))
     return F.transform(F.array_sort(F.map_keys(over)), lambda k: F.concat(F.lit("drift:"), k))
 
 
