@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import hidden_markov, memory, resampling, windows
+from tidemark.operators import hidden_markov, markets, memory, resampling, windows
 
 
 def prices(spark, closes):
@@ -71,3 +71,11 @@ def test_a_drift_on_its_threshold_does_not_warn(spark):
     df = spark.createDataFrame([(0.052 - 0.05,), (0.048 - 0.05,), (0.0021,)], "x double")
     got = [r.w for r in df.select(research.drift_warnings(F.create_map(F.lit("discount"), "x"), {"discount": 0.002}).alias("w")).collect()]
     assert 0.048 - 0.05 < -0.002 and got == [[], [], ["drift:discount"]]
+
+
+def test_trades_that_cancel_out_absorb_nothing(spark):
+    book = "array<struct<price:double,qty:double>>"
+    depths = spark.createDataFrame([(1, 10, [(99.0, 5.0)], [(101.0, 5.0)])], f"symbol int, at int, bids {book}, asks {book}")
+    trades = spark.createDataFrame([(1, i, x, 1.0, x == 0.6) for i, x in enumerate((0.1, 0.2, 0.3, 0.6))], "symbol int, at int, price double, qty double, buyer_is_maker boolean").coalesce(1)
+    got = markets.microstructure(depths, trades).first()
+    assert got.trade_count == 4 and got.signed_delta == pytest.approx(0.0) and got.absorption == 0.0

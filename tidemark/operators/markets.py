@@ -29,7 +29,9 @@ def microstructure(depths: DataFrame, trades: DataFrame, *, threshold: float = 0
     depth_before, spread_before = F.coalesce(F.lag("top_depth").over(before), F.lit(0.0)), F.coalesce(F.lag("spread_bps").over(before), F.lit(0.0))
     d = d.withColumns({"replenishment": F.when(depth_before > 0, (c("top_depth") - depth_before) / depth_before).otherwise(0.0), "spread_spike": ((spread_before > 0) & (c("spread_bps") >= spread_before * spike)).cast("int")})
     out = d.join(flow, ["symbol", "at"], "left").na.fill(0.0, ["signed_delta"]).na.fill(0, ["trade_count"])
-    return out.withColumn("absorption", absorption(c("signed_delta"), c("top_depth"))).drop("mid", "top_depth")
+    # trades that cancel out sum to 0 or to a rest of rounding, by the order of the rows
+    delta = F.when(F.round("signed_delta", 9) != 0, c("signed_delta")).otherwise(0.0)
+    return out.withColumn("absorption", absorption(delta, c("top_depth"))).drop("mid", "top_depth")
 
 
 def walk_levels(levels: DataFrame, *, by: str, order: list, quantity: float, price: str = "price", size: str = "qty") -> DataFrame:
