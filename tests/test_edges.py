@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
+from tidemark.functions import research
 from tidemark.operators import hidden_markov, markets, memory, resampling, windows
 
 
@@ -79,3 +80,11 @@ def test_trades_that_cancel_out_absorb_nothing(spark):
     trades = spark.createDataFrame([(1, i, x, 1.0, x == 0.6) for i, x in enumerate((0.1, 0.2, 0.3, 0.6))], "symbol int, at int, price double, qty double, buyer_is_maker boolean").coalesce(1)
     got = markets.microstructure(depths, trades).first()
     assert got.trade_count == 4 and got.signed_delta == pytest.approx(0.0) and got.absorption == 0.0
+
+
+def test_a_feature_is_stale_a_fraction_of_a_second_late(spark):
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0, 200000)
+    late = [(at, at + datetime.timedelta(seconds=s)) for s in (59.9, 60.0, 60.3)]
+    df = spark.createDataFrame([("a", "paper", "low", 60, a, b) for a, b in late], "name string, modes string, risk string, max_age int, at timestamp_ntz, now timestamp_ntz")
+    got = df.orderBy("now").select(F.concat_ws(",", *research.contract_issues("name", "modes", "risk", "max_age", "at", "now", mode="paper")).alias("issues")).collect()
+    assert [r.issues for r in got] == ["", "", "feature_stale"]

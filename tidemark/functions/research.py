@@ -45,7 +45,8 @@ def forecast_issues(q10: str, q50: str, q90: str) -> list[Column]:
 
 def contract_issues(name: str, modes: str, risk: str, max_age: str, at: str, now: str, *, mode: str) -> list[Column]:
     """NULL or the name of what a feature's contract forbids; without a contract only that is said."""
-    age = F.unix_seconds(c(now).cast("timestamp")) - F.unix_seconds(c(at).cast("timestamp"))
+    # to the microsecond: whole seconds of both would be up to one off
+    age = (F.unix_micros(c(now).cast("timestamp")) - F.unix_micros(c(at).cast("timestamp"))) / 1e6
     return [
         F.when(c(name).isNull(), "missing_contract"),
         F.when(~F.array_contains(F.split(modes, ","), mode), "mode_not_allowed"),
