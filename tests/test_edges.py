@@ -2,13 +2,15 @@
 
 import datetime
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.functions import research
-from tidemark.operators import hidden_markov, markets, memory, resampling, windows
+from tidemark.operators import hidden_markov, joins, markets, memory, resampling, windows
 
 
 def prices(spark, closes):
@@ -88,3 +90,26 @@ def test_a_feature_is_stale_a_fraction_of_a_second_late(spark):
     df = spark.createDataFrame([("a", "paper", "low", 60, a, b) for a, b in late], "name string, modes string, risk string, max_age int, at timestamp_ntz, now timestamp_ntz")
     got = df.orderBy("now").select(F.concat_ws(",", *research.contract_issues("name", "modes", "risk", "max_age", "at", "now", mode="paper")).alias("issues")).collect()
     assert [r.issues for r in got] == ["", "", "feature_stale"]
+
+
+@pytest.mark.parametrize("tile", [(2, 3), (1000, 1000)])
+def test_correlations_in_tiles_match_the_plain_loop(spark, tile):
+    rng = random.Random(5)
+    rows = [(s, t, 7.0 if s == 3 else rng.gauss(s, 3)) for s in range(9) for t in range(12) if rng.random() < 0.7] + [(20, t, None) for t in range(8)] + [(21, t, 1e9 + t % 3) for t in range(8)]
+    df = spark.createDataFrame(rows, "s bigint, t int, v double")
+    got = {(r.a, r.b): (r.n, r.rho) for r in joins.correlations(df.where("s % 3 = 0"), df, by="s", on="t", value="v", least=3, tile=tile).collect()}
+    held = {}
+    for s, t, v in rows:
+        held.setdefault(s, {})[t] = v
+    want = {(a, b): sorted(held[a].keys() & held[b].keys()) for a in held for b in held if a % 3 == 0 and a != b}
+    want = {k: ts for k, ts in want.items() if len(ts) >= 3}
+    assert got.keys() == want.keys()
+    for (a, b), ts in want.items():
+        n, rho = got[a, b]
+        assert n == len(ts)
+        if 20 in (a, b):
+            assert rho is None
+        elif 3 in (a, b):
+            assert math.isnan(rho)
+        else:
+            assert rho == pytest.approx(statistics.correlation([held[a][t] for t in ts], [held[b][t] for t in ts]), abs=1e-6)
