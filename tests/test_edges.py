@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.functions import research
 from tidemark.operators import hidden_markov, joins, markets, memory, resampling, windows
+from tidemark.sources import snapshots
 
 
 def prices(spark, closes):
@@ -113,3 +114,13 @@ def test_correlations_in_tiles_match_the_plain_loop(spark, tile):
             assert math.isnan(rho)
         else:
             assert rho == pytest.approx(statistics.correlation([held[a][t] for t in ts], [held[b][t] for t in ts]), abs=1e-6)
+
+
+def test_a_store_has_files_by_its_buckets_not_by_its_symbols(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") % 1000).alias("symbol"), F.col("id").alias("i"))
+    snapshots.store(df, str(tmp_path / "s"))
+    assert len(list((tmp_path / "s").glob("**/*.parquet"))) <= snapshots.BUCKETS
+    assert sorted(snapshots.load(spark, str(tmp_path / "s")).collect()) == sorted(df.collect())
+    for symbol in (7, 999):
+        assert sorted(r.i for r in snapshots.load(spark, str(tmp_path / "s"), symbol).collect()) == [symbol, symbol + 1000]
+    assert snapshots.load(spark, str(tmp_path / "s"), 1000).count() == 0

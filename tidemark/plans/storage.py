@@ -15,7 +15,7 @@ from tidemark.streaming.events import shared_folder
 
 @query(over_candles("SELECT symbol, i, ts, round(close, 6) + 0.0 AS close FROM candles WHERE symbol = 7"))
 def a08_store_and_load(spark, sf_dir):
-    """Written partitioned by symbol to the shared folder, one symbol read back."""
+    """Written in folders by a hash of the symbol to the shared folder, one symbol read back."""
     root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     snapshots.store(candles(spark, sf_dir), root)
     return snapshots.load(spark, root, 7).select(c("symbol").cast("bigint").alias("symbol"), "i", "ts", r("close").alias("close"))
