@@ -12,6 +12,7 @@ from tidemark import plans
 from tidemark.functions import research
 from tidemark.operators import hidden_markov, joins, markets, memory, resampling, windows
 from tidemark.sources import snapshots
+from tidemark.sources.tables import dealt
 
 
 def prices(spark, closes):
@@ -124,3 +125,8 @@ def test_a_store_has_files_by_its_buckets_not_by_its_symbols(spark, tmp_path):
     for symbol in (7, 999):
         assert sorted(r.i for r in snapshots.load(spark, str(tmp_path / "s"), symbol).collect()) == [symbol, symbol + 1000]
     assert snapshots.load(spark, str(tmp_path / "s"), 1000).count() == 0
+
+
+def test_parts_follow_the_rows(spark):
+    few, many = (dealt(spark.range(n), "id", rows=50).rdd.getNumPartitions() for n in (100, 1000))
+    assert (few, many) == (4, 20)

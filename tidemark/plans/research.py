@@ -10,7 +10,7 @@ from tidemark.functions.columns import by_symbol, c, r
 from tidemark.operators import joins as j
 from tidemark.plans.registry import over_candles, query
 from tidemark.plans.series import RET, with_returns
-from tidemark.sources.tables import candles, table
+from tidemark.sources.tables import candles, dealt, table
 
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -137,9 +137,10 @@ def c08_backfill_hashes(spark, sf_dir):
 @query("SELECT o_orderkey, 'missing_fill' AS repair, 0 AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT l_orderkey, 'duplicate_fill', count(*) FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1")
 def c10_repair_plan(spark, sf_dir):
     """Orders without fills and fills that repeat."""
-    li = table(spark, sf_dir, "lineitem")
-    gone = table(spark, sf_dir, "orders").join(li, c("o_orderkey") == c("l_orderkey"), "left_anti").select("o_orderkey", F.lit("missing_fill").alias("repair"), F.lit(0).cast("bigint").alias("n"))
-    twice = li.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1").select(c("l_orderkey").alias("o_orderkey"), F.lit("duplicate_fill").alias("repair"), "n")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    fills = dealt(li.select("l_orderkey"), "l_orderkey")
+    gone = table(spark, sf_dir, "orders").select("o_orderkey").repartition(fills.rdd.getNumPartitions(), "o_orderkey").join(fills, c("o_orderkey") == c("l_orderkey"), "left_anti").select("o_orderkey", F.lit("missing_fill").alias("repair"), F.lit(0).cast("bigint").alias("n"))
+    twice = dealt(li, "l_orderkey", "l_suppkey").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1").select(c("l_orderkey").alias("o_orderkey"), F.lit("duplicate_fill").alias("repair"), "n")
     return gone.unionByName(twice)
 
 
