@@ -4,6 +4,7 @@ import re
 import urllib.parse
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import secrets
@@ -331,3 +332,23 @@ def test_whole_table_with_binary_data_beside_each_secret():
         assert base == plain_base(whole) and not faults
         at = whole.index(inner)
         assert any(k == 0 and s < at + len(inner) and e > at for s, k, e in every), (data[:40], len(data))
+
+
+def test_a_fault_is_shown_and_its_text_is_withheld(spark, monkeypatch, tmp_path):
+    def broken(layer):
+        raise RuntimeError("not foreseen")
+
+    # the workers of a session read the module anew, so the rows are run here
+    monkeypatch.setattr(secrets, "_unpacked", broken)
+    made = {}
+    monkeypatch.setattr(secrets, "over_rows", lambda docs, run: made.update(run=run))
+    docs = spark.createDataFrame([(1, base64.b64encode(b"poison " + FILL).decode(), 9), (2, "plain", 5), (3, None, 0)], "doc_id bigint, text string, n_chars int")
+    secrets.redact_documents(docs)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    (out,) = made["run"]([batch])
+    assert out.column("text").to_pylist() == [secrets.UNREADABLE, "plain", None]
+    assert out.column("n_chars").to_pylist() == [len(secrets.UNREADABLE), 5, 0]
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    from tidemark.llm.queries import op2_secret_scan
+
+    assert "faults" in op2_secret_scan(spark, str(tmp_path)).columns

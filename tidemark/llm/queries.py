@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_findings(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in secrets.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), "faults")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,7 +373,8 @@ def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     """(spans in the open text, spans of all layers, faults), spans sorted by start, kind, end without repeats.
 
     A layer whose unwrapping fails in a way not foreseen costs what is inside it
-    and counts as a fault; the others are read on.
+    and counts as a fault; the others are read on.  Spans of a text with faults
+    may be too few: callers must show the faults.
     """
     base = base_spans(text)
     added, seen, faults = set(), set(), 0
@@ -382,6 +383,8 @@ def scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     while work:
         try:
             layer = next(work[-1], None)
+        except MemoryError:
+            raise
         except Exception:
             layer, faults = None, faults + 1
         if layer is None:
@@ -471,10 +474,16 @@ def of_kind(spans: str, kind: str):
     return F.size(F.filter(F.col(spans), lambda x: x["kind"] == kind)).cast("bigint")
 
 
+#: What stands for a text that could not be read to the end.
+UNREADABLE = "[UNREADABLE]"
+
+
 def redact_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets masked in the text; all rows and columns stay, ``chars_col`` (if there) follows the text.
 
-    NULL texts stay NULL.  Works row by row, so repeated rows and ids are fine.
+    NULL texts stay NULL.  A text with a layer that could not be read may hide a
+    secret there: it is replaced by ``UNREADABLE`` as a whole.  Works row by row,
+    so repeated rows and ids are fine.
     """
     names = docs.columns
     at = names.index(text_col)
@@ -484,13 +493,13 @@ def redact_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
-            spans = [secret_spans(x)[1] if x else [] for x in texts]
-            if any(spans):
-                new = [redacted(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
+            spans, faults = zip(*[scanned(x)[1:] if x else ([], 0) for x in texts], strict=True) if texts else ((), ())
+            if any(spans) or any(faults):
+                new = [UNREADABLE if f else redacted(x, s) if s else x for x, s, f in zip(texts, spans, faults, strict=True)]
                 columns[at] = pa.array(new, columns[at].type)
                 if chars is not None:
                     old = columns[chars].to_pylist()
-                    columns[chars] = pa.array([len(x) if s else n for x, s, n in zip(new, spans, old, strict=True)], columns[chars].type)
+                    columns[chars] = pa.array([len(x) if s or f else n for x, s, f, n in zip(new, spans, faults, old, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return over_rows(docs, run)
