@@ -169,3 +169,26 @@ def test_likelihood_never_falls_and_models_are_chosen_by_name(spark):
         h.regimes(df, "other")
     assert h.regimes_hmm(df.where("symbol = 9"), rounds=1).count() == 0
     assert h.regimes_hmm(df.where("i < 5"), rounds=1).select(F.count_if(F.col("state").isNull())).first()[0] == 5
+
+
+def test_rounds_over_short_series_exchange_nothing(spark):
+    features = h.regime_features(frame(spark, {1: walk(1, 130), 2: walk(2, 40)}))
+    jobs = {}
+    for rounds in (1, 5):
+        spark.sparkContext.setJobGroup(f"fit-{rounds}", "fit")
+        h.fitted(features, rounds=rounds)
+        jobs[rounds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[1] == jobs[5]
+    # short and cut series side by side have the models that each has alone
+    both = {r.symbol: r.p for r in h.fitted(features, rounds=3, chunk=20)[1].collect()}
+    for symbol in (1, 2):
+        alone = h.fitted(features.where(f"symbol = {symbol}"), rounds=3)[1].first().p
+        assert np.allclose(both[symbol], alone, rtol=1e-6, atol=1e-9)
+
+
+def test_hsmm_by_name_writes_what_it_returns(spark):
+    df = frame(spark, {1: walk(5, 60)})
+    named = h.regimes(df, "hsmm", rounds=2, least=4).orderBy("i").collect()
+    whole = h.regimes_hsmm(df, rounds=2, least=4).orderBy("i").select("symbol", "i", F.col("smoothed").alias("regime")).collect()
+    assert named == whole

@@ -1,17 +1,19 @@
 """Hidden Markov and semi-Markov regimes.
 
-A symbol's series is cut into chunks of ``CHUNK`` bars.  What a chunk does to
-the state probabilities that enter it is one matrix, the product of its bars'
+A series of up to ``SHORT`` chunks of ``CHUNK`` bars is one row; all rounds of
+its fit and its best path are worked out where that row is, and nothing is
+exchanged between rounds.  A longer series is cut into chunks of ``CHUNK`` bars.
+What a chunk does to the state probabilities that enter it is one matrix, the product of its bars'
 transition and emission matrices; a scan over a symbol's chunk matrices gives
 the probabilities that enter each chunk and those of what comes after it, and
-then every chunk can be worked on alone.  All chunks of an Arrow batch are
-worked on side by side, so Python loops over the bars of one chunk only.
+then every chunk can be worked on alone.  All rows of an Arrow batch are worked
+on side by side, so Python loops over the bars of one row only.
 Sufficient statistics are summed by Spark, one row a symbol, and the parameters
 of the next round follow from them.  The most likely path (Viterbi) is found in
 the same way, with maxima for sums.
 
-A symbol's chunk matrices, 16 numbers for ``CHUNK`` bars, meet in one task;
-bars do not.  Parameters are one row a symbol.
+A long series' chunk matrices, 16 numbers for ``CHUNK`` bars, meet in one task;
+its bars do not.  Parameters are one row a symbol.
 
 The start is the same on every run: bars are dealt to states by equal shares of
 their log return.  Symbols with fewer than two bars a state get no model
@@ -20,6 +22,7 @@ their log return.  Symbols with fewer than two bars a state get no model
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ from tidemark.operators import windows as w
 from tidemark.sources.tables import checkpointed
 
 CHUNK, STATES, ROUNDS = 256, 4, 8
+# Chunks of the longest series that stays one row, and bars (padded) that are worked on at once.
+SHORT, CELLS = 4, 512 * 256
 FEATURES = ("log_ret", "roll_vol", "funding", "d_oi")
 # The prior of the variances (public defaults of Gaussian models), and the rules that name a state by its means.
 VARIANCE_PRIOR, LEAST_VARIANCE = 1e-2, 1e-3
@@ -71,12 +76,14 @@ def _flat(*names: str) -> Column:
 
 
 def chunked(features: DataFrame, chunk: int, states: int) -> DataFrame:
-    """``symbol, chunk, i, x``: the bars of each chunk in order, for symbols with bars enough."""
+    """``symbol, chunk, whole, i, x``: the bars of each chunk in order, for symbols with bars enough; ``whole``: a short series, all in chunk 0."""
     bar = F.row_number().over(by_symbol()) - 1
-    enough = F.count(F.lit(1)).over(W.partitionBy("symbol")) >= 2 * states
-    numbered = features.select("symbol", "i", _flat(*FEATURES).alias("x"), bar.alias("_bar"), enough.alias("_enough")).where("_enough")
-    packed = numbered.groupBy("symbol", F.floor(c("_bar") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("bars"))
-    return packed.select("symbol", "chunk", F.transform("bars", lambda b: b["i"]).alias("i"), F.flatten(F.transform("bars", lambda b: b["x"])).alias("x"))
+    n = F.count(F.lit(1)).over(W.partitionBy("symbol"))
+    numbered = features.select("symbol", "i", _flat(*FEATURES).alias("x"), bar.alias("_bar"), n.alias("_n")).where(c("_n") >= 2 * states)
+    whole = c("_n") <= SHORT * chunk
+    place = F.when(whole, F.lit(0).cast("bigint")).otherwise(F.floor(c("_bar") / chunk))
+    packed = numbered.groupBy("symbol", place.alias("chunk"), whole.alias("whole")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("bars"))
+    return packed.select("symbol", "chunk", "whole", F.transform("bars", lambda b: b["i"]).alias("i"), F.flatten(F.transform("bars", lambda b: b["x"])).alias("x"))
 
 
 def first_parameters(features: DataFrame, states: int) -> DataFrame:
@@ -89,25 +96,52 @@ def first_parameters(features: DataFrame, states: int) -> DataFrame:
     return dealt.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"), F.array(*means).alias("_means"), F.array(*spread).alias("_spread")).where(c("_n") >= 2 * states).select("symbol", F.concat(even, "_means", F.flatten(F.array_repeat("_spread", states))).alias("p"))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows; NULLs are NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 class _Batch:
     """Chunks side by side: ``logs`` (chunk, bar, state) of emissions with the largest of each bar taken out, and its sum."""
 
     def __init__(self, batch: pa.RecordBatch, k: int) -> None:
         f = len(FEATURES)
-        p = np.array(batch.column("p").to_pylist()).reshape(-1, k + k * k + 2 * k * f)
-        self.start, self.step = p[:, :k], p[:, k : k + k * k].reshape(-1, k, k)
-        self.mean, self.spread = p[:, k + k * k : k + k * k + k * f].reshape(-1, k, f), p[:, k + k * k + k * f :].reshape(-1, k, f)
-        xs = [np.array(x).reshape(-1, f) for x in batch.column("x").to_pylist()]
-        self.size = np.array([len(x) for x in xs])
-        self.x = np.zeros((len(xs), self.size.max(), f))
-        for i, x in enumerate(xs):
-            self.x[i, : len(x)] = x
-        self.first = np.array(batch.column("chunk").to_pylist()) == 0
-        gap = self.x[:, :, None, :] - self.mean[:, None]
-        logs = -0.5 * (gap**2 / self.spread[:, None] + np.log(2 * np.pi * self.spread[:, None])).sum(3)
+        self.k, self.size = k, batch.column("x").value_lengths().to_numpy(zero_copy_only=False) // f
+        self.inside = np.arange(self.size.max())[None] < self.size[:, None]
+        self.x = np.zeros((*self.inside.shape, f))
+        self.x[self.inside] = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, f)
+        self.first = batch.column("chunk").to_numpy(zero_copy_only=False) == 0
+        if "p" in batch.schema.names:
+            self.see(_matrix(batch.column("p")))
+
+    def see(self, p: np.ndarray) -> None:
+        """The bars as parameters ``p`` see them."""
+        k, f = self.k, len(FEATURES)
+        self.start, self.step, self.mean, self.spread = _split(p, k, f)
+        logs = np.empty((*self.inside.shape, k))
+        for state in range(k):
+            mean, spread = self.mean[:, None, state], self.spread[:, None, state]
+            logs[:, :, state] = -0.5 * ((self.x - mean) ** 2 / spread + np.log(2 * np.pi * spread)).sum(2)
         self.most = logs.max(2)
         self.logs = logs - self.most[:, :, None]
-        self.inside = np.arange(self.x.shape[1])[None] < self.size[:, None]
+        self.seen = np.exp(self.logs)
+
+    def first_parameters(self) -> np.ndarray:
+        """``first_parameters`` of series that are whole."""
+        k = self.k
+        out = []
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # means of nothing are NaN
+            for x, n in zip(self.x, self.size, strict=True):
+                x = x[:n]
+                order = np.argsort(np.where(np.isnan(x[:, 0]), -np.inf, x[:, 0]), kind="stable")
+                means = [np.nanmean(x[part], 0) for part in np.array_split(order, k)]
+                out.append(np.concatenate([np.full(k + k * k, 1.0 / k), *means, np.tile(np.nanvar(x, 0) + LEAST_VARIANCE, k)]))
+        return np.array(out)
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """What enters a whole series and comes after it."""
+        return np.eye(self.k)[np.zeros(len(self.size), int)], np.ones((len(self.size), self.k))
 
     def transition(self, t: int) -> np.ndarray:
         """Into bar t: the first bar of a series takes the start probabilities from whatever state."""
@@ -120,7 +154,7 @@ class _Batch:
         k = self.start.shape[1]
         m = np.repeat(np.eye(k)[None], len(self.size), 0)
         for t in range(self.x.shape[1]):
-            new = m @ (self.transition(t) * np.exp(self.logs[:, t])[:, None])
+            new = m @ (self.transition(t) * self.seen[:, t][:, None])
             new /= np.maximum(new.sum((1, 2), keepdims=True), 1e-300)
             m = np.where(self.inside[:, t, None, None], new, m)
         return m
@@ -141,7 +175,7 @@ class _Batch:
         ahead, norm = np.zeros((n, bars, k)), np.ones((n, bars))
         a = enter
         for t in range(bars):
-            new = np.einsum("na,nab->nb", a, self.transition(t)) * np.exp(self.logs[:, t])
+            new = np.einsum("na,nab->nb", a, self.transition(t)) * self.seen[:, t]
             norm[:, t] = np.where(self.inside[:, t], np.maximum(new.sum(1), 1e-300), 1.0)
             a = np.where(self.inside[:, t, None], new / norm[:, t, None], a)
             ahead[:, t] = a
@@ -152,16 +186,24 @@ class _Batch:
             both = ahead[:, t] * b
             state[:, t] = np.where(inside, both / np.maximum(both.sum(1, keepdims=True), 1e-300), 0)
             before = ahead[:, t - 1] if t else enter
-            move = before[:, :, None] * self.transition(t) * (np.exp(self.logs[:, t]) * b)[:, None]
+            move = before[:, :, None] * self.transition(t) * (self.seen[:, t] * b)[:, None]
             move /= np.maximum(move.sum((1, 2), keepdims=True), 1e-300)
             counts = self.inside[:, t] & ~(self.first & (t == 0))
             moves += np.where(counts[:, None, None], move, 0)
-            back = np.einsum("nab,nb->na", self.transition(t), np.exp(self.logs[:, t]) * b)
+            back = np.einsum("nab,nb->na", self.transition(t), self.seen[:, t] * b)
             b = np.where(inside, back / np.maximum(back.sum(1, keepdims=True), 1e-300), b)
         return state, moves, (np.log(norm) + np.where(self.inside, self.most, 0)).sum(1)
 
-    def path(self, enter: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The best states of each chunk between the state that enters and the last one."""
+    def sums(self, enter: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Sufficient statistics of each chunk, flat."""
+        state, moves, loglik = self.posteriors(enter, after)
+        begins = np.where(self.first[:, None], state[:, 0], 0)
+        n = len(moves)
+        turned = state.transpose(0, 2, 1)
+        return np.concatenate([loglik[:, None], begins, moves.reshape(n, -1), state.sum(1), (turned @ self.x).reshape(n, -1), (turned @ self.x**2).reshape(n, -1)], 1)
+
+    def path(self, enter: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+        """The best states of each chunk between the state that enters and the last one (None: the best)."""
         n, bars, k = self.logs.shape
         with np.errstate(divide="ignore"):
             score = np.where(np.arange(k)[None] == enter[:, None], 0.0, -np.inf)
@@ -170,25 +212,54 @@ class _Batch:
                 every = score[:, :, None] + np.log(self.transition(t))
                 back[:, t] = every.argmax(1)
                 score = np.where(self.inside[:, t, None], every.max(1) + self.logs[:, t], score)
-        out, at = np.zeros((n, bars), np.int64), last
+        out, at = np.zeros((n, bars), np.int64), score.argmax(1) if last is None else last
         for t in range(bars - 1, -1, -1):
             out[:, t] = at
             at = np.where(self.inside[:, t], back[np.arange(n), t, at], at)
         return out
 
 
+def _split(p: np.ndarray, k: int, f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, transitions, means, variances) of flat parameters."""
+    start, step, mean, spread = np.split(p, np.cumsum([k, k * k, k * f]), 1)
+    return start, step.reshape(-1, k, k), mean.reshape(-1, k, f), spread.reshape(-1, k, f)
+
+
+def _maximised(old: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+    """The parameters that follow from the sums of ``_Batch.sums`` over each series."""
+    f, n = len(FEATURES), len(sums)
+    _, begins, moves, held, x, xx = np.split(sums, np.cumsum([1, k, k * k, k, k * f]), 1)
+    moves, x, xx = moves.reshape(-1, k, k), x.reshape(-1, k, f), xx.reshape(-1, k, f)
+    _, step, mean, spread = _split(old, k, f)
+    left, held = moves.sum(2, keepdims=True), held[:, :, None]
+    # a state that nothing visits stays as it is
+    step = np.where(left > 0, moves / np.maximum(left, 1e-300), step)
+    some = held > 1e-9
+    mean = np.where(some, x / np.maximum(held, 1e-300), mean)
+    spread = np.where(some, (VARIANCE_PRIOR + np.maximum(xx - held * mean**2, 0)) / np.maximum(held, 1e-300), spread)
+    return np.concatenate([begins / np.maximum(begins.sum(1, keepdims=True), 1e-300), step.reshape(n, -1), mean.reshape(n, -1), spread.reshape(n, -1)], 1)
+
+
 def _each(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # bounded by memory: so many chunks at once
-            for start in range(0, batch.num_rows, 512):
-                yield work(batch.slice(start, 512))
+            # bounded by memory: so many bars at once, those of the longest row for each
+            sizes = batch.column("x").value_lengths().to_pylist() if "x" in batch.schema.names else [0] * batch.num_rows
+            start, most = 0, 1
+            for at, size in enumerate(sizes):
+                most = max(most, size // len(FEATURES))
+                if at > start and ((at + 1 - start) * most > CELLS or at - start >= 2048):
+                    yield work(batch.slice(start, at - start))
+                    start, most = at, max(1, size // len(FEATURES))
+            if start < batch.num_rows:
+                yield work(batch.slice(start))
 
     return df.mapInArrow(run, schema)
 
 
 def _numbers(a: np.ndarray) -> pa.Array:
-    return pa.array(list(a.reshape(len(a), -1)), pa.list_(pa.float64()))
+    flat = a.reshape(len(a), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
 def _bounds(chunks: DataFrame, states: int, best: bool) -> DataFrame:
@@ -238,27 +309,13 @@ def next_parameters(chunks: DataFrame, states: int) -> DataFrame:
     kind, f = chunks.schema["symbol"].dataType.simpleString(), len(FEATURES)
 
     def statistics(batch: pa.RecordBatch) -> pa.RecordBatch:
-        b = _Batch(batch, states)
-        state, moves, loglik = b.posteriors(*(np.array(batch.column(x).to_pylist()) for x in ("enter", "after")))
-        begins = np.where(b.first[:, None], state[:, 0], 0)
-        sums = [loglik[:, None], begins, moves.reshape(len(moves), -1), state.sum(1), np.einsum("ntk,ntf->nkf", state, b.x).reshape(len(moves), -1), np.einsum("ntk,ntf->nkf", state, b.x**2).reshape(len(moves), -1)]
-        return pa.RecordBatch.from_arrays([batch.column("symbol"), _numbers(np.concatenate(sums, 1))], names=["symbol", "s"])
+        sums = _Batch(batch, states).sums(_matrix(batch.column("enter")), _matrix(batch.column("after")))
+        return pa.RecordBatch.from_arrays([batch.column("symbol"), _numbers(sums)], names=["symbol", "s"])
 
     def maximised(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = states
-        old = np.array(batch.column("p").to_pylist())
-        s = np.array(batch.column("s").to_pylist())
-        loglik, begins, moves, held, x, xx = np.split(s, np.cumsum([1, k, k * k, k, k * f]), 1)
-        moves, x, xx = moves.reshape(-1, k, k), x.reshape(-1, k, f), xx.reshape(-1, k, f)
-        step, mean, spread = old[:, k : k + k * k].reshape(-1, k, k), old[:, k + k * k : k + k * k + k * f].reshape(-1, k, f), old[:, k + k * k + k * f :].reshape(-1, k, f)
-        left, n = moves.sum(2, keepdims=True), held[:, :, None]
-        # a state that nothing visits stays as it is
-        step = np.where(left > 0, moves / np.maximum(left, 1e-300), step)
-        some = n > 1e-9
-        mean = np.where(some, x / np.maximum(n, 1e-300), mean)
-        spread = np.where(some, (VARIANCE_PRIOR + np.maximum(xx - n * mean**2, 0)) / np.maximum(n, 1e-300), spread)
-        p = np.concatenate([begins / np.maximum(begins.sum(1, keepdims=True), 1e-300), step.reshape(len(s), -1), mean.reshape(len(s), -1), spread.reshape(len(s), -1)], 1)
-        return pa.RecordBatch.from_arrays([batch.column("symbol"), _numbers(p), pa.array(loglik[:, 0])], names=["symbol", "p", "loglik"])
+        s = _matrix(batch.column("s"))
+        p = _maximised(_matrix(batch.column("p")), s, states)
+        return pa.RecordBatch.from_arrays([batch.column("symbol"), _numbers(p), pa.array(s[:, 0])], names=["symbol", "p", "loglik"])
 
     width = 1 + 2 * states + states * states + 2 * states * f
     bound = chunks.join(_bounds(chunks, states, False), ["symbol", "chunk"]).select("symbol", "chunk", "x", "p", "enter", "after")
@@ -267,14 +324,34 @@ def next_parameters(chunks: DataFrame, states: int) -> DataFrame:
     return _each(sums.join(parameters, "symbol"), maximised, f"symbol {kind}, p array<double>, loglik double")
 
 
+def whole_models(bars: DataFrame, states: int, rounds: int) -> DataFrame:
+    """``symbol, p, loglik`` of the series that are whole rows: start and all rounds in place."""
+    kind = bars.schema["symbol"].dataType.simpleString()
+
+    def fit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b = _Batch(batch, states)
+        p, loglik = b.first_parameters(), pa.nulls(batch.num_rows, pa.float64())
+        for _ in range(rounds):
+            b.see(p)
+            sums = b.sums(*b.ends())
+            p, loglik = _maximised(p, sums, states), pa.array(sums[:, 0])
+        return pa.RecordBatch.from_arrays([batch.column("symbol"), _numbers(p), loglik], names=["symbol", "p", "loglik"])
+
+    return _each(bars.where("whole").select("symbol", "chunk", "x"), fit, f"symbol {kind}, p array<double>, loglik double")
+
+
 def fitted(features: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(``symbol, chunk, i, x`` of the bars, ``symbol, p, loglik`` of the fitted models)."""
+    """(``symbol, chunk, whole, i, x`` of the bars, ``symbol, p, loglik`` of the fitted models)."""
     features = features.withColumns({f: F.when(F.abs(f) < float("inf"), c(f)) for f in FEATURES})
     bars = checkpointed(chunked(features, chunk, states))
-    model = checkpointed(first_parameters(features, states).withColumn("loglik", F.lit(None).cast("double")))
+    models = checkpointed(whole_models(bars, states, rounds))
+    cut = bars.where("NOT whole")
+    if not cut.agg(F.count(F.lit(1))).first()[0]:
+        return bars, models
+    model = checkpointed(first_parameters(features.join(cut.select("symbol").distinct(), "symbol", "left_semi"), states).withColumn("loglik", F.lit(None).cast("double")))
     for _ in range(rounds):
-        model = checkpointed(next_parameters(bars.join(model.drop("loglik"), "symbol"), states))
-    return bars, model
+        model = checkpointed(next_parameters(cut.join(model.drop("loglik"), "symbol"), states))
+    return bars, models.unionByName(model)
 
 
 def state_labels(model: DataFrame, states: int = STATES) -> DataFrame:
@@ -288,17 +365,27 @@ def decoded(bars: DataFrame, model: DataFrame, *, states: int = STATES) -> DataF
     """``symbol, i, state, posterior``: the best path and each bar's state probabilities."""
     kinds = {n: bars.schema[n].dataType for n in ("symbol", "i")}
     chunks = bars.join(model.select("symbol", "p"), "symbol")
-    around, best = _bounds(chunks, states, False), _bounds(chunks, states, True).select("symbol", "chunk", c("enter")[0].cast("int").alias("from"), c("after")[0].cast("int").alias("to"))
-    bound = chunks.join(around, ["symbol", "chunk"]).join(best, ["symbol", "chunk"])
+    cut = chunks.where("NOT whole")
+    around, best = _bounds(cut, states, False), _bounds(cut, states, True).select("symbol", "chunk", c("enter")[0].cast("int").alias("from"), c("after")[0].cast("int").alias("to"))
+    bound = cut.join(around, ["symbol", "chunk"]).join(best, ["symbol", "chunk"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         b = _Batch(batch, states)
-        state, _, _ = b.posteriors(*(np.array(batch.column(x).to_pylist()) for x in ("enter", "after")))
-        path = b.path(*(np.array(batch.column(x).to_pylist()) for x in ("from", "to")))
-        lists = lambda a, kind: pa.array([x[:n].tolist() for x, n in zip(a, b.size, strict=True)], kind)
-        return pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("i"), lists(path, pa.list_(pa.int32())), lists(state, pa.list_(pa.list_(pa.float64())))], names=["symbol", "i", "state", "posterior"])
-
-    out = _each(bound, work, f"symbol {kinds['symbol'].simpleString()}, i {kinds['i'].simpleString()}, state array<int>, posterior array<array<double>>")
+        if "enter" in batch.schema.names:
+            enter, after = (_matrix(batch.column(x)) for x in ("enter", "after"))
+            path = b.path(*(np.array(batch.column(x).to_pylist()) for x in ("from", "to")))
+        else:
+            enter, after = b.ends()
+            path = b.path(np.zeros(len(b.size), int))
+        state, _, _ = b.posteriors(enter, after)
+        # the bars of all rows, one after the other, cut as their ``i`` are
+        cuts = pa.array(np.concatenate([[0], b.size.cumsum()]), pa.int32())
+        each = pa.FixedSizeListArray.from_arrays(pa.array(state[b.inside].ravel()), states).cast(pa.list_(pa.float64()))
+        lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(path[b.inside], pa.int32()), each)]
+        return pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("i"), *lists], names=["symbol", "i", "state", "posterior"])
+
+    schema = f"symbol {kinds['symbol'].simpleString()}, i {kinds['i'].simpleString()}, state array<int>, posterior array<array<double>>"
+    out = _each(chunks.where("whole"), work, schema).unionByName(_each(bound, work, schema))
     return out.select("symbol", F.inline(F.arrays_zip("i", "state", "posterior")))
 
 
@@ -323,7 +410,10 @@ def regimes(candles: DataFrame, model: str = "deterministic", **options) -> Data
     if model == "hmm":
         return regimes_hmm(candles, **options).select("symbol", "i", "regime")
     if model == "hsmm":
-        return regimes_hsmm(candles, **options).select("symbol", "i", c("smoothed").alias("regime"))
+        least = options.pop("least", 3)
+        # only what is smoothed is written down
+        labels = checkpointed(regimes_hmm(candles, **options).select("symbol", "i", "regime"))
+        return w.smoothed_labels(labels, "regime", least).select("symbol", "i", c("smoothed").alias("regime"))
     if model == "bocpd":
         return w.changepoint_labels(w.with_changepoints(w.regime_labels(candles))).select("symbol", "i", c("relabelled").alias("regime"))
     raise ValueError(f"no regime model {model!r}")
