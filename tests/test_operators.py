@@ -2,6 +2,7 @@
 
 import random
 import time
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -145,6 +146,36 @@ def test_signals_hold_and_stop():
     assert np.flatnonzero(leave).tolist() == [3, 7]
 
 
+@pytest.mark.parametrize("rules", [backtest.Rules(), backtest.Rules(latency_bars=2, liquidation_ratio=0.4, cooldown_bars=3)])
+def test_runs_side_by_side_equal_one_run_at_a_time(spark, monkeypatch, rules):
+    import numpy as np
+
+    monkeypatch.setattr(backtest, "BARS", 200)  # several parts, series of several lengths
+    rng, rows = np.random.default_rng(3), []
+    for symbol, n in enumerate([1, 2, 3, 150, 40, 41, 230]):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.06, n)))
+        rows += [(symbol, datetime(2024, 1, 1) + timedelta(hours=i), i, float(x), float(x * 1.05), float(x * 0.93), float(x), 1.0, 1, float(rng.normal(0, 0.01)), 500.0, 0.0) for i, x in enumerate(close)]
+    df = spark.createDataFrame(rows, "symbol int, ts timestamp_ntz, i bigint, open double, high double, low double, close double, volume double, trade_count bigint, funding double, oi double, liq double")
+    out = backtest.run_backtests(df, rules=rules)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()  # a bar is not dealt once for each backbone
+    got = {(r.symbol, r.backbone, r.side, r.leverage): r for r in out.collect()}
+    wishes = backtest.wanted_entries(df).toPandas()
+    assert len(got) == 7 * 12
+    seen = 0
+    for (symbol, backbone, side, leverage), r in got.items():
+        g = wishes[wishes.symbol == symbol].sort_values("i")
+        sign = 1 if side == "long" else -1
+        enter, leave = backtest.signals(g.close.to_numpy(), g.atr.to_numpy(), g[f"{backbone}_{side}"].to_numpy(bool), sign, *backtest.BACKBONES[backbone])
+        book, curve = backtest.backtest(g, enter, leave, sign, leverage, rules)
+        level, steps = np.maximum(1e-9, 1 + curve), np.diff(curve)
+        assert (r.bars, r.trades, r.wins, r.liquidations) == (len(g), book.trades, book.wins, book.liquidations)
+        assert (r.gross_pnl, r.fees, r.funding, r.net_pnl) == (book.gross, book.fees, book.funding, book.equity())
+        assert r.max_drawdown == (level / np.maximum.accumulate(level) - 1).min()
+        assert r.sharpe == pytest.approx(steps.mean() / steps.std(ddof=1) if len(steps) > 1 and steps.std(ddof=1) > 0 else 0.0, rel=1e-9)
+        seen += book.liquidations
+    assert seen > 0
+
+
 def test_draws_are_repeatable_and_in_range(spark):
     lengths = spark.createDataFrame([("a", 20), ("b", 3), ("c", 1)], "symbol string, n bigint")
     for kind in ("moving_block", "stationary", "permutation"):
