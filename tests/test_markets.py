@@ -83,3 +83,18 @@ def test_streamed_books_equal_a_plain_loop(spark, sf):
         want[r.event_id] = (*did, book.status, shown["best_bid"], shown["best_ask"], shown["checksum"])
     assert got == want
     assert {a for a, *_ in want.values()} >= {"applied", "resync_required", "snapshot", "awaiting_snapshot"}
+
+
+def test_a_book_is_looked_at_once_until_it_changes():
+    from tidemark.streaming.events import DepthBook
+
+    level = lambda p, q: {"price": p, "qty": q}
+    book = DepthBook()
+    book.snapshot(100, [level(10.0, 1.0)], [level(11.0, 1.0)])
+    seen = book.shown()
+    assert book.diff(90, 99, None, [level(10.5, 1.0)], []) == ("dropped_stale", None)
+    assert book.shown() is seen
+    assert book.diff(95, 105, None, [level(10.5, 1.0)], []) == ("applied", None)
+    assert book.shown()["best_bid"] == 10.5 and book.shown()["checksum"] != seen["checksum"]
+    book.snapshot(200, [level(9.0, 1.0)], [])
+    assert (book.shown()["best_bid"], book.shown()["best_ask"]) == (9.0, None)

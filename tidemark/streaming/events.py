@@ -90,10 +90,12 @@ class DepthBook:
     def __init__(self, held: dict | None = None) -> None:
         for name in self.FIELDS:
             setattr(self, name, (held or {}).get(name))
+        self._shown = None  # until the book changes
 
     def snapshot(self, update_id: int, bids: list, asks: list) -> tuple[str, str | None]:
         self.bids, self.asks = ({f"{x['price']!r}": x["qty"] for x in side if x["qty"] > 0} for side in (bids, asks))
         self.snapshot_id = self.last_id = update_id
+        self._shown = None
         self.applied, self.gaps, self.stale, self.status = 0, self.gaps or 0, self.stale or 0, "awaiting_bridge"
         return "snapshot", None
 
@@ -121,12 +123,17 @@ class DepthBook:
                     book[f"{x['price']!r}"] = x["qty"]
                 else:
                     book.pop(f"{x['price']!r}", None)
-        self.last_id, self.applied = final, self.applied + 1
+        self.last_id, self.applied, self._shown = final, self.applied + 1, None
         self.status = self.status if self.status == "resync_required" else "active"
         return "applied", None
 
     def shown(self) -> dict:
         """Best prices, mid, spread and a checksum of the book."""
+        if self._shown is None:
+            self._shown = self._look()
+        return self._shown
+
+    def _look(self) -> dict:
         bids, asks = (sorted(((float(p), q) for p, q in (side or {}).items()), reverse=up) for side, up in ((self.bids, True), (self.asks, False)))
         bid, ask = (side[0][0] if side else None for side in (bids, asks))
         mid = None if bid is None or ask is None else (bid + ask) / 2
@@ -141,24 +148,34 @@ def depth_updates(stream: DataFrame) -> DataFrame:
     """What each message (``symbol, at, event_id, kind, first_id, final_id, previous_id, bids, asks``) did to its symbol's book.
 
     A message of kind "snapshot" sets the book anew, others are diffs.  Books are
-    keyed state; messages of a batch are taken in event-time order.
+    keyed state; messages of a batch are taken in event-time order.  A message
+    goes to its book, and what it did comes back, as one JSON text: what pandas
+    takes a column and group would cost more than the books do.
     """
+    names = ["event_id", "kind", "first_id", "final_id", "previous_id", "bids", "asks"]
+    message = F.to_json(F.struct(F.unix_micros(c("at").cast("timestamp")).alias("at"), *names), {"ignoreNullFields": "false"})
+    levels = lambda side: [{"price": float(x["price"]), "qty": float(x["qty"])} for x in side or ()]
+
+    def in_time(m: dict) -> tuple:
+        return m["at"] is None, m["at"] or 0, m["event_id"] is None, m["event_id"] or 0
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = DepthBook(json.loads(state.get[0]) if state.exists else None)
         out = []
-        number = lambda x: None if pd.isna(x) else int(x)
-        for row in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples(index=False):
-            if row.kind == "snapshot":
-                did = book.snapshot(number(row.final_id), row.bids, row.asks)
+        for m in sorted((json.loads(text) for frame in frames for text in frame["message"]), key=in_time):
+            bids, asks = levels(m["bids"]), levels(m["asks"])
+            if m["kind"] == "snapshot":
+                action, reason = book.snapshot(m["final_id"], bids, asks)
             else:
-                did = book.diff(number(row.first_id), number(row.final_id), number(row.previous_id), row.bids, row.asks)
-            out.append({"symbol": key[0], "event_id": row.event_id, "action": did[0], "reason": did[1], "status": book.status, **book.shown()})
+                action, reason = book.diff(m["first_id"], m["final_id"], m["previous_id"], bids, asks)
+            out.append(json.dumps({"event_id": m["event_id"], "action": action, "reason": reason, "status": book.status, **book.shown()}))
         state.update((book.held(),))
-        yield pd.DataFrame(out).astype({x: "float64" for x in ("best_bid", "best_ask", "mid", "spread_bps")})
+        yield pd.DataFrame({"symbol": key[0], "did": out})
 
-    fields = "symbol bigint, event_id bigint, action string, reason string, status string, best_bid double, best_ask double, mid double, spread_bps double, levels bigint, checksum string"
-    return stream.groupBy("symbol").applyInPandasWithState(update, fields, "book string", "append", GroupStateTimeout.NoTimeout)
+    fields = "event_id bigint, action string, reason string, status string, best_bid double, best_ask double, mid double, spread_bps double, levels bigint, checksum string"
+    keyed = stream.select("symbol", message.alias("message")).groupBy("symbol")
+    did = keyed.applyInPandasWithState(update, "symbol bigint, did string", "book string", "append", GroupStateTimeout.NoTimeout)
+    return did.select("symbol", F.from_json("did", fields).alias("did")).select("symbol", "did.*")
 
 
 def depth_messages(events: DataFrame) -> DataFrame:
