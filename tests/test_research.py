@@ -60,3 +60,24 @@ def test_symbols_and_sides(spark):
     assert [tuple(r) for r in got] == [("BTCUSDT", "USDT"), ("ETHUSDC", "USDC"), ("ABC", None)]
     one = spark.range(1).select(x.side_bps(F.lit("sell"), F.lit(100.0), F.lit(99.0)).alias("b"), x.opportunity_loss(F.lit("BUY"), F.lit(100.0), F.lit(99.0), F.lit(2.0)).alias("none"), x.opportunity_loss(F.lit("BUY"), F.lit(100.0), F.lit(101.0), F.lit(2.0)).alias("lost"))
     assert first(one) == {"b": pytest.approx(100.0), "none": 0.0, "lost": pytest.approx(2.0)}
+
+
+def test_means_on_the_gate_follow_the_order_of_the_table(spark, tmp_path):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from tidemark import plans
+
+    # many row groups in many parts: sums of parts would round otherwise than sums in order
+    pq.write_table(pq.read_table("/root/testdata/sf0.01/lineitem.parquet"), tmp_path / "lineitem.parquet", row_group_size=2000)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted(con.execute(plans.oracle_sql()["g06_gate_regressions"]).fetchall())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = sorted(tuple(r) for r in plans.queries()["g06_gate_regressions"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
