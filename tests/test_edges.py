@@ -117,6 +117,15 @@ def test_correlations_in_tiles_match_the_plain_loop(spark, tile):
             assert rho == pytest.approx(statistics.correlation([held[a][t] for t in ts], [held[b][t] for t in ts]), abs=1e-6)
 
 
+def test_correlations_exchange_nothing_for_a_pair(spark):
+    df = spark.range(400).selectExpr("id % 40 AS s", "cast(id / 40 AS int) AS t", "cast(pmod(hash(id), 100) AS double) AS v")
+    few, many = (joins.correlations(df, df, by="s", on="t", value="v", tile=tile, digits=2) for tile in ((100, 100), (5, 4)))
+    for found in (few, many):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 40 * 39
+    assert all(r.rho == round(r.rho, 2) for r in few.collect())
+
+
 def test_a_store_has_files_by_its_buckets_not_by_its_symbols(spark, tmp_path):
     df = spark.range(2000).select((F.col("id") % 1000).alias("symbol"), F.col("id").alias("i"))
     snapshots.store(df, str(tmp_path / "s"))
