@@ -78,6 +78,17 @@ def test_a_drift_on_its_threshold_does_not_warn(spark):
     assert 0.048 - 0.05 < -0.002 and got == [[], [], ["drift:discount"]]
 
 
+def test_a_mean_discount_on_its_threshold_warns_as_its_double_does(spark, tmp_path):
+    # 25 discounts of 0.048 and 0.052 on average, in any order and in many parts
+    rows = [(s, x, q, 0.0) for s, more in ((1, 0.0), (2, 0.1)) for x, q in zip([0.05] * 24 + [more], [25.0] * 24 + [26.0], strict=True)]
+    rows += [(3, x, 1.0, 0.0) for x in (0.05, math.nan)] + [(4, None, None, 0.0), (5, 0.05, math.inf, 0.0), (6, 0.05, 1e17, 0.0)]
+    want = {1: "drift:discount", 2: "", 3: "drift:discount,drift:quantity", 4: "", 5: "drift:quantity", 6: "drift:quantity"}
+    for n in range(4):
+        random.Random(n).shuffle(rows)
+        spark.createDataFrame(rows, "l_suppkey bigint, l_discount double, l_quantity double, l_tax double").repartition(1 + n).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        assert {r.l_suppkey: r.warnings for r in plans.queries()["d83_learning_drift"](spark, f"{tmp_path}/{n}").collect()} == want
+
+
 def test_trades_that_cancel_out_absorb_nothing(spark):
     book = "array<struct<price:double,qty:double>>"
     depths = spark.createDataFrame([(1, 10, [(99.0, 5.0)], [(101.0, 5.0)])], f"symbol int, at int, bids {book}, asks {book}")

@@ -70,13 +70,16 @@ def prior(x: Column, incumbent: float, alpha: float) -> Column:
     return F.coalesce((1 - alpha) * F.lit(incumbent) + alpha * F.avg(x), F.lit(incumbent))
 
 
-def drift_warnings(metrics: Column, thresholds: dict[str, float]) -> Column:
+def drift_warnings(metrics: Column, thresholds: dict[str, float], places: int | None = 12) -> Column:
     """``drift:name`` of the metrics beyond their threshold, by name.
 
-    To twelve places, so that a mean on its threshold does not warn by the order in which it was summed.
+    To twelve places, so that a mean on its threshold does not warn by the order
+    in which it was summed; metrics that do not depend on it may be compared as
+    they are (None).
     """
     limits = F.create_map(*[F.lit(v) for pair in thresholds.items() for v in pair])
-    over = F.map_filter(metrics, lambda k, v: F.round(F.abs(v), 12) > F.coalesce(F.try_element_at(limits, k), F.lit(float("inf"))))
+    size = (lambda v: F.abs(v)) if places is None else (lambda v: F.round(F.abs(v), places))
+    over = F.map_filter(metrics, lambda k, v: size(v) > F.coalesce(F.try_element_at(limits, k), F.lit(float("inf"))))
     return F.transform(F.array_sort(F.map_keys(over)), lambda k: F.concat(F.lit("drift:"), k))
 
 
