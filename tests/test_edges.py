@@ -5,11 +5,13 @@ import math
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.functions import research
+from tidemark.functions.columns import scaled
 from tidemark.operators import hidden_markov, joins, markets, memory, resampling, windows
 from tidemark.sources import snapshots
 from tidemark.sources.tables import dealt
@@ -33,6 +35,16 @@ def test_permuted_paths_pass_a_close_of_zero(spark):
             assert close == pytest.approx(want, nan_ok=True)
 
 
+def test_permuted_paths_round_halves_as_their_sql(spark):
+    # each is a rounding error under a half of the fifth place, their products with 1e5 are halves or under
+    values = [106.86127499999999, 19.150425, 0.000005, 1.5, -106.86127499999999, 2.5e17, math.inf, math.nan, None]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 5) + 0.0", [v]).fetchone()[0] for v in values]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(scaled("v", 5).alias("x")).collect()]
+    assert got[0] == 106.86128 and got[1] == 19.15042
+    assert got[:-1] == pytest.approx(want[:-1], rel=1e-15, nan_ok=True) and got[-1] is None is want[-1]
+
+
 def test_regime_state_has_no_volatility_after_a_close_of_zero(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [(i, at + datetime.timedelta(hours=i), 1, "view", v, '{"k": 50}') for i, v in enumerate((5.0, 4.0, 0.0, 3.0))]

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import costs as k
-from tidemark.functions.columns import c, r
+from tidemark.functions.columns import c, r, scaled
 from tidemark.functions.research import latency_class
 from tidemark.operators import backtest, portfolio, recursive, resampling
 from tidemark.operators.markets import walk_levels
@@ -66,7 +66,7 @@ def i13_stationary_bootstrap(spark, sf_dir):
 def i18_permuted_paths(spark, sf_dir):
     """Every bar of the paths that shuffled returns make."""
     paths = resampling.permuted_paths(candles(spark, sf_dir), 3)
-    return paths.select("symbol", "seed", "position", "source", r("close", 5).alias("close"))
+    return paths.select("symbol", "seed", "position", "source", scaled("close", 5).alias("close"))
 
 
 WILD = f"""flips AS (SELECT symbol, seed, i, 1.0 - 2.0 * ({_draw('symbol', 'seed', 'i', "'shock'")} % 2) AS e, 1.0 - 2.0 * ({_draw('symbol', 'seed', "'first'")} % 2) AS f, close, ret, mean FROM (
